@@ -89,12 +89,13 @@ def fold_table(separators: bytes) -> np.ndarray:
     """Byte map for :func:`split_words`: 0 for separators, A-Z lowered, every other byte itself."""
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
+    table[0] = 255  # a byte that UTF-8 never has, as 0 marks separators
     table[list(separators)] = 0
-    table[0] = 0
     return table
 
 
-#: Words of ASCII letters, digits and any non-ASCII characters.
+#: Words between ASCII blanks, and words of ASCII letters, digits and any non-ASCII characters.
+SPACED = fold_table(b" \t\n\x0b\x0c\r")
 ALNUM = fold_table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
