@@ -5,24 +5,92 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import decontam, lines, minhash, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontam.build_index(_table(spark, sf_dir, "documents"))
+    found = decontam.report(decontam.match(index, _table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(lines.clean(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
 def queries() -> dict:
-    return {"op2_mixing": op2_mixing}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op4_minhash_dedup": op4_minhash_dedup, "op7_line_dedup": op7_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS r
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[p:p + least(len(ws), 10) - 1], ' ') AS phrase
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS p FROM i WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+spots AS (
+  SELECT r, n, p, array_to_string(ws[p:p + n - 1], ' ') AS phrase
+  FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM w, sizes WHERE len(ws) >= n)),
+hit AS (SELECT spots.r, spots.p, spots.n, win.item_id FROM spots JOIN win ON spots.n = win.n AND spots.phrase = win.phrase),
+words AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS x FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p:p + least(len(ws), 5) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+l AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id, w.doc_id = r.component_id AS kept
+FROM w JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) r ON r.u = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, source, p, trim(ls[p], ' ' || chr(9) || chr(13)) AS bare, ls[p] AS line FROM (SELECT r, source, ls, unnest(range(1, len(ls) + 1)) AS p FROM d)),
+spread AS (SELECT bare FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 10),
+m AS (SELECT l.*, bare <> '' AS filled, spread.bare IS NOT NULL AS bad FROM l LEFT JOIN spread USING (bare)),
+c AS (
+  SELECT r, count(*) FILTER (filled) AS n_lines, count(*) FILTER (bad) AS n_spread,
+         coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT bad), '') AS kept
+  FROM m GROUP BY r),
+o AS (SELECT d.doc_id, d.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_spread, 0) AS n_spread, kept, coalesce(n_spread, 0) > 0 AND n_spread <= 0.5 * n_lines AS cut FROM d LEFT JOIN c USING (r))
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_spread AS BIGINT) AS n_spread, CAST(CASE WHEN cut THEN n_spread ELSE 0 END AS BIGINT) AS n_removed,
+       CAST(length(CASE WHEN cut THEN kept ELSE text END) AS BIGINT) AS n_chars, sha256(CASE WHEN cut THEN kept ELSE text END) AS text_sha256
+FROM o
+"""
+
 
 
 OP2_SQL = r"""
