@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, minhash, mixing
+from . import decontam, lines, minhash, mixing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,22 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(lines.clean(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op4_minhash_dedup": op4_minhash_dedup, "op7_line_dedup": op7_line_dedup}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op4_minhash_dedup": op4_minhash_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
