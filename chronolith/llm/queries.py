@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, minhash, mixing, toxicity
+from . import arc, decontam, lines, minhash, mixing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = arc.archive_pages(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -46,11 +51,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op4_minhash_dedup": op4_minhash_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "pipeline": pipeline}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op4_minhash_dedup": op4_minhash_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op10_arc_to_warc": op10_arc_to_warc, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_arc_to_warc": OP10_SQL}
 
 
 OP1_SQL = r"""
@@ -134,3 +139,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST((floor(x) + CASE WHEN q IS NOT NULL AND 2 * run - peers <= 2 * left_words THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM r
 """
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {k}) & 31 AS INTEGER) + 1, 1)" for g in range(8) for k in (15, 10, 5, 0))
+OP10_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (h)
+"""
