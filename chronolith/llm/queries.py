@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, decontam, lines, minhash, mixing, toxicity
+from . import arc, decontam, embeddings, lines, minhash, mixing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(_table(spark, sf_dir, "documents"))
 
@@ -51,11 +55,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op4_minhash_dedup": op4_minhash_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op10_arc_to_warc": op10_arc_to_warc, "pipeline": pipeline}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_embedding_dedup": op3_embedding_dedup, "op4_minhash_dedup": op4_minhash_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op10_arc_to_warc": op10_arc_to_warc, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_arc_to_warc": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_arc_to_warc": OP10_SQL}
 
 
 OP1_SQL = r"""
@@ -80,6 +84,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+OP3_SQL = """
+WITH RECURSIVE x AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) r ON r.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
+"""
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
