@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, decontam, embeddings, lines, minhash, mixing, quality, toxicity
+from . import arc, decontam, embeddings, lines, minhash, mixing, passages, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table, ranking).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(lines.clean(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
@@ -62,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_embedding_dedup": op3_embedding_dedup, "op4_minhash_dedup": op4_minhash_dedup, "op5_quality": op5_quality, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op10_arc_to_warc": op10_arc_to_warc, "pipeline": pipeline}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_embedding_dedup": op3_embedding_dedup, "op4_minhash_dedup": op4_minhash_dedup, "op5_quality": op5_quality, "op6_passage_dedup": op6_passage_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op10_arc_to_warc": op10_arc_to_warc, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
