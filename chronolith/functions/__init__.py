@@ -44,8 +44,10 @@ def grouped(n: Column) -> Column:
 def compact_number(n: Column) -> Column:
     """Three significant digits with k, M or B from a thousand on, without trailing zeros."""
     def scaled(unit: int, suffix: str) -> Column:
+        # Rounded half up in whole hundredths, tenths or units, so that no binary fraction decides a tie.
+        part = lambda k: F.floor((n * k + unit // 2) / F.lit(unit)).cast("double") / k
         x = n / F.lit(float(unit))
-        text = F.when(x < 10, F.format_string("%.2f", x)).when(x < 100, F.format_string("%.1f", x)).otherwise(F.format_string("%.0f", x))
+        text = F.when(x < 9.995, F.format_string("%.2f", part(100))).when(x < 99.95, F.format_string("%.1f", part(10))).otherwise(F.format_string("%.0f", part(1)))
         bare = F.when(text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
         return F.concat(bare, F.lit(suffix))
 

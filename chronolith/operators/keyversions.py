@@ -15,9 +15,9 @@ def version_kind(key: Column) -> Column:
 
 
 def version_number(key: Column) -> Column:
-    """Decimal, so that a version of any length compares by value."""
+    """Decimal, so that a long version compares by value; one of more than 38 digits is the largest."""
     digits = F.regexp_extract(key, VERSIONED, 2)
-    return F.when(key.rlike(VERSIONED), F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(10**37).cast("decimal(38,0)")))
+    return F.when(key.rlike(VERSIONED), F.coalesce(digits.try_cast("decimal(38,0)"), F.lit("9" * 38).cast("decimal(38,0)")))
 
 
 def is_stale(key: Column, prompt: int = PROMPT_VERSION, plain: int = PLAIN_VERSION) -> Column:
