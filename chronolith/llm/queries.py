@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, decontam, embeddings, lines, minhash, mixing, passages, quality, toxicity
+from . import arc, decontam, embeddings, lines, minhash, mixing, passages, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), b"surrogates")
+    return out.select("doc_id", "n_entities", F.array_join("kinds", ",").alias("kinds"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = arc.archive_pages(_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -66,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_embedding_dedup": op3_embedding_dedup, "op4_minhash_dedup": op4_minhash_dedup, "op5_quality": op5_quality, "op6_passage_dedup": op6_passage_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op10_arc_to_warc": op10_arc_to_warc, "pipeline": pipeline}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_embedding_dedup": op3_embedding_dedup, "op4_minhash_dedup": op4_minhash_dedup, "op5_quality": op5_quality, "op6_passage_dedup": op6_passage_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_pii_surrogates": op9_pii_surrogates, "op10_arc_to_warc": op10_arc_to_warc, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
