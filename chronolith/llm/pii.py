@@ -30,9 +30,24 @@ from .common import drop_stage, stage
 
 #: Titles before names, by gender.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Don"), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Doña"), "n": ("Dr", "Prof")}
-_TITLE = "|".join(t for group in TITLES.values() for t in group)
-_GENDER = {t: g for g, group in TITLES.items() for t in group}
-_NAME = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+"
+_TITLE = "|".join(x for group in TITLES.values() for t in group for x in (t, t.upper()))
+_GENDER = {x: g for g, group in TITLES.items() for t in group for x in (t, t.upper())}
+
+
+def _ranges(*kinds: str) -> str:
+    """A pattern class of the letters of some Unicode categories."""
+    codes = [c for c in range(0x10000) if unicodedata.category(chr(c)) in kinds]
+    runs = [[c, c] for c in codes[:1]]
+    for c in codes[1:]:
+        if c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+#: A name begins with a capital, or with a letter of a script without case.
+_NAME = rf"[{_ranges('Lu', 'Lt', 'Lo')}][^\W\d_]+"
 PATTERNS = {
     "email": r"[^\W_](?:[\w.+-]*[^\W_])?@[^\W_][\w-]*(?:\.[^\W_][\w-]*)*\.[^\W\d_]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",

@@ -1,0 +1,49 @@
+import corpus_pipeline
+from chronolith.llm import queries
+
+from .fixtures import PASSAGE, edited, prose
+from .test_text_dedup import brute_components, brute_decontamination, shingle_set
+
+
+def make(spark, folder):
+    rows = [(k, prose(800 + k, 40 + k % 50), f"s{k % 12}") for k in range(160)]
+    rows += [(200 + k, prose(900 + k, 30) + " grumbok " + prose(950 + k, 30) + " snarlix", f"s{k % 12}") for k in range(60)]
+    rows += [(300 + k, f"{prose(1000 + k, 30)}\nSeen on every site.\n{prose(1050 + k, 30)}", f"s{k}") for k in range(12)]
+    rows += [(400 + k, edited(prose(1200, 120), 60 + k), "s1") for k in range(5)] + [(420, PASSAGE, "s2"), (421, prose(77, 20) + " " + PASSAGE, "s3")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(200 <= i < 260)) for i, _, _ in rows if i % 10 != 3], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(PASSAGE.split()[5:30])), (2, prose(5555, 30))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    docs = make(spark, str(tmp_path))
+    columns, seen = docs.columns, {}
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "line dedup", "MinHash near-dedup", "benchmark decontamination", "mixing"]
+    for k, (name, step) in enumerate(corpus_pipeline.STAGES):
+        out = step(spark, docs, str(tmp_path))
+        assert k == 4 or out.columns == columns
+        out.write.parquet(str(tmp_path / str(k)))
+        seen[name] = (docs.collect(), spark.read.parquet(str(tmp_path / str(k))).collect())
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    toxic = {r["doc_id"] for r in seen["toxicity"][0]} - {r["doc_id"] for r in seen["toxicity"][1]}
+    assert len(toxic & set(range(200, 260))) >= 57 and len(toxic - set(range(200, 260))) <= 4
+    before, after = ({r["doc_id"]: r for r in rows} for rows in seen["line dedup"])
+    assert set(before) == set(after)
+    for i, r in after.items():
+        # "Seen on every site." is on as many sites as toxicity left; the copies of whole texts stay.
+        assert r["n_chars"] == len(r["text"]) and (r["text"] == before[i]["text"] or "Seen on every site." in before[i]["text"])
+    rows, kept = ([(r["doc_id"], r["text"]) for r in part] for part in seen["MinHash near-dedup"])
+    assert {i for i, _ in kept} == {i for i, c in brute_components(rows).items() if i == c} and {i for i, _ in kept} & set(range(400, 405)) == {400}
+    rows, kept = ([(r["doc_id"], r["text"]) for r in part] for part in seen["benchmark decontamination"])
+    clean = {w[0] for w in brute_decontamination(rows, [(1, " ".join(PASSAGE.split()[5:30])), (2, prose(5555, 30))]) if not w[2]}
+    assert {i for i, _ in kept} == clean and not clean & {420, 421}
+    mixed = seen["mixing"][1]
+    by_source: dict = {}
+    for r in mixed:
+        by_source.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+        assert 0 < r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
+    assert all(abs(t - n) <= 150 for t, n in by_source.values())
+    assert shingle_set("a b") and set(queries.oracle_sql()) <= set(queries.queries())
