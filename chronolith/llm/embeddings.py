@@ -4,9 +4,10 @@ The halves of the unit vectors have independent codebooks (k-means on a bounded
 in the cell of its two nearest codewords, a product grid of far more cells than codewords. A vector's
 neighbours are looked for by multi-sequence traversal: cells are taken from the grid in order of the
 distance that a member must at least have, until that bound exceeds the radius that holds the target
-recall. With ``recall`` 1 the radius is that of the similarity itself and no link can be missed; below 1
-it is the quantile of the bounds seen between linked vectors of the sample. All pairs that a cell offers
-are verified by cosine in double precision.
+recall. With ``recall`` 1 the radius is that of the similarity itself and no link can be missed, but most
+of the grid may have to be visited; below 1 it is the quantile of the bounds seen between linked vectors
+of the sample, and FLOOR of the full (squared) radius at least. All pairs that a cell offers are verified
+by cosine in double precision.
 
 Only the smallest id of identical vectors of a label is filed; the others are counted with it. A cell's
 members and visitors meet in blocks of at most BLOCK by BLOCK rows, and a block returns, not its pairs,
@@ -36,6 +37,8 @@ from .graph import connected_components
 SAMPLE = 20_000
 BLOCK = 2048
 MAX_CODEWORDS = 4096
+#: Least part of the squared radius that a traversal covers.
+FLOOR = 1 / 32
 #: Rounding of the stored components must not hide a link at the very limit.
 SLACK = 1e-6
 
@@ -102,8 +105,8 @@ def fit(sample: np.ndarray, n: int, cosine: float, recall: float = 1.0, seed: in
         part = sample[:2000]
         own, least = grid.bounds(part)
         i, j = np.nonzero(np.triu(part @ part.T >= cosine, 1))
-        if len(i):
-            grid.radius = min(grid.radius, float(np.quantile(least[0][i, own[0][j]] + least[1][i, own[1][j]], recall)) + SLACK)
+        seen = np.quantile(least[0][i, own[0][j]] + least[1][i, own[1][j]], recall) if len(i) else 0.0
+        grid.radius = min(grid.radius, max(float(seen), FLOOR * grid.radius) + SLACK)
     return grid
 
 
@@ -184,7 +187,7 @@ def _meet(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, recall: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, recall: float = 0.9999, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
     spark = vectors.sparkSession
     rows = stage(usable(vectors, id_col, vector_col, label_col), "vectors")

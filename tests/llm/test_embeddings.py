@@ -44,7 +44,7 @@ def table(seed=0, n=240, dim=16):
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
     rows = table()
-    got = embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), recall=1.0).collect()
     want = brute(rows)
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want and len(got) == len(rows)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
