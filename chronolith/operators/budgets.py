@@ -68,6 +68,6 @@ def message(reading: DataFrame, limits: AssetLimits, label: str = "dist/") -> Da
     return verdict(reading).withColumn("message", F.concat(head, tail))
 
 
-def retained(listing: DataFrame, budget: int, *, newest: str = "date", buckets: int = 4096) -> DataFrame:
+def retained(listing: DataFrame, budget: int, *, newest: str = "date") -> DataFrame:
     """The newest files up to ``budget`` of them. ``limit`` keeps each task to as many rows at most."""
     return listing.orderBy(F.col(newest).desc_nulls_last(), F.col("path")).limit(budget)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import compact_number, day_key, epoch_ms, one_decimal, size_text
+from ..functions import compact_number, day_key, one_decimal, size_text
 from ..operators import budgets, freshness, keyversions, patches, records, shards, stories, upsert
 from ..settings import AssetLimits
 
