@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +22,13 @@ _ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.exe
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder ``spark.checkpoint.dir``; removed when the driver's JVM ends.
 
-    Only where the session names no such folder (tests, one machine) a temporary one is used.
+    Where the session names no such folder, one in the warehouse is used, which executors share too; in local
+    mode, where there is one machine only, a temporary one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="chronolith-")
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        root = "file://" + tempfile.mkdtemp(prefix="chronolith-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/chronolith/{name}-{uuid.uuid4().hex[:12]}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

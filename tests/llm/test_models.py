@@ -120,8 +120,6 @@ def test_quality_on_held_out_documents(spark):
 
 
 def test_quality_features_and_empty_cases(spark):
-    import pyarrow as pa
-
     x = quality.features(pa.array([b"", b"a a a a", b"One two three.\nFour five!", b"x"], pa.binary()))
     at = quality.FEATURES.index
     assert x.shape == (4, len(quality.FEATURES)) and not x[0].any() and np.isfinite(x).all()
