@@ -22,7 +22,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from urllib.parse import quote
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices, small_batches, stage
+from .common import bound_batches, scratch_path, slices, stage
 
 #: Fields of a header line by ARC version, as fixed by the format.
 FIELDS = {
@@ -41,6 +41,8 @@ FIELDS = {
 END = b"\r\n\r\n"
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT = 0
+#: Records of one WARC file at most; a file is read by one task, compressed as it is.
+FILE_RECORDS = 50_000
 #: Text bytes of one ARC file that is packed and converted at a time.
 ARC_BYTES = 4 << 20
 WARC = "url string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -155,20 +157,51 @@ def convert(record: ArcRecord, refers_to: str | None = None) -> tuple[bytes, byt
     return "\r\n".join(lines).encode("utf-8", "surrogateescape"), block
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record, taken by Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.find(END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at {at}")
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+def parse_warc(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record, taken by Content-Length, from the pieces of a file in order.
+
+    No more than one record and one piece are held at a time.
+    """
+    held, seen = bytearray(), 0
+
+    def take() -> tuple[dict[str, str], bytes] | None:
+        nonlocal seen
+        if held and not b"WARC/".startswith(held[:5]) and not held.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {seen}")
+        end = held.find(END)
+        if end < 0:
+            return None
+        fields = dict(line.split(": ", 1) for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:])
         start = end + len(END)
-        length = int(fields["Content-Length"])
-        if data[start + length : start + length + len(END)] != END:
-            raise ValueError(f"the WARC record at {at} does not end after {length} bytes")
-        yield fields, data[start : start + length]
-        at = start + length + len(END)
+        stop = start + int(fields["Content-Length"])
+        if len(held) < stop + len(END):
+            return None
+        if held[stop : stop + len(END)] != END:
+            raise ValueError(f"the WARC record at {seen} does not end after {stop - start} bytes")
+        block = bytes(held[start:stop])
+        del held[: stop + len(END)]
+        seen += stop + len(END)
+        return fields, block
+
+    for chunk in chunks:
+        held += chunk
+        while (record := take()) is not None:
+            yield record
+    if held:
+        raise ValueError(f"the WARC record at {seen} is cut off")
+
+
+def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a gzip file, member after member, in pieces."""
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        for at in range(0, len(data), step):
+            yield member.decompress(data[at : at + step])
+            if member.eof:
+                data = member.unused_data + data[at + step :]
+                break
+        else:
+            raise ValueError("the gzip file is cut off")
 
 
 def page_block(page_id: int | None, html: bytes, first: int | None) -> bytes:
@@ -218,32 +251,38 @@ def to_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: st
 
     # The text sink writes the bytes as they are; its line end is the end of a record.
     records = every.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    with small_batches(pages.sparkSession):
-        records.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    bound_batches(pages.sparkSession)
+    records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
     """One row per record of the ``.gz`` archives in ``path``; every digest is checked against its block."""
 
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in WARC.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for batch in batches:
             for content in batch.column("content"):
-                rows = []
-                for fields, block in parse_warc(zlib.decompress(content.as_py(), wbits=47)):
+                for fields, block in parse_warc(unzipped(content.as_py())):
                     if fields["WARC-Block-Digest"] != f"sha1:{digest(block)}":
                         raise ValueError(f"block digest of {fields['WARC-Record-ID']} does not match")
                     head, payload = http_parts(block)
                     sha = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if fields["WARC-Type"] != "revisit" and sha != digest(payload):
                         raise ValueError(f"payload digest of {fields['WARC-Record-ID']} does not match")
-                    ident = header_value(head, "X-Page-Id")
-                    refers = header_value(head, "X-Same-As")
+                    ident, refers = header_value(head, "X-Page-Id"), header_value(head, "X-Same-As")
                     if (fields.get("WARC-Refers-To") or "") != (record_id(refers, sha) if refers else ""):
                         raise ValueError(f"{fields['WARC-Record-ID']} refers to an unknown record")
                     rows.append((fields["WARC-Target-URI"], None if ident is None else int(ident), fields["WARC-Type"], None if refers is None else int(refers), int(header_value(head, "X-Length") or len(payload)), sha))
-                columns = list(zip(*rows)) or [()] * 6
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["url", "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
+                    if len(rows) == 5000:
+                        yield packed(rows)
+                        rows = []
+        if rows:
+            yield packed(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(run, WARC)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import re
 import tempfile
 import uuid
@@ -36,17 +35,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Bound the Arrow batches of the jobs run inside, by rows and by bytes."""
-    before = {k: spark.conf.get(k, None) for k in _ARROW}
-    try:
-        for k, v in _ARROW.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by rows and bytes, so that very long texts fit into a worker.
+
+    Limits that the session was started with stay.
+    """
+    started = spark.sparkContext.getConf()
+    for key, value in _ARROW.items():
+        if not started.contains(key):
+            spark.conf.set(key, value)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -57,8 +54,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    bound_batches(spark)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

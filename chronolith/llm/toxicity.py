@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import ALNUM, as_binary, encode, hash64, slices, split_words
+from .common import ALNUM, as_binary, bound_batches, encode, hash64, slices, split_words
 
 WINDOW, STRIDE, PIECE = 32, 16, 20
 #: Bound of the training sample: documents per class, and characters of each.
@@ -271,6 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, **names: str) -> Model:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``row`` (the whole row as a struct, whatever its columns are named) and ``score``."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
 

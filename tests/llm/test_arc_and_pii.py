@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import re
 
@@ -28,7 +29,7 @@ def test_arc_records_are_taken_by_declared_length(version):
 def test_warc_records():
     http, plain = (next(iter(arc.parse_arc(arc.make_arc("1", "f", [(u, b)])))) for u, b in (("http://a/", b"HTTP/1.0 200 OK\n\nhi"), ("dns:a", b"1.2.3.4")))
     lines, block = arc.convert(http)
-    fields, back = next(arc.parse_warc(lines + arc.END + block + arc.END))
+    fields, back = next(arc.parse_warc([lines, arc.END + block, arc.END]))
     assert (fields["WARC-Type"], fields["WARC-Date"], back) == ("response", "1997-01-01T00:00:00Z", http.block)
     assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b"hi").digest()).decode()
     assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"]) and arc.convert(http)[0] == lines
@@ -36,7 +37,11 @@ def test_warc_records():
     revisit, block = arc.convert(http, "7")
     assert b"WARC-Type: revisit" in revisit and block == b"HTTP/1.0 200 OK\n\n" and arc.record_id("7", arc.digest(b"hi")).encode() in revisit
     with pytest.raises(ValueError):
-        list(arc.parse_warc(lines + arc.END + b"short"))
+        list(arc.parse_warc([lines + arc.END + b"short"]))
+    both = gzip.compress(b"abc" * 1000) + gzip.compress(b"") + gzip.compress(b"de")
+    assert b"".join(arc.unzipped(both, 7)) == b"abc" * 1000 + b"de"
+    with pytest.raises(ValueError, match="cut off"):
+        list(arc.unzipped(both[:-9]))
 
 
 def test_pages_to_archives_and_back(spark, tmp_path):
