@@ -7,7 +7,7 @@
 3. Links are looked for in two steps, so that no group is ever expanded into all of its pairs. First each
    representative is compared with the smallest id of its buckets, the one it shares most buckets with, and
    components are formed. Then only buckets that still hold several components are looked at, and in them
-   only pairs of different components.
+   only pairs of different components; large ones return verified links that connect, not pairs.
 4. A pair is verified by its minima (agreement of at least ``SIGNATURE`` of them) and then on full sets.
 5. Components come from alternating large-star and small-star.
 
@@ -40,7 +40,7 @@ SIGNATURE = 178
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Buckets of at most this many members are paired by a join, larger ones in blocks of BLOCK members.
-SMALL, BLOCK = 32, 1024
+SMALL, BLOCK = 32, 512
 
 _random = np.random.default_rng(20240229)
 _A = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,7 +66,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """The minima of every non-empty text: for each hash the least of (a * x + b) >> 32."""
+    """The low bits of the minima of every non-empty text: for each hash the least of (a * x + b) >> 32."""
     out = np.empty((len(many), HASHES), np.uint16)
     ends = np.cumsum(many)
     block = (ends - many) // (1 << 15)
@@ -104,23 +104,43 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return stage(rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, minima binary"), "sketch")
 
 
+def band_codes(minima: np.ndarray) -> np.ndarray:
+    """One code per band of each row of minima."""
+    by_band = minima.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    return mix64((by_band @ _PLACE[:ROWS, None])[:, :, 0] + np.arange(1, BANDS + 1, dtype=np.uint64) * _LENGTH).astype(np.int64)
+
+
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
+
+
 def bands(classes: DataFrame) -> DataFrame:
     """``band, doc`` for every band of every representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = _PLACE[:ROWS, None]
         for batch in batches:
             if batch.num_rows:
-                minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-                code = mix64((minima @ place)[:, :, 0] + np.arange(1, BANDS + 1, dtype=np.uint64) * _LENGTH).astype(np.int64)
+                code = band_codes(_minima(batch.column("minima")))
                 yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), pa.array(np.repeat(np.asarray(batch.column("doc")), BANDS))], names=["band", "doc"])
 
     return classes.select("doc", "minima").mapInArrow(run, "band long, doc long")
 
 
 def agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
-    both = [np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, HASHES) for x in (a, b)]
-    return (both[0] == both[1]).sum(1)
+    return (_minima(a) == _minima(b)).sum(1)
+
+
+def token_sets(texts: list[bytes]) -> list[np.ndarray]:
+    hashes, many = shingles(pa.array(texts, pa.binary()))
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(many)[:-1])]
+
+
+def near(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets are similar enough; sizes alone rule most others out."""
+    if DENOMINATOR * min(len(p), len(q)) < NUMERATOR * max(len(p), len(q)):
+        return False
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return common > 0 and DENOMINATOR * common >= NUMERATOR * (len(p) + len(q) - common)
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -145,27 +165,56 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 continue
             a, b = as_binary(batch.column("ta")).to_pylist(), as_binary(batch.column("tb")).to_pylist()
             distinct = list({*a, *b})
-            hashes, many = shingles(pa.array(distinct, pa.binary()))
-            sets = dict(zip(distinct, (np.unique(x) for x in np.split(hashes, np.cumsum(many)[:-1]))))
-            good = []
-            for x, y in zip(a, b):
-                p, q = sets[x], sets[y]
-                common = 0
-                if DENOMINATOR * min(len(p), len(q)) >= NUMERATOR * max(len(p), len(q)):
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(common > 0 and DENOMINATOR * common >= NUMERATOR * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            sets = dict(zip(distinct, token_sets(distinct)))
+            yield batch.select(["a", "b"]).filter(pa.array([near(sets[x], sets[y]) for x, y in zip(a, b)], pa.bool_()))
 
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(buckets: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` that share a bucket and not a component and agree on enough minima.
+def _compare(table: pa.Table) -> pa.Table:
+    """Verified links between the two sides of a block of a large bucket, less those that others imply.
 
-    In a bucket, those outside of the component of its smallest member are compared with all members.
-    Large buckets are compared in blocks of at most about BLOCK by BLOCK members, with the minima at hand.
+    A pair is looked at only in the first of the bands that it shares, and its full sets are compared only if the
+    block's links have not connected it by then: a block returns a forest, never all of its pairs.
+    """
+    is_one = np.asarray(table.column("side")) == 1
+    doc, c = np.asarray(table.column("doc")), np.asarray(table.column("c"))
+    minima = _minima(table.column("minima"))
+    codes = band_codes(minima)
+    here = int(np.flatnonzero(codes[0] == table.column("band")[0].as_py())[0])
+    pairs = []
+    for i in np.flatnonzero(is_one):
+        rest = np.flatnonzero(~is_one & (c != c[i]))
+        rest = rest[(minima[rest] == minima[i]).sum(1) >= SIGNATURE]
+        rest = rest[(codes[rest] == codes[i]).argmax(1) == here]
+        pairs += [(i, k) for k in rest]
+    used = sorted({x for pair in pairs for x in pair})
+    text = table.column("text").to_pylist()
+    sets = dict(zip(used, token_sets([text[x].encode() for x in used]))) if used else {}
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for i, k in pairs:
+        x, y = root(int(c[i])), root(int(c[k]))
+        if x != y and near(sets[i], sets[k]):
+            parent[x] = y
+            found.append((int(doc[i]), int(doc[k])))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _across(buckets: DataFrame, component: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` between different components that meet in a bucket.
+
+    In a bucket, those outside of the component of its smallest member are compared with all members. Small
+    buckets are paired by a join; large ones are compared in blocks of at most about BLOCK by BLOCK members.
     """
     named = buckets.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).select("band", "doc", "c")
     named = stage(named, "named-buckets")
@@ -175,27 +224,15 @@ def _open_pairs(buckets: DataFrame, component: DataFrame, classes: DataFrame) ->
     one = small.where("c != main").select("band", F.col("doc").alias("x"), F.col("c").alias("cx"))
     other = small.select("band", F.col("doc").alias("y"), F.col("c").alias("cy"))
     met = one.join(other, "band").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    likely = _likely(met, classes)
-
-    def compare(table: pa.Table) -> pa.Table:
-        is_one = np.asarray(table.column("side")) == 1
-        doc, c = np.asarray(table.column("doc")), np.asarray(table.column("c"))
-        minima = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint16).reshape(-1, HASHES)
-        found = []
-        for i in np.flatnonzero(is_one):
-            rest = np.flatnonzero(~is_one & (c != c[i]))
-            rest = rest[(minima[rest] == minima[i]).sum(1) >= SIGNATURE]
-            found.append(np.stack([np.minimum(doc[i], doc[rest]), np.maximum(doc[i], doc[rest])], 1))
-        pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    light = verify(stage(_likely(met, classes), "met"), texts)
 
     outside = large.groupBy("band").agg(F.sum(F.when(F.col("c") != F.col("main"), 1).otherwise(0)).alias("m"))
     large = large.join(outside, "band").withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "ones": F.ceil(F.col("m") / BLOCK).cast("int"), "h": F.xxhash64("doc")})
     of_one = large.where("c != main").select("band", "doc", "c", F.lit(1).alias("side"), F.pmod("h", "ones").cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
     of_other = large.select("band", "doc", "c", F.lit(0).alias("side"), F.pmod("h", "blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("j"))
-    blocks = of_one.unionByName(of_other).join(classes.select("doc", "minima"), "doc")
-    heavy = blocks.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
-    return likely.unionByName(heavy).distinct()
+    blocks = of_one.unionByName(of_other).join(classes.select("doc", "minima"), "doc").join(texts, "doc")
+    heavy = blocks.groupBy("band", "i", "j").applyInArrow(_compare, "a long, b long")
+    return light.unionByName(heavy).distinct()
 
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,8 +253,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     links = stage(verify(likely, texts).unionByName(own), "links")
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    across = stage(_open_pairs(buckets, found, classes), "across")
-    more = stage(verify(across, texts), "more-links")
+    more = stage(_across(buckets, found, classes, texts), "more-links")
     stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = connected_components(stars.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
