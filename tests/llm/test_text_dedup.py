@@ -186,3 +186,47 @@ def test_passages(spark):
     exact = next(r for r in got if (r["doc_id"], r["other_id"]) == (11, 10))
     assert (exact["start"], exact["end"]) == (40, 110)
     assert passages.passages(documents(spark).where("false")).count() == 0
+
+
+def brute_passage(x, y, width=46):
+    """Whether any two ranges of at least ``width`` tokens (all different within a text) are similar enough."""
+    at = {int(t): k for k, t in enumerate(y)}
+    to = np.array([at.get(int(t), -1) for t in x])
+    for s in range(len(x) - width + 1):
+        for e in range(s + width, len(x) + 1):
+            hit = np.sort(to[s:e][to[s:e] >= 0])
+            for a in range(len(hit)):
+                ends = np.maximum(hit[a:] + 1, hit[a] + width)
+                n = np.where(ends <= len(y), ends - hit[a], np.maximum(hit[a:] + 1 - max(len(y) - width, 0), width))
+                common = np.arange(1, len(n) + 1)
+                if len(n) and (7 * common >= 3 * (e - s + n)).any() and len(y) >= width:
+                    return True
+    return False
+
+
+def test_edited_passages_are_verified_at_every_position():
+    import pyarrow as pa
+
+    def edits(words):
+        for k in range(len(words)):
+            yield "word", words[:k] + ["changed"] + words[k + 1 :]
+            yield "phrase", words[:k] + [f"new{m}" for m in range(6)] + words[k + 6 :]
+            yield "insertion", words[:k] + [f"more{m}" for m in range(4)] + words[k:]
+
+    lost, seen = [], 0
+    for n in (50, 60, 70, 90):
+        words = prose(500 + n, n).split()
+        for kind, new in edits(words):
+            # y is embedded in other text, as a passage of a longer document is
+            own, other = " ".join(words), " ".join([*prose(600, 20).split(), *new, *prose(601, 20).split()])
+            hashes, counts = minhash.shingles(pa.array([own.encode(), other.encode()], pa.binary()))
+            x, y = hashes[: counts[0]], hashes[counts[0] :]
+            box = np.array([(j, 0, 20, len(x) - 1, 0, 40, len(y) - 1) for j in range(2)])
+            got = passages.align(x, y, box)
+            assert all(e - s >= 46 and oe - os >= 46 and passages.similar(x[s:e], y[os:oe]) == v >= 0.75 for s, e, os, oe, v in got)
+            if kind == "word" or (n, kind) in ((60, "phrase"), (60, "insertion"), (90, "phrase")):
+                want = brute_passage(x, y) if n < 70 else True
+                seen += want
+                if want and not got:
+                    lost.append((n, kind, len(new)))
+    assert seen > 150 and not lost
