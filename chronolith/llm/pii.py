@@ -1,13 +1,16 @@
 """Surrogates for personal data: keyed replacements of the same type, gender, script and format.
 
-Entities are found by patterns in texts that hold a digit, an at sign or a title. An entity's canonical form
-(digits of a number, an address in lower case, a name without its title) is mapped to a surrogate by a keyed
+Entities are found by patterns in texts that hold a digit of any script, an at sign, a title or the key word of a
+secret. A person is found after a title; its full name, first and last word are then replaced without one, too, and
+a short form after a title ("Dr Smith") is the person of the text that it fits. An entity's canonical form (digits
+of a number, an address in lower case, a name and the gender of its titles) is mapped to a surrogate by a keyed
 hash, so that all mentions of it, in any document and format, get the same one; a mention keeps its own
 punctuation and case. Checksums stay valid where they were, private networks stay private, countries stay.
 
 Distinctness is checked over the whole corpus: surrogates that two entities share, or that are themselves an
 entity of the corpus, are drawn again with a higher attempt until none is left. The few entities with a higher
-attempt are joined to the documents that hold them; all others need no exchange at all.
+attempt, and names whose gender only other texts tell, are joined to the documents that hold them; all others
+need no exchange at all.
 
 Defined cases: null and empty texts stay; repeated rows are treated alike; a null id is carried through; an
 empty table gives an empty result; other columns are passed through (``n_entities`` and ``kinds`` are replaced).
@@ -15,12 +18,14 @@ empty table gives an empty result; other columns are passed through (``n_entitie
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,11 +64,17 @@ PATTERNS = {
     "person": rf"(?:(?<=\s)|(?<=^)|(?<=[(\"']))(?:{_TITLE})\.? {_NAME}(?:[ -]{_NAME}){{0,2}}",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-ANCHOR = re.compile(rf"[0-9@]|\b(?:{_TITLE})\b")
+#: What every pattern needs a part of.
+ANCHOR = re.compile(rf"[\d@]|(?:token|key|secret|password)(?: = |=)\"|\b(?:{_TITLE})\b")
 DIGITS = re.compile(r"\d")
 FOUND = "type string, canonical string"
 
 
+def _ascii_digits(text: str) -> str:
+    """The digits of a text, whatever their script."""
+    return "".join(str(unicodedata.decimal(c)) for c in DIGITS.findall(text))
+
+
 def canonical(kind: str, text: str) -> str:
     if kind == "email":
         return text.lower()
@@ -72,10 +83,10 @@ def canonical(kind: str, text: str) -> str:
         return f"{_GENDER[title.rstrip('.')]}|{name.lower()}"
     if kind == "phone":
         code = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
-        digits = "".join(DIGITS.findall(text))
-        return f"{code[1]}|{digits[len(code[1]):]}" if code else f"|{digits}"
+        digits = _ascii_digits(text)
+        return f"{digits[:len(code[1])]}|{digits[len(code[1]):]}" if code else f"|{digits}"
     if kind in ("card", "ssn"):
-        return "".join(DIGITS.findall(text))
+        return _ascii_digits(text)
     return text.replace(" ", "") if kind == "iban" else text
 
 
@@ -86,6 +97,79 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), next(k for k in PATTERNS if m[k] is not None)) for m in FINDER.finditer(text)]
 
 
+@dataclass
+class Mention:
+    """An entity in a text; of a person ``word`` is the one that stands for it (0 first, -1 last), None the whole name."""
+
+    start: int
+    end: int
+    kind: str
+    known: str
+    word: int | None = None
+    titled: bool = True
+
+
+def read(text: str) -> list[Mention]:
+    """The mentions of a text in order, persons resolved within the text and with their bare repeats."""
+    spans = [Mention(s, e, kind, canonical(kind, text[s:e])) for s, e, kind in mentions(text)]
+    persons = [m for m in spans if m.kind == "person"]
+    if not persons:
+        return spans
+    named = [(m, *m.known.split("|", 1)) for m in persons]
+    genders: dict[str, str] = {}
+    for _, gender, name in named:
+        if gender != "n":
+            genders.setdefault(name, gender)
+    for m, gender, name in named:
+        if gender == "n":
+            m.known = f"{genders.get(name, 'n')}|{name}"
+    whole = [(m.start, m.known, m.known.partition("|")[2].split(" "), text[m.start : m.end].partition(" ")[2].split(" ")) for m in persons]
+    full = [w for w in whole if len(w[2]) > 1]
+    # A neutral title of a full name is the gender that a short form in the text tells, if one fits.
+    told = {}
+    for _, known, words, _ in full:
+        if known[0] == "n":
+            other = {g for _, g, name in named if g != "n" and name == words[-1]}
+            if len(other) == 1 and not any(w[1][0] in other and w[2][-1] == words[-1] for w in full):
+                told[known] = f"{other.pop()}{known[1:]}"
+    for m in persons:
+        m.known = told.get(m.known, m.known)
+    full = [(at, told.get(known, known), words, own) for at, known, words, own in full]
+
+    def whose(word: str, at: int, gender: str = "n") -> tuple[str, int] | None:
+        """The person with such a last or else first word, the latest one before ``at`` or else the first after it."""
+        for k in (-1, 0):
+            fits = [w for w in full if w[2][k] == word and (gender == "n" or w[1][0] in (gender, "n"))]
+            if fits:
+                return max((w for w in fits if w[0] <= at), default=fits[0], key=lambda w: w[0])[1], k
+        return None
+
+    for m, gender, name in named:
+        if " " not in name and (person := whose(name, m.start, gender)):
+            m.known, m.word = person
+    forms: dict[str, None] = {}
+    for *_, own in whole:
+        for form in dict.fromkeys([" ".join(own), own[-1], own[0]]):
+            for cased in (form, form.upper(), " ".join("-".join(x[:1].upper() + x[1:].lower() for x in w.split("-")) for w in form.split(" "))):
+                forms[cased] = None
+    bare = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(x) for x in sorted(forms, key=len, reverse=True))})(?!\w)")
+    ends, bares = [m.end for m in spans], []
+    for found in bare.finditer(text):
+        k = bisect.bisect_right(ends, found.start())
+        if k < len(ends) and spans[k].start < found.end():
+            continue
+        name = found[0].lower()
+        before = [m for m in persons if m.known.partition("|")[2] == name and m.word is None]
+        if before:
+            known, word = max((m for m in before if m.start <= found.start()), default=before[0], key=lambda m: m.start).known, None
+        elif person := whose(name, found.start()):
+            known, word = person
+        else:
+            continue
+        bares.append(Mention(found.start(), found.end(), "person", known, word, False))
+    return sorted([*spans, *bares], key=lambda m: m.start)
+
+
 class Draw:
     """A stream of numbers from a keyed hash."""
 
@@ -176,29 +260,35 @@ def surrogate(key: bytes, kind: str, known: str, attempt: int = 0) -> str:
     return scramble(draw, known)
 
 
-def render(kind: str, mention: str, new: str) -> str:
+def render(kind: str, mention: str, new: str, word: int | None = None, titled: bool = True) -> str:
     """A surrogate in the format of the mention that it replaces."""
     if kind in ("phone", "card", "ssn", "iban"):
         chars = iter(new.replace("|", ""))
-        return "".join(next(chars) if c.isalnum() else c for c in mention)
+        return "".join(_in_script(next(chars), c) if c.isalnum() else c for c in mention)
     if kind == "person":
-        title, _, name = mention.partition(" ")
+        title, gap, name = mention.partition(" ") if titled else ("", "", mention)
         made = new.partition("|")[2]
-        return f"{title} {made.upper() if name.isupper() else ' '.join('-'.join(x[:1].upper() + x[1:] for x in w.split('-')) for w in made.split(' '))}"
+        made = made if word is None else made.split(" ")[word]
+        return title + gap + (made.upper() if name.isupper() else " ".join("-".join(x[:1].upper() + x[1:] for x in w.split("-")) for w in made.split(" ")))
     if kind == "email":
         return new.upper() if mention.isupper() else new
     return new
 
 
-def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, list[str]]:
-    """The text with surrogates, and the types of the mentions replaced."""
+def _in_script(digit: str, like: str) -> str:
+    """A digit in the script of the one that it replaces."""
+    return chr(ord(like) - unicodedata.decimal(like) + int(digit)) if not like.isascii() and like.isdecimal() and digit.isdecimal() else digit
+
+
+def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None, others: dict[tuple[str, str], str] | None = None) -> tuple[str, list[str]]:
+    """The text with surrogates, and the types of the mentions replaced; ``others`` has entities known by another form."""
     out, at, kinds = [], 0, []
-    for start, end, kind in mentions(text):
-        mention = text[start:end]
-        known = canonical(kind, mention)
-        out += [text[at:start], render(kind, mention, surrogate(key, kind, known, (attempts or {}).get((kind, known), 0)))]
-        at = end
-        kinds.append(kind)
+    for m in read(text):
+        entity = (m.kind, m.known)
+        new = surrogate(key, m.kind, (others or {}).get(entity, m.known), (attempts or {}).get(entity, 0))
+        out += [text[at : m.start], render(m.kind, text[m.start : m.end], new, m.word, m.titled)]
+        at = m.end
+        kinds.append(m.kind)
     return "".join([*out, text[at:]]), kinds
 
 
@@ -209,7 +299,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             rows = []
             for mark, text in zip(batch.column("print").to_pylist(), batch.column("text").to_pylist()):
-                rows += sorted({(mark, kind, canonical(kind, text[s:e])) for s, e, kind in mentions(text)})
+                rows += sorted({(mark, m.kind, m.known) for m in read(text)})
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["print", "type", "canonical"])
 
@@ -253,19 +343,28 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text") -> Data
     """``docs`` with surrogates in the text, ``n_entities`` (mentions) and ``kinds`` (their sorted types)."""
     docs = docs.drop("n_entities", "kinds")
     found = stage(entities(docs, text_col), "mentions")
-    redrawn = stage(assign(found, key).where("attempt > 0").select("type", "canonical", "attempt"), "redrawn")
+    # A name under neutral titles only is, if other texts tell its gender, the entity of that gender.
+    person = found.where("type = 'person'").select("canonical").distinct()
+    gendered = person.where("canonical not like 'n|%'").groupBy(F.expr("substr(canonical, 3)").alias("name")).agg(F.min("canonical").alias("becomes"))
+    neutral = person.where("canonical like 'n|%'").withColumn("name", F.expr("substr(canonical, 3)"))
+    told = stage(neutral.join(gendered, "name").select(F.lit("person").alias("type"), "canonical", "becomes"), "told")
+    entity = found.select("type", "canonical").distinct().join(told, ["type", "canonical"], "left").select("type", F.coalesce("becomes", "canonical").alias("canonical"))
+    redrawn = assign(entity, key).where("attempt > 0").select("type", F.col("canonical").alias("becomes"), "attempt")
+    changed = found.select("type", "canonical").distinct().join(told, ["type", "canonical"], "left").select("type", "canonical", F.coalesce("becomes", "canonical").alias("becomes"))
+    changed = changed.join(redrawn, ["type", "becomes"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))).where("attempt > 0 or becomes != canonical")
+    redrawn = stage(changed.select("type", "canonical", "becomes", "attempt"), "redrawn")
     whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     if redrawn.isEmpty():
-        whole = whole.withColumn("attempts", F.lit(None).cast("array<struct<type:string,canonical:string,attempt:int>>"))
+        whole = whole.withColumn("attempts", F.lit(None).cast("array<struct<type:string,canonical:string,becomes:string,attempt:int>>"))
     else:
-        own = found.join(redrawn, ["type", "canonical"]).groupBy("print").agg(F.collect_set(F.struct("type", "canonical", "attempt")).alias("attempts"))
+        own = found.join(redrawn, ["type", "canonical"]).groupBy("print").agg(F.collect_set(F.struct("type", "canonical", "becomes", "attempt")).alias("attempts"))
         whole = whole.withColumn("print", F.xxhash64("text")).join(stage(own, "redrawn-by-text"), "print", "left").drop("print")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, kinds = [], [], []
             for text, redraw in zip(batch.column("text").to_pylist(), batch.column("attempts").to_pylist()):
-                new, seen = (text, []) if text is None else replace(text, key, {(a["type"], a["canonical"]): a["attempt"] for a in redraw or ()})
+                new, seen = (text, []) if text is None else replace(text, key, *({(a["type"], a["canonical"]): a[c] for a in redraw or ()} for c in ("attempt", "becomes")))
                 texts.append(new)
                 counts.append(len(seen))
                 kinds.append(sorted(set(seen)))

@@ -118,3 +118,27 @@ def test_clean_and_empty_tables(spark):
     out = pii.pseudonymise(docs, KEY)
     assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(r["doc_id"], r["text"]) for r in docs.collect()}
     assert pii.pseudonymise(docs.where("false"), KEY).count() == 0
+
+
+def test_texts_without_digit_or_sign_and_other_scripts_digits():
+    for line, secret in (('password = "correct-horse"', "correct-horse"), ('token="abcdefghijk"', "abcdefghijk")):
+        assert pii.replace(line, KEY)[1] == ["secret"] and secret not in pii.replace(line, KEY)[0]
+    arabic = "078-05-1120".translate({ord("0") + k: 0x660 + k for k in range(10)})
+    new, kinds = pii.replace(f"x {arabic} y", KEY)
+    assert kinds == ["ssn"] and arabic not in new and re.fullmatch("x [\u0660-\u0669]{3}-[\u0660-\u0669]{2}-[\u0660-\u0669]{4} y", new)
+    plain = re.sub("[\u0660-\u0669]", lambda m: str(ord(m[0]) - 0x660), new)
+    assert plain == pii.replace("x 078-05-1120 y", KEY)[0]
+
+
+def test_persons_keep_one_surrogate_in_all_forms(spark):
+    text = "Dr Smith met Mr John Smith. John Smith left; Smith, SMITH and Mr Smith stayed with Dr John Smith. Smithson and smith stay."
+    new, kinds = pii.replace(text, KEY)
+    got = re.fullmatch(r"Dr (\w+) met Mr (\w+) (\w+)\. (\w+) (\w+) left; (\w+), (\w+) and Mr (\w+) stayed with Dr (\w+) (\w+)\. Smithson and smith stay\.", new)
+    assert got and kinds == ["person"] * 7 and not re.search(r"\b(?:John|Smith|SMITH)\b", new)
+    assert len({got[k].lower() for k in (1, 3, 5, 6, 7, 8, 10)}) == 1 and got[2] == got[4] == got[9] and got[7].isupper()
+    two = pii.replace("Mr Tom Gray and Mrs Ann Gray: Mrs Gray spoke, Mr Gray did not.", KEY)[0]
+    names = re.fullmatch(r"Mr \w+ (\w+) and Mrs \w+ (\w+): Mrs (\w+) spoke, Mr (\w+) did not\.", two)
+    assert names and names[1] == names[4] and names[2] == names[3]
+    docs = spark.createDataFrame([(1, "so Dr John Smith said"), (2, "so Mr John Smith said"), (3, "so John Smith said")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, KEY).collect()}
+    assert out[1].replace("Dr ", "Mr ") == out[2] != "so Mr John Smith said" and out[3] == "so John Smith said"
