@@ -5,9 +5,10 @@ in the cell of its two nearest codewords, a product grid of far more cells than
 neighbours are looked for by multi-sequence traversal: cells are taken from the grid in order of the
 distance that a member must at least have, until that bound exceeds the radius that holds the target
 recall. With ``recall`` 1 the radius is that of the similarity itself and no link can be missed, but most
-of the grid may have to be visited; below 1 it is the quantile of the bounds seen between linked vectors
-of the sample, and FLOOR of the full (squared) radius at least. All pairs that a cell offers are verified
-by cosine in double precision.
+of the grid may have to be visited; below 1 it is the quantile of the bounds between vectors of the sample and
+neighbours made for them at exactly the cosine limit, where links are hardest to find. These are there at any
+size of the table; without a sample the radius is the full one. All pairs that a cell offers are verified by
+cosine in double precision.
 
 Only the smallest id of identical vectors of a label is filed; the others are counted with it. A cell's
 members and visitors meet in blocks of at most BLOCK by BLOCK rows, and a block returns, not its pairs,
@@ -37,8 +38,8 @@ from .graph import connected_components
 SAMPLE = 20_000
 BLOCK = 2048
 MAX_CODEWORDS = 4096
-#: Least part of the squared radius that a traversal covers.
-FLOOR = 1 / 32
+#: Vectors of the sample that neighbours are made for, and neighbours of each kind.
+PROBES, TURNS = 2000, 5
 #: Rounding of the stored components must not hide a link at the very limit.
 SLACK = 1e-6
 
@@ -94,19 +95,31 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
     return book
 
 
+def _neighbours(x: np.ndarray, cosine: float, others: np.ndarray | None, rng: np.random.Generator) -> np.ndarray:
+    """A unit vector at exactly ``cosine`` from each row: in any direction, or in that of the difference of two ``others``."""
+    way = rng.standard_normal(x.shape) if others is None else others[rng.integers(0, len(others), len(x))] - others[rng.integers(0, len(others), len(x))]
+    way = way - (way * x).sum(1)[:, None] * x
+    size = np.sqrt((way * way).sum(1))[:, None]
+    return np.where(size > 1e-9, cosine * x + (1 - cosine * cosine) ** 0.5 * way / np.maximum(size, 1e-9), x)
+
+
 def fit(sample: np.ndarray, n: int, cosine: float, recall: float = 1.0, seed: int = 5) -> Grid:
     """Codebooks of about (n / 16) ^ (1/2) words each, so that a cell of the grid would hold 16 vectors if
-    they were spread evenly. ``recall`` below 1 shortens the radius to what holds that share of the sample's links."""
+    they were spread evenly. ``recall`` below 1 shortens the radius to what holds that share of the neighbours made."""
     rng = np.random.default_rng(seed)
     half = sample.shape[1] // 2
     k = int(min(MAX_CODEWORDS, max(1, (n / 16) ** 0.5), len(sample)))
     grid = Grid((k_means(sample[:, :half], k, rng), k_means(sample[:, half:], k, rng)), 2 - 2 * cosine + SLACK)
-    if recall < 1:
-        part = sample[:2000]
-        own, least = grid.bounds(part)
-        i, j = np.nonzero(np.triu(part @ part.T >= cosine, 1))
-        seen = np.quantile(least[0][i, own[0][j]] + least[1][i, own[1][j]], recall) if len(i) else 0.0
-        grid.radius = min(grid.radius, max(float(seen), FLOOR * grid.radius) + SLACK)
+    if recall < 1 and len(sample):
+        seen = []
+        for others in (None, sample):
+            found = []
+            for a in range(0, PROBES * TURNS, 500):
+                x = sample[np.arange(a, a + 500) % min(len(sample), PROBES)]
+                least, own = grid.bounds(x)[1], grid.bounds(_neighbours(x, cosine, others, rng))[0]
+                found.append(least[0][np.arange(len(x)), own[0]] + least[1][np.arange(len(x)), own[1]])
+            seen.append(float(np.quantile(np.concatenate(found), recall)))
+        grid.radius = min(grid.radius, max(seen) + SLACK)
     return grid
 
 

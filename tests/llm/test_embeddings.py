@@ -78,3 +78,20 @@ def test_repeated_ids_and_empty_table(spark):
     assert {r["component_id"] for r in got if r["vec_id"] in (1, 2, 3)} == {1}
     assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, True)]
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_radius_does_not_depend_on_links_in_the_sample():
+    """A sample that holds no linked pair, of a table of any size: pairs at the limit are found all the same."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
+    sample = unit(rng.standard_normal((4000, 64)))
+    for n in (20_000, 400_000):
+        grid = embeddings.fit(sample, n, 0.93, 0.9999)
+        x = unit(rng.standard_normal((1500, 64)))
+        way = rng.standard_normal(x.shape)
+        way = unit(way - (way * x).sum(1)[:, None] * x)
+        y = 0.93 * x + (1 - 0.93**2) ** 0.5 * way
+        (first, second), (own_a, own_b) = grid.bounds(x)[1], grid.bounds(y)[0]
+        at = np.arange(len(x))
+        assert np.mean(first[at, own_a] + second[at, own_b] <= grid.radius) >= 0.998
+    assert embeddings.fit(sample, 20_000, 0.93, 1.0).radius >= grid.radius
