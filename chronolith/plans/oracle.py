@@ -32,6 +32,9 @@ ORACLE = {
     "canonical_sort": f"""
         SELECT date, sha, CAST(row_number() OVER (ORDER BY date, sha) AS INTEGER) AS rank
         FROM (SELECT {_STAMP} AS date, lpad(CAST(event_id AS VARCHAR), 12, '0') AS sha FROM events) ORDER BY date, sha LIMIT 100""",
+    "canonical_ranks": f"""
+        SELECT date, sha, row_number() OVER (ORDER BY date, sha) AS rank
+        FROM (SELECT {_STAMP} AS date, lpad(CAST(event_id AS VARCHAR), 12, '0') AS sha FROM events)""",
     "shard_diff": f"""
         WITH e AS (SELECT {_DAY} AS shard, day(ts) AS n, event_id, concat_ws('|', event_id, event_type, props) AS r FROM events),
         o AS (SELECT shard, string_agg(r, chr(10) ORDER BY event_id) AS c FROM e WHERE n <= 18 GROUP BY shard),

@@ -44,6 +44,12 @@ def canonical_sort(spark: SparkSession, sf: str) -> DataFrame:
     return shards.ranked(events, 100)
 
 
+def canonical_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """All events with their place in canonical order; :func:`canonical_sort` is its head."""
+    events = _table(spark, sf, "events").select(_stamp(F.col("ts")).alias("date"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("sha"))
+    return shards.ranked_all(events)
+
+
 def shard_diff(spark: SparkSession, sf: str) -> DataFrame:
     """What a save would do, between two states of the events: some days cut, one edited."""
     events = _table(spark, sf, "events").withColumn("shard", F.date_format("ts", "yyyy-MM-dd")).withColumn("n", F.dayofmonth("ts"))
@@ -232,7 +238,7 @@ def line_classify(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        shard_manifest, day_keys, canonical_sort, shard_diff, legacy_migrate, size_budget, size_texts, dist_budget, dist_message, retention,
+        shard_manifest, day_keys, canonical_sort, canonical_ranks, shard_diff, legacy_migrate, size_budget, size_texts, dist_budget, dist_message, retention,
         cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, override_merge,
         day_range, feed_rows, compact_numbers, patch_files, patch_hunks, patch_stats, version_bumps, hunk_sections, line_classify,
     )

@@ -31,6 +31,16 @@ def test_canonical_order_puts_nulls_first(spark):
     assert [r["sha"] for r in shards.canonical_sort(df).collect()] == ["z", "a", "c", "b", "d"]
 
 
+def test_every_record_has_its_rank(spark):
+    rows = [(f"{k * 7919 % 1009:05d}", None if k % 50 == 0 else at(f"2026-01-{1 + k % 3:02d}"), None, "x") for k in range(400)]
+    df = entries(spark, *rows).repartition(3)
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))
+    for pieces in (1, 7, 64):
+        got = shards.ranked_all(df, pieces=pieces).collect()
+        assert {r["rank"]: r["sha"] for r in got} == {k + 1: r[0] for k, r in enumerate(want)} and len(got) == 400
+    assert shards.ranked_all(df.where("false")).count() == 0
+
+
 def test_round_trip_and_manifest(spark, tmp_path):
     root = str(tmp_path / "s")
     assert changelog.load(spark, root) is None and changelog.stored_bytes(spark, root) == 0
