@@ -4,7 +4,8 @@ A HyperLogLog sketch of sites is kept per line hash and merged by the aggregatio
 line that is on every page costs one small sketch per task. Lines whose estimate is clearly below the
 limit are left alone, lines clearly above are boilerplate, and only lines near the limit are counted
 exactly. Boilerplate is removed from every document, except from documents that consist of it by more
-than ``whole_share`` of their lines: those are copies of one document, which near-dedup settles.
+than ``whole_share`` of their lines: those are copies of one document, which near-dedup settles. With
+``whole_share`` None only documents that have no other line are left alone.
 
 Lines are compared without blanks at their ends, by two 64-bit hashes. Defined cases: null or empty texts
 stay as they are; blank lines are no lines and stay; a null site is no site; repeated rows are treated
@@ -53,7 +54,7 @@ def spread_lines(docs: DataFrame, *, min_sites: int = 10, text_col: str = "text"
     return stage(sure.unionByName(exact), "spread")
 
 
-def clean(docs: DataFrame, *, min_sites: int = 10, whole_share: float = 0.5, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def clean(docs: DataFrame, *, min_sites: int = 10, whole_share: float | None = 0.5, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and n_lines, n_spread and n_removed.
 
     A text is joined with the hashes of its own boilerplate lines only, by id and a hash of the text.
@@ -70,7 +71,7 @@ def clean(docs: DataFrame, *, min_sites: int = 10, whole_share: float = 0.5, tex
     n_lines = F.coalesce(F.size(F.filter(lines, filled)), F.lit(0))
     n_spread = F.when(F.col("_bad").isNotNull(), F.size(F.filter(lines, lambda x: filled(x) & is_bad(x)))).otherwise(F.lit(0))
     counted = joined.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"), "n_spread": n_spread.cast("long")})
-    partly = F.col("n_spread") <= F.lit(whole_share) * F.col("n_lines")
+    partly = F.col("n_spread") < F.col("n_lines") if whole_share is None else F.col("n_spread") <= F.lit(whole_share) * F.col("n_lines")
     left = F.array_join(F.filter(lines, lambda x: ~(filled(x) & is_bad(x))), "\n")
     return counted.withColumns({"n_removed": F.when(partly, F.col("n_spread")).otherwise(F.lit(0)).cast("long"), text_col: F.when((F.col("n_spread") > 0) & partly, left).otherwise(F.col(text_col))}).drop("_id", "_print", "_text_print", "_bad")
 

@@ -21,8 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines spread over many sources are taken out of the texts; every document stays."""
-    cleaned = lines.clean(docs)
+    """Lines spread over many sources are taken out of all texts that have other lines; every document stays."""
+    cleaned = lines.clean(docs, whole_share=None)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.select(docs.columns)

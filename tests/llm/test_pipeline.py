@@ -47,3 +47,11 @@ def test_stages_equal_brute_force(spark, tmp_path):
         assert 0 < r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
     assert all(abs(t - n) <= 150 for t, n in by_source.values())
     assert shingle_set("a b") and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_line_stage_cleans_texts_that_are_mostly_spread_lines(spark):
+    rows = [(k, f"one for all\nown line {k}\ntwo for all", "en", f"s{k}", 40) for k in range(12)] + [(20, "one for all\ntwo for all", "en", "s1", 23)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.remove_lines(spark, docs, "").collect()}
+    assert all((got[k]["text"], got[k]["n_chars"]) == (f"own line {k}", len(f"own line {k}")) for k in range(12))
+    assert (got[20]["text"], got[20]["n_chars"]) == ("one for all\ntwo for all", 23)
