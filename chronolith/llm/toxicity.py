@@ -30,8 +30,10 @@ from . import gru
 from .common import ALNUM, as_binary, bound_batches, encode, hash64, slices, split_words
 
 WINDOW, STRIDE, PIECE = 32, 16, 20
-#: Bound of the training sample: documents per class, and characters of each.
+#: Bound of the training sample: documents per class, and characters of each on average.
 SAMPLE, SAMPLE_CHARS = 1500, 6000
+#: A text beyond the bound is represented by so many stretches of it, evenly spaced from its first to its last.
+STRETCHES = 8
 N_CHARS, N_WORDS, E_CHAR, E_WORD, H_CHAR, H_WORD = 256, 4096, 8, 8, 8, 12
 ROUNDS, WARM, BATCH, RATE = 7, 3, 32, 0.006
 
@@ -249,17 +251,36 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
     return Model(p, slope, shift)
 
 
+def _level(sizes: list[int], room: int) -> int:
+    """The length, SAMPLE_CHARS at least, that texts are cut to for all to fit into ``room``."""
+    left, at = room, len(sizes)
+    for size in sorted(sizes):
+        if size * at > left:
+            return max(SAMPLE_CHARS, left // at)
+        left, at = left - size, at - 1
+    return max([SAMPLE_CHARS, *sizes])
+
+
 def sample(docs: DataFrame, labels: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """Texts and labels of the training sample, and the share of label 1 among all usable labels.
 
     ``learn`` is the condition of rows to learn from. Of each class the SAMPLE labelled ids of the lowest
-    hashes are taken, so the ids sent to the executors are bounded; of these, texts of up to SAMPLE_CHARS.
+    hashes are taken, so the ids sent to the executors are bounded. No text is left out: all are whole if they have
+    2 * SAMPLE * SAMPLE_CHARS characters together; otherwise those above the length that keeps to it (SAMPLE_CHARS
+    at least) are cut to STRETCHES stretches of as many characters in all.
     """
     usable = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
     row = usable.agg(F.avg("_label"), F.count("_label")).first()
     picked = [usable.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    got = docs.join(ids, F.col(id_col) == F.col("_id")).where(F.char_length(text_col) <= SAMPLE_CHARS).select("_id", "_label", text_col).toPandas()
+    drawn = docs.join(ids, F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull())
+    size = F.char_length(text_col)
+    longer = [r[0] for r in drawn.where(size > SAMPLE_CHARS).select(size).collect()]
+    rest = drawn.where(size <= SAMPLE_CHARS).agg(F.sum(size)).first()[0] or 0 if longer else 0
+    most = _level(longer, 2 * SAMPLE * SAMPLE_CHARS - rest)
+    piece = most // STRETCHES
+    stretches = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substring(text_col, F.floor(k * (size - piece) / (STRETCHES - 1)).cast("int") + 1, F.lit(piece)))
+    got = drawn.select("_id", "_label", F.when(size > most, F.concat_ws(" ", stretches)).otherwise(F.col(text_col)).alias(text_col)).toPandas()
     got = got.sort_values(["_id", text_col], kind="stable")
     return [t.encode() for t in got[text_col]], got["_label"].to_numpy(np.float32), row[0] or 0.0
 

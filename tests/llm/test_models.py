@@ -127,3 +127,15 @@ def test_quality_features_and_empty_cases(spark):
     features = quality.feature_table(documents(spark))
     ranking = quality.train(features, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
     assert {r["score"] for r in quality.score(features, ranking).collect()} == {1.0}
+
+
+def test_long_labelled_texts_are_trained_on(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400)
+    rows = [(k, f"start{k} " + prose(k, 400) + f" end{k}" if k % 2 else prose(k, 10), k % 2) for k in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts, y, _ = toxicity.sample(table.select("doc_id", "text"), table.select("doc_id", "toxic"), F.lit(True))
+    assert sorted(y.tolist()) == [0] * 40 + [1] * 40 and sum(map(len, texts)) <= 1.02 * 2 * 40 * 400
+    assert all(t.startswith(b"start") and b" end" in t for t, label in zip(texts, y) if label)
+    assert toxicity.fit(texts, y).params is not None
+    assert toxicity._level([500, 900, 5000], 3000) == 1600 and toxicity._level([500, 900], 3000) == 900 and toxicity._level([], 10) == 400
