@@ -38,7 +38,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def bound_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session by rows and bytes, so that very long texts fit into a worker.
 
-    Limits that the session was started with stay.
+    Plans are lazy, so the settings stay; those that the session was started with are not touched.
     """
     started = spark.sparkContext.getConf()
     for key, value in _ARROW.items():
@@ -60,11 +60,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_stage(df: DataFrame) -> None:
-    """Delete a table made by :func:`stage` that no later plan reads."""
+    """Delete the tables made by :func:`stage` that ``df`` reads, when no later plan reads them."""
     spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if "/chronolith/" in path:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended until no column of ``df`` is named so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def as_binary(column: pa.Array) -> pa.Array:

@@ -14,7 +14,8 @@ takes more passes over the same index, and the hits of a document are merged aft
 
 Defined cases: null or empty texts have no words and no hits; an item of fewer words than the window is
 one window; an item without words is ignored; repeated documents each get their row; repeated item ids
-count once; a null item id is ignored; an empty benchmark or table gives rows without hits or no rows.
+count once; a null item id is ignored; other columns, whatever their names, are passed through by
+:func:`decontaminate` and ignored by the others; an empty benchmark or table gives rows without hits or no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, as_binary, encode, slices, split_words, stage
+from .common import ALNUM, as_binary, drop_stage, encode, free_name, slices, split_words, stage
 
 #: Benchmark text in one pass over the index; windows of it take about 20 times as much.
 BLOCK_BYTES = 2 << 20
-#: Free positions between two documents of a segment; windows and slop together stay below it.
+#: Free positions before each document of a segment; windows and slop together stay below it, so that no window
+#: reaches into another document or before the first position.
 GAP = 1024
 #: Candidate positions that are intersected at a time.
 CANDIDATES = 1 << 20
@@ -44,7 +46,7 @@ MATCHES = "segment long, ord int, doc_id long, n_words long, items array<string>
 def _segment(ids: pa.Array, texts: pa.Array, number: int) -> dict:
     words, counts = split_words(texts, ALNUM)
     term, terms = encode(words)
-    base = np.cumsum(counts + GAP) - (counts + GAP)
+    base = np.cumsum(counts + GAP) - counts
     position = np.arange(len(term), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(base, counts)
     key = np.sort((term << 32) | position)
     per_term = np.bincount(term, minlength=len(terms)).astype(np.int32)
@@ -135,9 +137,9 @@ class Windows:
                     break
                 offset = order[row, k]
                 word = number[np.where(live, self.grid[alive[row], offset], 0)] << 32
-                low = word | np.maximum(at + offset - slop, 0)
+                low = word + at + offset - slop
                 place = np.minimum(np.searchsorted(key, low), len(key) - 1)
-                hit = ~live | ((key[place] >= low) & (key[place] <= (word | np.maximum(at + offset + slop, 0))))
+                hit = ~live | ((key[place] >= low) & (key[place] <= low + 2 * slop))
                 row, at = row[hit], at[hit]
             found_window.append(alive[row])
             found_start.append(at)
@@ -154,7 +156,7 @@ def _search(segment: dict, windows: Windows, slop: int) -> dict:
     terms = pa.array(segment["terms"].split(b" ") if len(counts) else [], pa.binary())
     window, at = windows.find(terms, counts, key, slop)
     n_words = np.asarray(segment["doc_words"], np.int64)
-    base = np.cumsum(n_words + GAP) - (n_words + GAP)
+    base = np.cumsum(n_words + GAP) - n_words
     doc = np.searchsorted(base, at + slop, side="right") - 1
     doc = np.maximum(doc, 0)
     # Spans: the union of matched windows, as intervals of words within their documents.
@@ -185,7 +187,7 @@ def _search(segment: dict, windows: Windows, slop: int) -> dict:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
-    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(-(-size // BLOCK_BYTES)) or 1
     return [rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
@@ -266,6 +268,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, slo
 
     Rows that share an id are judged together: one contaminated text rejects all of them.
     """
-    found = match(build_index(docs, id_col, text_col), benchmark, width=width, slop=slop)
-    bad = stage(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    index, name = build_index(docs, id_col, text_col), free_name(docs, "bad")
+    bad = stage(match(index, benchmark, width=width, slop=slop).where(F.size("spans") > 0).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    drop_stage(index)
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
