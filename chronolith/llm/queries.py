@@ -136,7 +136,7 @@ c AS (
   SELECT r, count(*) FILTER (filled) AS n_lines, count(*) FILTER (bad) AS n_spread,
          coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT bad), '') AS kept
   FROM m GROUP BY r),
-o AS (SELECT d.doc_id, d.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_spread, 0) AS n_spread, kept, coalesce(n_spread, 0) > 0 AND n_spread <= 0.5 * n_lines AS cut FROM d LEFT JOIN c USING (r))
+o AS (SELECT d.doc_id, d.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_spread, 0) AS n_spread, kept, coalesce(n_spread, 0) > 0 AND n_spread < n_lines AS cut FROM d LEFT JOIN c USING (r))
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_spread AS BIGINT) AS n_spread, CAST(CASE WHEN cut THEN n_spread ELSE 0 END AS BIGINT) AS n_removed,
        CAST(length(CASE WHEN cut THEN kept ELSE text END) AS BIGINT) AS n_chars, sha256(CASE WHEN cut THEN kept ELSE text END) AS text_sha256
 FROM o
