@@ -10,8 +10,8 @@ which the words are met is found from these sums, and only that bucket is ordere
 
 Defined cases: a null or empty text has size 0; null is a source of its own, ordered last; identical
 rows share their ratio and are drawn together; a null id is hashed as an empty string; an empty table
-gives an empty result; other columns are passed through by :func:`mix` (those named as its outputs
-are replaced).
+gives an empty result; very long texts are handled as any other; other columns, whatever their names, are
+passed through by :func:`mix` (those named as its outputs are replaced).
 """
 
 from __future__ import annotations
@@ -25,16 +25,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 OUTPUT = ("size", "source_size", "target", "copies", "taken")
 
 
-def with_ratio_input(docs: DataFrame, id_col: str, text_col: str, seed: str) -> DataFrame:
-    """Add ``size`` in words and the hashed uniform ``_u`` in (0, 1)."""
+def with_ratio_input(docs: DataFrame, id_col: str, text_col: str, seed: str, *keep: Column) -> DataFrame:
+    """The columns ``keep``, ``size`` in words and the hashed uniform ``_u`` in (0, 1)."""
     ident = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(text_col, F.lit("")))
     draw = F.conv(F.substring(F.md5(ident), 1, 13), 16, 10).cast("double")
-    return docs.withColumns(
-        {
-            "size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"),
-            "_u": (draw + F.lit(0.5)) / F.lit(float(1 << 52)),
-        }
-    )
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(*keep, size.alias("size"), ((draw + F.lit(0.5)) / F.lit(float(1 << 52))).alias("_u"))
 
 
 def allocate(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -114,19 +110,23 @@ def apply_plan(rows: DataFrame, plan_rows: DataFrame, most: int = 2) -> DataFram
     """Copies and words taken of each row; a join to the few rows of the plan, no exchange of documents."""
     chosen = (F.col("_v") < F.col("_edge")) | (F.col("_v") <= F.coalesce("_cut", F.lit(-1.0)))
     copies = F.col("_sure") + F.when(chosen, 1).otherwise(0)
-    out = _copies(_with_plan(rows, plan_rows), most).withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_u", "_w", "_e", "_sure", "_v", "_mass", "_edge", "_cut")
+    return _copies(_with_plan(rows, plan_rows), most).withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights=(5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix", keep_text: bool = True) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, copies and taken words.
 
-    ``weight`` raises or lowers a document's expected copies within its source (1 where null). With
+    ``weight`` raises or lowers a document's expected copies within its source (1 where it is null, negative or
+    not finite); where weights ask for more than ``most`` copies of a document, its source stays below its target. With
     ``keep_text`` false only id, source and the outputs are returned, from the slim table of sizes.
     """
-    rows = with_ratio_input(docs.drop(*OUTPUT), id_col, text_col, seed).withColumn("_w", F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0)))
-    if source_col != "source":
-        rows = rows.drop("source").withColumnRenamed(source_col, "source")
-    slim = stage(rows.select(id_col, "source", "size", "_u", "_w"), "sizes")
-    decided = apply_plan(rows if keep_text else slim, plan(slim, weights, share, most), most)
-    return decided if source_col == "source" else decided.withColumnRenamed("source", source_col)
+    base = docs.drop(*OUTPUT)
+    heft = F.lit(1.0) if weight is None else F.when((weight >= 0) & (weight < float("inf")), weight.cast("double")).otherwise(1.0)
+    key, source, given = F.col(id_col).alias("id"), F.col(source_col).alias("source"), heft.alias("_w")
+    slim = stage(with_ratio_input(base, id_col, text_col, seed, key, source, given), "sizes")
+    cuts = plan(slim, weights, share, most)
+    if not keep_text:
+        return apply_plan(slim, cuts, most).select(F.col("id").alias(id_col), F.col("source").alias(source_col), *OUTPUT)
+    # The row is carried as one struct, so that its columns meet no name used here.
+    rows = with_ratio_input(base, id_col, text_col, seed, F.struct("*").alias("row"), source, given)
+    return apply_plan(rows, cuts, most).select("row.*", *OUTPUT)
