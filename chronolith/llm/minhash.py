@@ -17,7 +17,8 @@ With 6 rows in a band, a pair of similarity 0.75 is missed by all 48 bands with
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text of one to four words
 is one shingle; a null id is linked with nothing, has no component and is kept; rows that share an id are
-one document, linked if any of its texts is; an empty table gives an empty result.
+one document, linked if any of its texts is; an empty table gives an empty result; other columns, whatever
+their names, are passed through by :func:`deduplicate` and ignored by :func:`components`.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, as_binary, encode, hash64, mix64, slices, split_words, stage
+from .common import SPACED, as_binary, drop_stage, encode, free_name, hash64, mix64, slices, split_words, stage
 from .graph import connected_components
 
 WIDTH = 5
@@ -39,8 +40,9 @@ HASHES = ROWS * BANDS
 SIGNATURE = 178
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Buckets of at most this many members are paired by a join, larger ones in blocks of BLOCK members.
-SMALL, BLOCK = 32, 512
+#: Buckets of at most this many members are paired by a join, larger ones in blocks of about BLOCK members and
+#: BLOCK_BYTES of text on either side (a longer text is on a side of its own but for short ones).
+SMALL, BLOCK, BLOCK_BYTES = 32, 512, 4 << 20
 
 _random = np.random.default_rng(20240229)
 _A = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -224,27 +226,40 @@ def _across(buckets: DataFrame, component: DataFrame, classes: DataFrame, texts:
     one = small.where("c != main").select("band", F.col("doc").alias("x"), F.col("c").alias("cx"))
     other = small.select("band", F.col("doc").alias("y"), F.col("c").alias("cy"))
     met = one.join(other, "band").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    light = verify(stage(_likely(met, classes), "met"), texts)
-
-    outside = large.groupBy("band").agg(F.sum(F.when(F.col("c") != F.col("main"), 1).otherwise(0)).alias("m"))
-    large = large.join(outside, "band").withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "ones": F.ceil(F.col("m") / BLOCK).cast("int"), "h": F.xxhash64("doc")})
+    likely = stage(_likely(met, classes), "met")
+    light = verify(likely, texts)
+
+    large = staged_large = stage(large.join(texts.select("doc", "bytes"), "doc"), "large-buckets")
+    sides = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    outer = F.col("c") != F.col("main")
+    counts = large.groupBy("band").agg(F.count("doc").alias("n"), F.sum("bytes").alias("size"), F.count_if(outer).alias("m"), F.sum(F.when(outer, F.col("bytes")).otherwise(0)).alias("out"))
+    blocked = counts.select("band", sides(F.col("n"), F.col("size")).alias("blocks"), sides(F.col("m"), F.col("out")).alias("ones"))
+    large = large.drop("n", "bytes").join(blocked, "band").withColumn("h", F.xxhash64("doc"))
     of_one = large.where("c != main").select("band", "doc", "c", F.lit(1).alias("side"), F.pmod("h", "ones").cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
     of_other = large.select("band", "doc", "c", F.lit(0).alias("side"), F.pmod("h", "blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("j"))
-    blocks = of_one.unionByName(of_other).join(classes.select("doc", "minima"), "doc").join(texts, "doc")
+    blocks = of_one.unionByName(of_other).join(classes.select("doc", "minima"), "doc").join(texts.select("doc", "text"), "doc")
     heavy = blocks.groupBy("band", "i", "j").applyInArrow(_compare, "a long, b long")
-    return light.unionByName(heavy).distinct()
+    links = stage(light.unionByName(heavy).distinct(), "more-links")
+    for used in (named, rows, likely, staged_large):
+        drop_stage(used)
+    return links
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n_shingles, set_key`` of every row, and ``set_key, component_id`` of every class; both are tables in the
+    shared folder, what was needed to make them is deleted."""
     drawn = sketch(docs, id_col, text_col)
     full = drawn.where("set_key is not null and doc_id is not null")
     classes = stage(full.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min_by("minima", "doc_id").alias("minima")), "classes")
+    slim = stage(drawn.select("doc_id", "n_shingles", "set_key"), "set-keys")
+    drop_stage(drawn)
+    full = slim.where("set_key is not null and doc_id is not null")
     banded = bands(classes)
     shared = banded.groupBy("band").agg(F.min("doc").alias("first"), F.count("doc").alias("n")).where("n > 1").drop("n")
     buckets = stage(banded.join(shared, "band"), "buckets")
     members = buckets.select("doc").distinct()
-    texts = stage(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(members, "doc", "left_semi"), "texts")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(members, "doc", "left_semi")
+    texts = stage(texts.withColumn("bytes", F.octet_length("text").cast("long")), "texts")
 
     star = buckets.where("doc != first").groupBy("doc", "first").agg(F.count("band").alias("n")).groupBy("doc").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("a"))
     likely = stage(_likely(star.select("a", F.col("doc").alias("b")), classes), "likely")
@@ -253,17 +268,31 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     links = stage(verify(likely, texts).unionByName(own), "links")
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    more = stage(_across(buckets, found, classes, texts), "more-links")
+    more = _across(buckets, found, classes, texts)
     stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = connected_components(stars.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
     by_class = stage(classes.select("set_key", "doc").join(final.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component_id")), "class-components")
-    out = drawn.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
+    for used in (classes, buckets, texts, likely, links, found, more, final):
+        drop_stage(used)
+    return slim, by_class
+
+
+def _components(slim: DataFrame, by_class: DataFrame) -> DataFrame:
+    out = slim.join(by_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    return _components(*_grouped(docs, id_col, text_col))
+
+
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the rows of its smallest id. Rows without id all stay."""
-    gone = stage(components(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    known = _grouped(docs, id_col, text_col)
+    gone = stage(_components(*known).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    for used in known:
+        drop_stage(used)
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
