@@ -294,11 +294,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``row`` (the whole row as a struct, whatever its columns are named) and ``score``."""
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    whole, at = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            row = batch.column("row")
+            for part in slices(pa.RecordBatch.from_arrays([row, row.field(at)], names=["row", "text"]), "text"):
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sent.value.score(as_binary(part.column("text"))), pa.float64())], names=["row", "score"])
 
     return whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, score double")

@@ -70,3 +70,16 @@ def test_identical_rows_are_drawn_together(spark):
     rows = [(7, "same words here", "a")] * 50 + [(k, prose(k, 3), "a") for k in range(100, 150)]
     got = mixing.mix(spark.createDataFrame(rows, SCHEMA), share=0.5).where("doc_id = 7").collect()
     assert len({r["taken"] for r in got}) == 1
+
+
+def test_columns_of_any_name_and_odd_weights(spark):
+    names = ("_s", "_u", "_v", "_w", "_e", "_sure", "_mass", "_edge", "_cut", "row", "id", "weight")
+    docs = corpus(spark, [("a", 60), ("b", 20)]).select("*", *(F.lit(c).alias(c) for c in names))
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, *mixing.OUTPUT] and all(r[c] == c for r in got.collect() for c in names)
+    one = {(r["doc_id"], r["taken"]) for r in got.collect()}
+    odd = F.when(F.col("doc_id") % 3 == 0, F.lit(float("nan"))).when(F.col("doc_id") % 3 == 1, -1.0)
+    assert {(r["doc_id"], r["taken"]) for r in mixing.mix(docs, weight=odd).collect()} == one
+    renamed = docs.withColumnRenamed("source", "site").withColumnRenamed("doc_id", "key")
+    got = mixing.mix(renamed, source_col="site", id_col="key", keep_text=False)
+    assert got.columns == ["key", "site", *mixing.OUTPUT] and {(r["key"], r["taken"]) for r in got.collect()} == one

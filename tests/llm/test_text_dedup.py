@@ -1,7 +1,9 @@
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chronolith.llm import decontam, graph, lines, minhash, passages
@@ -151,7 +153,7 @@ def test_line_dedup(spark):
     assert got[3]["text"] == "own line 3\n\nother 3" and (got[3]["n_lines"], got[3]["n_spread"], got[3]["n_removed"]) == (3, 1, 1)
     assert got[20]["text"] == common and (got[20]["n_spread"], got[20]["n_removed"]) == (1, 0)  # a copy as a whole stays
     assert (got[21]["text"], got[21]["n_lines"]) == (None, 0) and (got[22]["text"], got[22]["n_lines"]) == ("", 0)
-    assert got[23]["n_removed"] == 0 and got[30]["n_removed"] == 0 and got[70]["n_removed"] == 0
+    assert (got[23]["text"], got[23]["n_removed"]) == (f"near\nx\ny {common}", 0) and got[30]["n_removed"] == 0 and got[70]["n_removed"] == 0
     assert all(got[50 + k]["text"] == f"z {k}\nw {k}" for k in range(11))
     assert lines.clean(docs).count() == len(rows)
     assert lines.clean(docs.where("false")).count() == 0
@@ -230,3 +232,65 @@ def test_edited_passages_are_verified_at_every_position():
                 if want and not got:
                     lost.append((n, kind, len(new)))
     assert seen > 150 and not lost
+
+
+def test_windows_before_the_first_document_are_no_hits(spark):
+    rng = random.Random(9)
+    rows = [(1, "a b c d e f g h i a a a")] + [(10 + k, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 40)))) for k in range(60)]
+    items = [(1, "a a b c d e f g h i"), (2, "a b c d e f g h i"), *((10 + k, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))) for k in range(40))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame([*items, *items], "item_id long, text string")
+    got = decontam.report(decontam.match(decontam.build_index(docs), bench)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], ",".join(sorted(r["items"]))) for r in got) == sorted(brute_decontamination(rows, items))
+    first = next(r for r in got if r["doc_id"] == 1)
+    assert "1" not in first["items"] and "2" in first["items"]
+
+
+def brute_lines(rows, sites=10):
+    seen = defaultdict(set)
+    bare = lambda x: x.strip(" \t\r")
+    for _, text, site in rows:
+        for line in (text or "").split("\n"):
+            if bare(line) and site is not None:
+                seen[bare(line)].add(site)
+    spread, out = {x for x, s in seen.items() if len(s) >= sites}, []
+    for i, text, _ in rows:
+        lines = [] if text is None else text.split("\n")
+        n, bad = sum(bool(bare(x)) for x in lines), sum(bare(x) in spread for x in lines)
+        out.append((i, n, bad, bad if bad < n else 0, "\n".join(x for x in lines if bare(x) not in spread) if 0 < bad < n else text))
+    return out
+
+
+@pytest.mark.parametrize("listed", [lines.LISTED, 0])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, listed):
+    monkeypatch.setattr(lines, "LISTED", listed)
+    rng = random.Random(4)
+    pool = [f"line {k}" for k in range(12)] + ["", "  ", "\tline 1 \r", "é" * 30]
+    rows = [(k % 90, "\n".join([*(rng.choice(pool) for _ in range(rng.randint(0, 9))), *([f"own {k}"] if k % 3 else [])]), rng.choice([None, *(f"s{x}" for x in range(rng.choice([4, 9, 10, 30])))])) for k in range(120)]
+    rows += [(500, None, "s1"), (501, "", None), (None, "line 1\nx", "s3"), (502, "line 2\n" * 20000 + "tail", "s2")]
+    clash = ("n_spread", "_marked", "_lines", "_bad", "_id", "_print", "_own_print", "a", "b", "sites")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *(F.lit(c).alias(c) for c in clash)).repartition(3)
+    got = lines.clean(docs)
+    assert got.columns == [*(c for c in docs.columns if c not in lines.OUTPUT), *lines.OUTPUT]
+    got = got.collect()
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_spread"], r["n_removed"], r["text"]) for r in got), key=key) == sorted(brute_lines(rows), key=key)
+    assert all(r[c] == c for r in got for c in clash[1:])
+    assert lines.clean(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [(2, 3, 2000), (2, 64, 4 << 20)])
+def test_minhash_blocks_of_few_bytes(spark, monkeypatch, sizes):
+    for name, value in zip(("SMALL", "BLOCK", "BLOCK_BYTES"), sizes):
+        monkeypatch.setattr(minhash, name, value)
+    core = prose(41, 80)
+    rows = [(k, edited(core, 9 + k % 7) + " " + prose(300 + k, 2)) for k in range(40)] + [(200, core), (201, core), (300, None)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.components(documents(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_removal_passes_columns_of_any_name(spark):
+    names = ("gone", "bad", "_gone", "_bad", "doc", "a", "spans", "row")
+    docs = documents(spark).select("*", *(F.lit(c).alias(c) for c in names))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("bad", F.lit(1))
+    for left in (minhash.deduplicate(docs), decontam.decontaminate(docs, bench)):
+        assert left.columns == docs.columns and all(r[c] == c for r in left.collect() for c in names)
