@@ -148,3 +148,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+_BASE = 0xD1342543DE82EF95
+_BYTES = np.random.default_rng(31).integers(0, 1 << 64, 256, dtype=np.uint64)
+_known_powers = np.ones((2, 1), np.uint64)
+
+
+def word_hashes(words: pa.Array, block: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the words of an Arrow array, without a Python object per word.
+
+    A word is a polynomial of its bytes (each mapped to a random number) modulo 2^64, taken from running sums over
+    blocks of about ``block`` bytes; only a longer word makes a larger one.
+    """
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    out = np.diff(offsets).astype(np.uint64) * np.uint64(_BASE)
+    cuts = np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // block)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(words)]):
+        at = offsets[a : b + 1] - offsets[a]
+        power, back = _powers(int(at[-1]))
+        upto = np.append(np.uint64(0), np.cumsum(_BYTES[raw[offsets[a] : offsets[b]]] * power[: at[-1]]))
+        out[a:b] += (upto[at[1:]] - upto[at[:-1]]) * back[at[:-1]]
+    return mix64(out)
+
+
+def _powers(n: int) -> np.ndarray:
+    """At least ``n`` powers of the base and of its inverse; kept from call to call."""
+    global _known_powers
+    if _known_powers.shape[1] <= n:
+        _known_powers = np.ones((2, 1 << n.bit_length()), np.uint64)
+        for row, base in zip(_known_powers, (_BASE, pow(_BASE, -1, 1 << 64))):
+            row[1:] = base
+            np.multiply.accumulate(row, out=row)
+    return _known_powers

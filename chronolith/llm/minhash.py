@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, as_binary, drop_stage, encode, free_name, hash64, mix64, slices, split_words, stage
+from .common import SPACED, as_binary, drop_stage, encode, free_name, mix64, slices, split_words, stage, word_hashes
 from .graph import connected_components
 
 WIDTH = 5
@@ -55,7 +55,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of every text in order, and how many each text has."""
     words, counts = split_words(texts, SPACED)
     term, terms = encode(words)
-    hashed = hash64(terms)[term] if len(term) else np.empty(0, np.uint64)
+    hashed = word_hashes(terms)[term] if len(term) else np.empty(0, np.uint64)
     many = np.where(counts >= WIDTH, counts - WIDTH + 1, np.minimum(counts, 1))
     first = np.cumsum(counts) - counts
     at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)

@@ -361,3 +361,15 @@ def test_fingerprints_do_not_depend_on_what_is_beyond():
     for at in range(46):
         one, two = (set(passages.fingerprints(np.concatenate(x), np.array([len(x[0]) + at]))[0].tolist()) for x in ((a, p, b), (b, p, a)))
         assert one & two, at
+
+
+def test_word_hashes_depend_on_the_word_only():
+    import pyarrow as pa
+
+    from chronolith.llm.common import word_hashes
+
+    words = [b"a", b"ab", b"ba", b"ab" * 400, "é".encode(), b"\x00", b"\x00\x00", *(str(k).encode() for k in range(5000))]
+    every = word_hashes(pa.array(words, pa.binary()))
+    assert len(set(every.tolist())) == len(words) and len(word_hashes(pa.array([], pa.binary()))) == 0
+    assert (word_hashes(pa.array([b"first", *words], pa.binary()).slice(1)) == every).all() and (word_hashes(pa.array(words, pa.binary()), 100) == every).all()
+    assert word_hashes(pa.array(words[::-1], pa.binary())).tolist() == every.tolist()[::-1]
