@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
 SLICE_BYTES = 2 << 20
@@ -68,6 +69,15 @@ def drop_stage(df: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def lowest(df: DataFrame, by: Column, n: int, *ties: str, total: int | None = None) -> DataFrame:
+    """The ``n`` rows of the lowest hashes ``by``. Of a larger table only hashes up to a limit are sorted that about
+    1.2 ``n`` rows stay below, so what is sent does not grow with the table's partitions."""
+    total = df.count() if total is None else total
+    if total > 2 * n:
+        df = df.where(F.pmod(by, F.lit(1 << 40)) < int((1.2 * n + 1000) / total * (1 << 40)))
+    return df.orderBy(F.pmod(by, F.lit(1 << 40)), *ties).limit(n)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores appended until no column of ``df`` is named so."""
     taken = {c.lower() for c in df.columns}

@@ -10,9 +10,11 @@ neighbours made for them at exactly the cosine limit, where links are hardest to
 size of the table; without a sample the radius is the full one. All pairs that a cell offers are verified by
 cosine in double precision.
 
-Only the smallest id of identical vectors of a label is filed; the others are counted with it. A cell's
-members and visitors meet in blocks of at most BLOCK by BLOCK rows, and a block returns, not its pairs,
-but a count for each visitor and a star of links that keeps what is connected connected.
+Only the smallest id of identical vectors of a label is filed; the others are counted with it. The cells of
+one codeword of the first half lie together: a visitor is sent once to such a line of cells if it visits any in it, and
+is compared with all members of the line, which are more than those of the cells asked for. Members and visitors meet in blocks of at most BLOCK by BLOCK rows, and a block returns, not its pairs,
+but a count for each end (for a member only of links that it does not find as a visitor, so that a link counts
+at both ends if it is found from one) and a star of links that keeps what is connected connected.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those without
 label or id, link with nothing; a null id has no component and is kept; rows that share an id are one
@@ -22,16 +24,16 @@ empty result; other columns are not needed and not returned.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lowest, stage
 from .graph import connected_components
 
 #: Bound of the sample that codebooks and radius are fitted on.
@@ -72,17 +74,13 @@ class Grid:
     def visits(self, first: np.ndarray, second: np.ndarray) -> list[int]:
         """Multi-sequence traversal of one row: cells by rising bound, until it exceeds the radius."""
         a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-        out, queue, seen = [], [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}
-        while queue:
-            bound, i, j = heapq.heappop(queue)
-            if bound > self.radius:
-                break
-            out.append(int(a[i]) * len(b) + int(b[j]))
-            for k, m in ((i + 1, j), (i, j + 1)):
-                if k < len(a) and m < len(b) and (k, m) not in seen:
-                    seen.add((k, m))
-                    heapq.heappush(queue, (first[a[k]] + second[b[m]], k, m))
-        return out
+        a, b = a[first[a] <= self.radius], b[second[b] <= self.radius]
+        # Of each sequence of one codeword so many cells come before the end; merged by their bound.
+        many = np.searchsorted(second[b], self.radius - first[a], side="right")
+        i = np.repeat(np.arange(len(a)), many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        order = np.argsort(first[a][i] + second[b][j], kind="stable")
+        return (a[i] * len(second) + b[j])[order].tolist()
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
@@ -123,28 +121,47 @@ def fit(sample: np.ndarray, n: int, cosine: float, recall: float = 1.0, seed: in
     return grid
 
 
-def _unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+def _unit(vectors: list[bytes], kind: str = "f8") -> np.ndarray:
+    """Unit vectors in double precision of the bytes of vectors of some kind of numbers."""
+    x = np.frombuffer(b"".join(vectors), kind).astype(np.float64).reshape(len(vectors), -1)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _kind(vectors: DataFrame, vector_col: str) -> str:
+    """How components are stored: single precision if that is what the column has."""
+    return "f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "f8"
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``id, label, vector`` (bytes of doubles) of the rows that can link."""
+    """``id, label, vector`` (bytes of components) of the rows that can link."""
+    kind = _kind(vectors, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [None if v is None or None in v else np.asarray(v, np.float64) for v in batch.column("vector").to_pylist()]
-            with np.errstate(over="ignore"):
-                good = [x is not None and len(x) > 0 and bool(np.isfinite(x).all()) and 0 < float(x @ x) < np.inf for x in rows]
-            keep = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([keep.column("id"), keep.column("label"), pa.array([(x + 0.0).tobytes() for x, g in zip(rows, good) if g], pa.binary())], names=["id", "label", "vector"])
+            column = batch.column("vector")
+            size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            flat = column.flatten()
+            x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null becomes NaN
+            ends = np.cumsum(size)
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = np.concatenate([[0], np.cumsum(np.where(np.isfinite(x), 0, 1))])
+                odd = norm[ends] - norm[ends - size] > 0
+                square = np.array([float(x[e - n : e] @ x[e - n : e]) for e, n in zip(ends, size)])
+                good = (size > 0) & ~odd & (square > 0) & (square < np.inf)
+            keep = batch.filter(pa.array(good))
+            stored = (np.nan_to_num(x) + 0.0).astype(kind)
+            packed = [stored[e - n : e].tobytes() for e, n, g in zip(ends, size, good) if g]
+            yield pa.RecordBatch.from_arrays([keep.column("id"), keep.column("label"), pa.array(packed, pa.binary())], names=["id", "label", "vector"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"))
     return rows.where("id is not null and label is not null and vector is not null").mapInArrow(run, "id long, label string, vector binary")
 
 
-def _file(classes: DataFrame, grids) -> DataFrame:
-    """``cell`` and ``visits`` (the cells to look into, the own one included) of every class."""
+def _file(classes: DataFrame, grids, kind: str) -> DataFrame:
+    """``cell`` of every class, by its codeword of the first half, and ``visits``: those codewords of the cells to look into.
+
+    A visitor is thus sent once to a line of cells of the grid, not to each cell in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,24 +172,33 @@ def _file(classes: DataFrame, grids) -> DataFrame:
                 grid = grids.value[size]
                 for a in range(0, len(of), 256):
                     part = of[a : a + 256]
-                    own, least = grid.bounds(_unit([rows[i] for i in part]))
+                    own, least = grid.bounds(_unit([rows[i] for i in part], kind))
                     for at, i in enumerate(part):
-                        cell[i] = own[0][at] * len(grid.books[1]) + own[1][at]
-                        visits[i] = grid.visits(least[0][at], least[1][at])
+                        cell[i] = own[0][at]
+                        visits[i] = np.unique(np.array(grid.visits(least[0][at], least[1][at])) // len(grid.books[1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(visits, pa.list_(pa.int64()))], names=[*batch.schema.names, "cell", "visits"])
 
     return classes.mapInArrow(run, "class long, id long, copies long, label string, size int, vector binary, cell long, visits array<long>")
 
 
-def _meet(cosine: float):
+def _meet(cosine: float, kind: str):
     """Compare the visitors (side 1) and members (side 0) of a block of a cell."""
 
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side"))
         ids, copies, classes = (np.asarray(table.column(c)) for c in ("id", "copies", "class"))
-        unit = _unit(table.column("vector").to_pylist())
+        unit = _unit(table.column("vector").to_pylist(), kind)
         one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        links = np.zeros(len(one), np.int64)
+        links, back = np.zeros(len(one), np.int64), np.zeros(len(two), np.int64)
+        # Which members look into the lines that the visitors come from, and so count these links themselves.
+        lines, line = np.unique(np.asarray(table.column("home"))[one], return_inverse=True)
+        visits = table.column("visits").combine_chunks().take(pa.array(two))
+        owner = np.repeat(np.arange(len(two)), pc.list_value_length(visits).to_numpy(zero_copy_only=False))
+        asked = np.asarray(visits.flatten())
+        place = np.minimum(np.searchsorted(lines, asked), max(len(lines) - 1, 0))
+        known = np.zeros((len(two), len(lines)), bool)
+        if len(lines):
+            known[owner[lines[place] == asked], place[lines[place] == asked]] = True
         parent = {}
 
         def root(x):
@@ -185,6 +211,7 @@ def _meet(cosine: float):
             near = unit[one[a : a + 256]] @ unit[two].T >= cosine
             near[classes[one[a : a + 256]][:, None] == classes[two][None]] = False
             links[a : a + 256] = near @ copies[two]
+            back += copies[one[a : a + 256]] @ (near & ~known[:, line[a : a + 256]].T)
             # Of the links of a visitor one per component found so far is enough.
             for i in np.flatnonzero(near.any(1)):
                 mine = root(int(ids[one[a + i]]))
@@ -193,7 +220,9 @@ def _meet(cosine: float):
                     parent[high] = low
                     mine = root(low)
         stars = [(x, root(x)) for x in list(parent)]
-        counted = pa.table({"class": pa.array(classes[one], pa.int64()), "n": pa.array(links, pa.int64()), "u": pa.nulls(len(one), pa.int64()), "v": pa.nulls(len(one), pa.int64())})
+        some = back > 0
+        linking, many = np.concatenate([classes[one], classes[two][some]]), np.concatenate([links, back[some]])
+        counted = pa.table({"class": pa.array(linking, pa.int64()), "n": pa.array(many, pa.int64()), "u": pa.nulls(len(many), pa.int64()), "v": pa.nulls(len(many), pa.int64())})
         linked = pa.table({"class": pa.nulls(len(stars), pa.int64()), "n": pa.nulls(len(stars), pa.int64()), "u": pa.array([s[0] for s in stars], pa.int64()), "v": pa.array([s[1] for s in stars], pa.int64())})
         return pa.concat_tables([counted, linked])
 
@@ -202,27 +231,27 @@ def _meet(cosine: float):
 
 def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, recall: float = 0.9999, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, _kind(vectors, vector_col)
     rows = stage(usable(vectors, id_col, vector_col, label_col), "vectors")
     grouped = rows.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("id").alias("copies"))
     classes = stage(grouped.select(F.xxhash64("label", "vector").alias("class"), "id", "copies", "label", F.octet_length("vector").alias("size"), "vector"), "classes")
     grids = {}
     for size, n in classes.groupBy("size").agg(F.count("id")).collect():  # one row per length of vectors
-        drawn = classes.where(F.col("size") == size).orderBy(F.xxhash64("vector"), "id").limit(SAMPLE).select("vector").toPandas()["vector"]
-        grids[size] = fit(_unit([bytes(v) for v in drawn]), n, cosine, recall)
-    filed = stage(_file(classes, spark.sparkContext.broadcast(grids)), "filed")
+        drawn = lowest(classes.where(F.col("size") == size), F.xxhash64("vector"), SAMPLE, "id", "class", total=n).select("vector").toPandas()["vector"]
+        grids[size] = fit(_unit([bytes(v) for v in drawn], kind), n, cosine, recall)
+    filed = stage(_file(classes, spark.sparkContext.broadcast(grids), kind), "filed")
 
     key = ["label", "size", "cell"]
-    member = filed.select(*key, "class", "id", "copies", "vector")
-    visitor = filed.select("label", "size", F.explode("visits").alias("cell"), "class", "id", "copies", "vector")
+    member = filed.select(*key, "class", "id", "copies", "vector", "visits", F.col("cell").alias("home"))
+    visitor = filed.select("label", "size", F.explode("visits").alias("cell"), "class", "id", "copies", "vector", F.lit(None).cast("array<long>").alias("visits"), F.col("cell").alias("home"))
     # Cells without members are not looked into; the counts of both sides set the blocks of a cell.
     members = member.groupBy(*key).agg(F.count("id").alias("n"))
     visitors = filed.select("label", "size", F.explode("visits").alias("cell")).groupBy(*key).agg(F.count("cell").alias("m"))
     blocks = stage(members.join(visitors, key).select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("i_blocks"), F.ceil(F.col("m") / BLOCK).cast("int").alias("j_blocks")), "cells")
     spread = F.abs(F.xxhash64("id", "class") % F.lit(1 << 30))
-    left = member.join(blocks, key).select(*key, "class", "id", "copies", "vector", F.lit(0).alias("side"), (spread % F.col("i_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_blocks") - 1)).alias("j"))
-    right = visitor.join(blocks, key).select(*key, "class", "id", "copies", "vector", F.lit(1).alias("side"), (spread % F.col("j_blocks")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i_blocks") - 1)).alias("i"))
-    met = stage(left.unionByName(right).groupBy(*key, "i", "j").applyInArrow(_meet(cosine), "class long, n long, u long, v long"), "met")
+    left = member.join(blocks, key).select(*key, "class", "id", "copies", "vector", "visits", "home", F.lit(0).alias("side"), (spread % F.col("i_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_blocks") - 1)).alias("j"))
+    right = visitor.join(blocks, key).select(*key, "class", "id", "copies", "vector", "visits", "home", F.lit(1).alias("side"), (spread % F.col("j_blocks")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i_blocks") - 1)).alias("i"))
+    met = stage(left.unionByName(right).groupBy(*key, "i", "j").applyInArrow(_meet(cosine, kind), "class long, n long, u long, v long"), "met")
 
     counts = met.where("class is not null").groupBy("class").agg(F.sum("n").alias("n"))
     same_id = rows.select("id", F.xxhash64("label", "vector").alias("class")).join(classes.select("class", F.col("id").alias("first")), "class").where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))

@@ -54,6 +54,7 @@ def test_recall_below_one_stays_above_its_target(spark):
     rows = [r for r in table(1) if r[0] < 3000]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA), recall=0.95).collect()
     want = brute(rows)
+    assert sum(r["n_links"] for r in got) % 2 == 0
     assert sum(r["n_links"] for r in got) >= 0.9 * sum(v[0] for v in want.values())
     assert all(r["n_links"] <= want[r["vec_id"]][0] for r in got)
 
@@ -95,3 +96,23 @@ def test_radius_does_not_depend_on_links_in_the_sample():
         at = np.arange(len(x))
         assert np.mean(first[at, own_a] + second[at, own_b] <= grid.radius) >= 0.998
     assert embeddings.fit(sample, 20_000, 0.93, 1.0).radius >= grid.radius
+
+
+@pytest.mark.parametrize("block", [2048, 50])
+def test_sparse_links_have_both_ends(spark, monkeypatch, block):
+    """Pairs of cosine 0.93 to 0.99 among vectors that have no other link: found, and counted at both ends or at none."""
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng, rows = np.random.default_rng(8), []
+    for k in range(400):
+        a = rng.standard_normal(32)
+        way = rng.standard_normal(32)
+        way -= (way @ a) / (a @ a) * a
+        cosine = rng.uniform(0.9301, 0.99)
+        b = cosine * a / np.sqrt(a @ a) + np.sqrt(1 - cosine * cosine) * way / np.sqrt(way @ way)
+        rows += [(2 * k, a.tolist(), k % 2), (2 * k + 1, b.tolist(), k % 2)]
+    rows += [(1000 + k, rng.standard_normal(32).tolist(), k % 2) for k in range(1500)]
+    for recall, least in ((0.9999, 0.99), (0.9, 0.9)):
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=recall).collect()
+        links = {r["vec_id"]: r["n_links"] for r in got}
+        assert all(links[2 * k] == links[2 * k + 1] <= 1 for k in range(400)) and not any(links[1000 + k] for k in range(1500))
+        assert sum(links.values()) >= 2 * least * 400
