@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import ALNUM, as_binary, bound_batches, encode, hash64, slices, split_words
+from .common import ALNUM, as_binary, bound_batches, encode, hash64, lowest, slices, split_words
 
 WINDOW, STRIDE, PIECE = 32, 16, 20
 #: Bound of the training sample: documents per class, and characters of each on average.
@@ -36,6 +36,10 @@ SAMPLE, SAMPLE_CHARS = 1500, 6000
 STRETCHES = 8
 N_CHARS, N_WORDS, E_CHAR, E_WORD, H_CHAR, H_WORD = 256, 4096, 8, 8, 8, 12
 ROUNDS, WARM, BATCH, RATE = 7, 3, 32, 0.006
+#: Lengths of the character sequences that choose the first windows.
+GRAMS = (4, 6)
+#: Share of the word embeddings that training leaves out at random, so that rare words are not learnt by heart.
+DROP = 0.7
 
 
 @dataclass
@@ -131,8 +135,8 @@ def text_logits(p: gru.Params, words: Words) -> np.ndarray:
     return out
 
 
-def _step(p: gru.Params, words: Words, start: np.ndarray, length: np.ndarray, label: np.ndarray) -> gru.Params:
-    """Gradients of the logistic loss of some windows."""
+def _step(p: gru.Params, words: Words, start: np.ndarray, length: np.ndarray, label: np.ndarray, drop: np.random.Generator | None = None) -> gru.Params:
+    """Gradients of the logistic loss of some windows; ``drop`` leaves the embeddings of DROP of their words out."""
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     grid, mask = _grid(words, start, length)
     which, place = np.unique(grid, return_inverse=True)
@@ -140,8 +144,9 @@ def _step(p: gru.Params, words: Words, start: np.ndarray, length: np.ndarray, la
     real = which < len(words.lengths)
     known = which[real]
     pooled, seen_c, chars = _char_level(p, words, known, True)
-    vectors = np.zeros((len(which), E_WORD + 2 * H_CHAR), np.float32)
-    vectors[real] = np.concatenate([p["words"][words.slots[known]], pooled], 1)
+    kept = np.ones((len(known), 1), np.float32) if drop is None else (drop.random((len(known), 1)) >= DROP).astype(np.float32) / np.float32(1 - DROP)
+    vectors = np.zeros((len(which), E_WORD + 2 * H_CHAR), p["words"].dtype)
+    vectors[real] = np.concatenate([p["words"][words.slots[known]] * kept, pooled], 1)
     inputs = vectors[place]
     state, seen_w = gru.pool(p, "w", gru.project(p, "w", inputs), mask, True)
     error = ((1 / (1 + np.exp(-(state @ p["out"] + p["bias"])))) - label).astype(np.float32) / len(label)
@@ -151,7 +156,7 @@ def _step(p: gru.Params, words: Words, start: np.ndarray, length: np.ndarray, la
     d_vectors = np.zeros_like(vectors)
     np.add.at(d_vectors, place.ravel(), d_inputs.reshape(-1, d_inputs.shape[2]))
     d_known = d_vectors[real]
-    np.add.at(grads["words"], words.slots[known], d_known[:, :E_WORD])
+    np.add.at(grads["words"], words.slots[known], d_known[:, :E_WORD] * kept)
     d_chars = gru.pool_back(p, "c", d_known[:, E_WORD:], p["chars"][chars], seen_c, grads)
     np.add.at(grads["chars"], chars.ravel(), d_chars.reshape(-1, E_CHAR))
     return grads
@@ -174,12 +179,13 @@ class Model:
 
 
 def first_choice(words: Words, text: np.ndarray, start: np.ndarray, length: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """A first score of every window: the highest log-odds, less their standard error, of a four-character sequence of its words.
+    """A first score of every window: the highest log-odds, less their standard error, of a character sequence of its words.
 
-    Sequences are counted once per text, in texts with label 1 and label 0; a word's start counts as a character.
+    Sequences of GRAMS characters are counted once per text, in texts with label 1 and label 0; a word's start counts
+    as a character.
     """
     grams: dict[tuple, int] = {}
-    spelled = [[grams.setdefault(g, len(grams)) for g in {tuple(c[i : i + 4]) for i in range(max(1, len(c) - 3))}] for c in ([-1, *row[:n]] for row, n in zip(words.chars.tolist(), words.lengths.tolist()))]
+    spelled = [[grams.setdefault(g, len(grams)) for g in {tuple(c[i : i + n]) for n in GRAMS for i in range(max(1, len(c) - n + 1))}] for c in ([-1, *row[:k]] for row, k in zip(words.chars.tolist(), words.lengths.tolist()))]
     size = np.array([len(x) for x in spelled], np.int64)
     flat = np.fromiter((g for x in spelled for g in x), np.int64, int(size.sum()))
     owner = np.repeat(np.arange(len(words.counts)), words.counts)
@@ -212,6 +218,13 @@ def _calibrate(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def _loss(logit: np.ndarray, labels: np.ndarray, held: np.ndarray) -> float:
+    """Mean logistic loss of the texts left out of training, both classes with the same weight."""
+    z = np.where(labels == 1, -logit, logit)[held].astype(np.float64)
+    loss, y = np.logaddexp(0, z), labels[held]
+    return float(np.mean([loss[y == k].mean() for k in (0, 1) if (y == k).any()] or [0.0]))
+
+
 def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed: int = 7) -> Model:
     """Train on texts with labels 0 and 1; ``share``: that of label 1 among all labels, for calibration."""
     labels = np.asarray(labels, np.float32)
@@ -231,17 +244,24 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
     adam = gru.Adam(p, RATE)
     known = np.where(held, np.float32(-1), labels)
     rank = first_choice(words, text, start, length, known)
+    best_p, least = p, np.inf
     for turn in range(ROUNDS):
         if turn >= WARM:
             rank = window_logits(p, words, start, length)
         best = np.lexsort((-rank, text))[first[train]]
         clean = train[labels[train] == 0]
-        pick = np.concatenate([best, first[clean] + (rng.random(len(clean)) * many[clean]).astype(np.int64)])
-        goal = np.concatenate([labels[train], np.zeros(len(clean), np.float32)])
+        # Fewer toxic than clean documents are shown as often as these, all together.
+        toxic = np.repeat(best[labels[train] == 1], max(1, round(len(clean) / max((labels[train] == 1).sum(), 1))))
+        pick = np.concatenate([toxic, best[labels[train] == 0], first[clean] + (rng.random(len(clean)) * many[clean]).astype(np.int64)])
+        goal = np.concatenate([np.ones(len(toxic), np.float32), np.zeros(2 * len(clean), np.float32)])
         shuffled = rng.permutation(len(pick))
         for a in range(0, len(pick), BATCH):
             take = shuffled[a : a + BATCH]
-            adam.step(_step(p, words, start[pick[take]], length[pick[take]], goal[take]))
+            adam.step(_step(p, words, start[pick[take]], length[pick[take]], goal[take], rng))
+        loss = _loss(text_logits(p, words), labels, held & (words.counts > 0))
+        if turn >= min(WARM, ROUNDS - 1) and loss < least:
+            best_p, least = {k: v.copy() for k, v in p.items()}, loss
+    p = best_p
     logit = text_logits(p, words)
     check = np.flatnonzero((held if held.sum() >= 40 else ~held | held) & np.isfinite(logit))
     y = labels[check].astype(np.float64)
@@ -265,15 +285,17 @@ def sample(docs: DataFrame, labels: DataFrame, learn, *, id_col: str = "doc_id",
     """Texts and labels of the training sample, and the share of label 1 among all usable labels.
 
     ``learn`` is the condition of rows to learn from. Of each class the SAMPLE labelled ids of the lowest
-    hashes are taken, so the ids sent to the executors are bounded. No text is left out: all are whole if they have
+    hashes are taken, so the ids sent to the executors are bounded; an id that several rows share is one text, the
+    least, so what comes back is, too. No text is left out: all are whole if they have
     2 * SAMPLE * SAMPLE_CHARS characters together; otherwise those above the length that keeps to it (SAMPLE_CHARS
     at least) are cut to STRETCHES stretches of as many characters in all.
     """
     usable = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
     row = usable.agg(F.avg("_label"), F.count("_label")).first()
-    picked = [usable.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for y in (0, 1)]
+    picked = [lowest(usable.where(F.col("_label") == y).distinct(), F.xxhash64("_id"), SAMPLE, "_id") for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    drawn = docs.join(ids, F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull())
+    drawn = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias(text_col)).join(ids, F.col("_doc") == F.col("_id"))
+    drawn = drawn.where(F.col(text_col).isNotNull()).groupBy("_id", "_label").agg(F.min(text_col).alias(text_col))
     size = F.char_length(text_col)
     longer = [r[0] for r in drawn.where(size > SAMPLE_CHARS).select(size).collect()]
     rest = drawn.where(size <= SAMPLE_CHARS).agg(F.sum(size)).first()[0] or 0 if longer else 0
