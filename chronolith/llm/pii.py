@@ -3,14 +3,16 @@
 Entities are found by patterns in texts that hold a digit of any script, an at sign, a title or the key word of a
 secret. A person is found after a title; its full name, first and last word are then replaced without one, too, and
 a short form after a title ("Dr Smith") is the person of the text that it fits. An entity's canonical form (digits
-of a number, an address in lower case, a name and the gender of its titles) is mapped to a surrogate by a keyed
-hash, so that all mentions of it, in any document and format, get the same one; a mention keeps its own
-punctuation and case. Checksums stay valid where they were, private networks stay private, countries stay.
+of a number, an address in lower case, a name and the gender of its titles) has one surrogate, so that all mentions
+of it, in any document and format, get the same one; a mention keeps its own punctuation and case. Checksums stay
+valid where they were, private networks stay private, countries stay.
 
-Distinctness is checked over the whole corpus: surrogates that two entities share, or that are themselves an
-entity of the corpus, are drawn again with a higher attempt until none is left. The few entities with a higher
-attempt, and names whose gender only other texts tell, are joined to the documents that hold them; all others
-need no exchange at all.
+Surrogates are a keyed permutation of all forms of the same type and format (a Feistel network over their numbers, a
+shift in the middle, and a walk on to the next form that is valid like the original): two entities never have
+the same surrogate and none is its own, however full a format is. :func:`assign` checks that over the whole corpus.
+A surrogate may be the real entity of another document, as it must be once all forms of a format occur. Names that only
+neutral titles have take the gender that other texts tell; these few are joined to the documents that hold them, all
+others need no exchange.
 
 Defined cases: null and empty texts stay; repeated rows are treated alike; a null id is carried through; an
 empty table gives an empty result; other columns are passed through (``n_entities`` and ``kinds`` are replaced).
@@ -21,7 +23,6 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
-import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -54,7 +55,6 @@ def _ranges(*kinds: str) -> str:
 #: A name begins with a capital, or with a letter of a script without case.
 _NAME = rf"[{_ranges('Lu', 'Lt', 'Lo')}][^\W\d_]+"
 PATTERNS = {
-    "email": r"[^\W_](?:[\w.+-]*[^\W_])?@[^\W_][\w-]*(?:\.[^\W_][\w-]*)*\.[^\W\d_]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "secret": r"(?:(?<=token = \")|(?<=token=\")|(?<=key = \")|(?<=key=\")|(?<=secret = \")|(?<=secret=\")|(?<=password = \")|(?<=password=\"))[^\"\s]{8,}(?=\")|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
@@ -64,6 +64,8 @@ PATTERNS = {
     "person": rf"(?:(?<=\s)|(?<=^)|(?<=[(\"']))(?:{_TITLE})\.? {_NAME}(?:[ -]{_NAME}){{0,2}}",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+#: The part of an e-mail address after the sign; that before it is found from the sign backwards, in linear time.
+HOST = re.compile(r"[^\W_][\w-]*(?:\.[^\W_][\w-]*)*\.[^\W\d_]{2,}")
 #: What every pattern needs a part of.
 ANCHOR = re.compile(rf"[\d@]|(?:token|key|secret|password)(?: = |=)\"|\b(?:{_TITLE})\b")
 DIGITS = re.compile(r"\d")
@@ -87,6 +89,8 @@ def canonical(kind: str, text: str) -> str:
         return f"{digits[:len(code[1])]}|{digits[len(code[1]):]}" if code else f"|{digits}"
     if kind in ("card", "ssn"):
         return _ascii_digits(text)
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in text.split("."))
     return text.replace(" ", "") if kind == "iban" else text
 
 
@@ -94,7 +98,33 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     """Start, end and type of the entities of a text, left to right, without overlap."""
     if not text or not ANCHOR.search(text):
         return []
-    return [(m.start(), m.end(), next(k for k in PATTERNS if m[k] is not None)) for m in FINDER.finditer(text)]
+    found = _addresses(text)
+    if found:
+        cuts = [0, *(x for start, end, _ in found for x in (start, end)), len(text)]
+        text = "".join(text[a:b] if k % 2 == 0 else chr(1) * (b - a) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    others = [(m.start(), m.end(), m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m[k] is not None)) for m in FINDER.finditer(text)]
+    if not found:
+        return others
+    ends = [x[1] for x in found]
+    apart = [x for x in others if (k := bisect.bisect_right(ends, x[0])) == len(ends) or found[k][0] >= x[1]]
+    return sorted([*found, *apart])
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """E-mail addresses from left to right; each character is looked at a few times, however long the runs of letters are."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        while start < at and not text[start].isalnum():
+            start += 1
+        host = HOST.match(text, at + 1) if start < at and text[at - 1].isalnum() else None
+        if host:
+            out.append((start, host.end(), "email"))
+        last = host.end() if host else at + 1
+        at = text.find("@", last)
+    return out
 
 
 @dataclass
@@ -170,37 +200,86 @@ def read(text: str) -> list[Mention]:
     return sorted([*spans, *bares], key=lambda m: m.start)
 
 
-class Draw:
-    """A stream of numbers from a keyed hash."""
+#: Characters that are permuted together; a longer text is permuted block by block, which keeps forms distinct, too.
+BLOCK = 48
 
-    def __init__(self, key: bytes, *parts: object):
-        self.key, self.seed, self.turn, self.pool = key, "|".join(map(str, parts)).encode(), 0, 0
 
-    def below(self, n: int) -> int:
-        if self.pool < 1 << 64:
-            self.pool = int.from_bytes(hmac.new(self.key, self.seed + b"#%d" % self.turn, hashlib.sha256).digest(), "big")
-            self.turn += 1
-        self.pool, out = divmod(self.pool, n)
-        return out
+@functools.lru_cache(1 << 12)
+def _tag(key: bytes, form: str) -> bytes:
+    return hashlib.blake2b(len(key).to_bytes(4, "big") + key + form.encode("utf-8", "surrogatepass"), digest_size=32).digest()
 
 
-@functools.lru_cache(4096)
-def _alike(char: str) -> str:
-    """Characters of the same kind in the same stretch of 32 code points: script and case stay."""
-    kind, start = unicodedata.category(char), ord(char) // 32 * 32
-    return "".join(chr(c) for c in range(start, start + 32) if unicodedata.category(chr(c)) == kind and chr(c).lower().upper() == chr(c).upper()) or char
+def _prf(tag: bytes, turn: int, x: int, bits: int) -> int:
+    """A keyed function of up to 512 bits."""
+    size = -(-bits // 8)
+    seed = turn.to_bytes(1, "big") + x.to_bytes(-(-x.bit_length() // 8), "big")
+    return int.from_bytes(hashlib.blake2b(seed, key=tag, digest_size=size).digest(), "big") >> (8 * size - bits)
+
+
+def _feistel(tag: bytes, n: int, x: int, back: bool) -> int:
+    """A keyed permutation of 0..n-1, or its inverse. Values of n or more are walked over."""
+    half = max(1, -(-(n - 1).bit_length() // 2))
+    mask = (1 << half) - 1
+    while True:
+        low, high = x & mask, x >> half
+        for turn in range(7, -1, -1) if back else range(8):
+            if back:
+                low, high = high, low ^ _prf(tag, turn, high, half)
+            else:
+                low, high = high ^ _prf(tag, turn, low, half), low
+        x = high << half | low
+        if x < n:
+            return x
+
+
+def moved(tag: bytes, n: int, x: int) -> int:
+    """Another number below ``n`` (if there is one): the permutation, a keyed shift, and the way back, which has no fixed point."""
+    if n < 2:
+        return x
+    shift = 1 + _prf(tag, 255, n, min(512, n.bit_length() + 64)) % (n - 1)
+    return _feistel(tag, n, (_feistel(tag, n, x, False) + shift) % n, True)
+
+
+def permuted(key: bytes, form: str, text: str, choices: list[str], valid=None) -> str:
+    """A text of the same length of which each character is one of its ``choices``; ``valid`` texts stay so, others too."""
+    if len(text) > BLOCK:
+        cuts = range(0, len(text), BLOCK)
+        return "".join(permuted(key, f"{form} {at // BLOCK}", text[at : at + BLOCK], choices[at : at + BLOCK], valid) for at in cuts)
+    n, x = 1, 0
+    for c, some in zip(text, choices):
+        x, n = x * len(some) + some.index(c), n * len(some)
+    tag = _tag(key, f"{form}|{'|'.join(choices)}")
+    while True:
+        y, out = (x := moved(tag, n, x)), []
+        for some in reversed(choices):
+            y, k = divmod(y, len(some))
+            out.append(some[k])
+        new = "".join(reversed(out))
+        if valid is None or valid(new) == valid(text):
+            return new
+
+
+DIGIT, LOWER, UPPER, VOWELS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "aeiou"
+CONSONANTS = "".join(c for c in LOWER if c not in VOWELS)
 
 
-def scramble(draw: Draw, text: str) -> str:
+@functools.lru_cache(4096)
+def _alike(char: str) -> str:
+    """Characters of the same kind in the same stretch of 16 code points, 128 in scripts without case: script and case stay."""
+    if char.isascii():
+        return next((x for x in (DIGIT, LOWER, UPPER) if char in x), char)
+    if not char.isalnum():
+        return char
+    kind = unicodedata.category(char)
+    many = 128 if kind == "Lo" else 16
+    start = ord(char) // many * many
+    same = "".join(chr(c) for c in range(start, start + many) if unicodedata.category(chr(c)) == kind and chr(c).lower().upper() == chr(c).upper())
+    return same if char in same else char
+
+
+def scramble(key: bytes, form: str, text: str, valid=None) -> str:
     """Letters by letters of their script and case, digits by digits; everything else stays."""
-    out = []
-    for c in text:
-        if c.isascii():
-            out.append(str(draw.below(10)) if c.isdigit() else chr(draw.below(26) + (97 if c.islower() else 65)) if c.isalpha() else c)
-        else:
-            choices = _alike(c) if c.isalnum() else c
-            out.append(choices[draw.below(len(choices))])
-    return "".join(out)
+    return permuted(key, form, text, [_alike(c) for c in text], valid)
 
 
 def _luhn(digits: str) -> int:
@@ -208,56 +287,62 @@ def _luhn(digits: str) -> int:
     return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits)))) % 10
 
 
-def _name(draw: Draw, name: str, gender: str) -> str:
-    """A pronounceable name in the script of the first letter; Latin first names end as their gender's often do."""
+def _name(key: bytes, name: str, gender: str) -> str:
+    """A name of vowels and consonants as they were, in the script that it has; Latin first names end as their gender's often do."""
+    made = permuted(key, "name", name, [VOWELS if c in VOWELS else CONSONANTS if c in CONSONANTS else _alike(c) for c in name])
     if not name[0].isascii() and "LATIN" not in unicodedata.name(name[0], ""):
-        return scramble(draw, name)
-    parts = []
-    for k, word in enumerate(re.split(r"([ -])", name)):
-        if word in (" ", "-"):
-            parts.append(word)
-            continue
-        body = "".join("bdfgklmnprstv"[draw.below(13)] + "aeiou"[draw.below(5)] for _ in range(2 + draw.below(2)))
-        parts.append(body + ({"f": "ln"[draw.below(2)] + "a", "m": "nrs"[draw.below(3)], "n": "e"}[gender] if k == 0 else "nrstz"[draw.below(5)]))
-    return "".join(parts)
+        return made
+    first, gap, rest = made.partition(" ")
+    return first + {"f": "a", "m": "n", "n": "e"}[gender] + gap + rest
+
 
+def _check_digits(country: str, bban: str) -> str:
+    return f"{98 - int(''.join(str(int(c, 36)) for c in bban + country + '00')) % 97:02d}"
 
-def surrogate(key: bytes, kind: str, known: str, attempt: int = 0) -> str:
-    """The canonical form of an entity's replacement."""
-    draw = Draw(key, kind, known, attempt)
+
+def _ip_class(ip: str) -> tuple:
+    octets = ip.split(".")
+    private = 2 if octets[:2] == ["192", "168"] else 1 if octets[0] in ("10", "127") else 0
+    return (*octets[:private], private or 0 < int(octets[0]) < 224)
+
+
+@functools.lru_cache(1 << 14)
+def surrogate(key: bytes, kind: str, known: str) -> str:
+    """The canonical form of an entity's replacement: a permutation of the canonical forms of its type and format."""
     if kind == "person":
         gender, _, name = known.partition("|")
-        return f"{gender}|{_name(draw, name, gender)}"
+        return f"{gender}|{_name(key, name, gender)}"
     if kind == "email":
         local, _, domain = known.rpartition("@")
-        labels = domain.split(".")
-        inner = Draw(key, "domain", domain)
-        return f"{scramble(draw, local)}@{'.'.join([*(scramble(inner, x) for x in labels[:-1]), labels[-1]])}"
+        *labels, top = domain.split(".")
+        return f"{scramble(key, 'local', local)}@{'.'.join([*(scramble(key, 'label', x) for x in labels), top])}"
     if kind == "phone":
         code, _, digits = known.partition("|")
-        return f"{code}|{''.join(str(draw.below(10)) for _ in digits)}"
+        return f"{code}|{permuted(key, f'phone {code}', digits, [DIGIT] * len(digits))}"
     if kind == "card":
-        body = known[0] + "".join(str(draw.below(10)) for _ in known[1:-1])
-        valid = [d for d in "0123456789" if (_luhn(body + d) == 0) == (_luhn(known) == 0)]
-        return body + valid[draw.below(len(valid))]
+        if _luhn(known):
+            return known[0] + permuted(key, f"card {known[0]}", known[1:], [DIGIT] * (len(known) - 1), lambda x: bool(_luhn(known[0] + x)))
+        body = known[0] + permuted(key, f"valid card {known[0]}", known[1:-1], [DIGIT] * (len(known) - 2))
+        return body + str(-_luhn(body + "0") % 10)
     if kind == "ssn":
-        area = 1 + draw.below(898)
-        return f"{area + (area >= 666):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
+        usual = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
+        return permuted(key, "ssn", known, [DIGIT] * 9, usual)
     if kind == "ip":
-        octets = known.split(".")
-        fixed = 2 if octets[0] == "192" and octets[1] == "168" else 1 if octets[0] in ("10", "127") else 0
-        first = [*(x for x in octets[:fixed])]
-        while True:
-            rest = [str(1 + draw.below(223 if not first and k == 0 else 254)) for k in range(4 - fixed)]
-            if fixed or rest[0] not in ("10", "127") and rest[:2] != ["192", "168"]:
-                return ".".join(first + rest)
+        octet, packed = "".join(map(chr, range(256))), "".join(chr(int(x)) for x in known.split("."))
+        fixed = len(_ip_class(known)) - 1
+        plain = lambda x: ".".join(str(ord(c)) for c in x)
+        kept = packed[:fixed]
+        return plain(kept + permuted(key, f"ip {fixed} {plain(kept)}", packed[fixed:], [octet] * (4 - fixed), lambda x: _ip_class(plain(kept + x)) == _ip_class(known)))
     if kind == "iban":
-        bban = scramble(draw, known[4:])
-        number = int("".join(str(int(c, 36)) for c in bban + known[:2] + "00"))
-        return f"{known[:2]}{98 - number % 97:02d}{bban}"
+        country, check, bban = known[:2], known[2:4], known[4:]
+        if check == _check_digits(country, bban):
+            made = scramble(key, f"iban {country}", bban)
+            return country + _check_digits(country, made) + made
+        return country + scramble(key, f"odd iban {country}", known[2:], lambda x: x[:2] == _check_digits(country, x[2:]))
     if re.fullmatch("[0-9a-f]+", known):
-        return "".join("0123456789abcdef"[draw.below(16)] for _ in known)
-    return scramble(draw, known)
+        mixed = lambda x: bool(re.search("[0-9]", x) and re.search("[a-f]", x))
+        return permuted(key, "hex", known, ["0123456789abcdef"] * len(known), mixed)
+    return scramble(key, "secret", known, lambda x: bool(re.fullmatch("[0-9a-f]+", x)))
 
 
 def render(kind: str, mention: str, new: str, word: int | None = None, titled: bool = True) -> str:
@@ -280,12 +365,11 @@ def _in_script(digit: str, like: str) -> str:
     return chr(ord(like) - unicodedata.decimal(like) + int(digit)) if not like.isascii() and like.isdecimal() and digit.isdecimal() else digit
 
 
-def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None, others: dict[tuple[str, str], str] | None = None) -> tuple[str, list[str]]:
+def replace(text: str, key: bytes, others: dict[tuple[str, str], str] | None = None) -> tuple[str, list[str]]:
     """The text with surrogates, and the types of the mentions replaced; ``others`` has entities known by another form."""
     out, at, kinds = [], 0, []
     for m in read(text):
-        entity = (m.kind, m.known)
-        new = surrogate(key, m.kind, (others or {}).get(entity, m.known), (attempts or {}).get(entity, 0))
+        new = surrogate(key, m.kind, (others or {}).get((m.kind, m.known), m.known))
         out += [text[at : m.start], render(m.kind, text[m.start : m.end], new, m.word, m.titled)]
         at = m.end
         kinds.append(m.kind)
@@ -307,36 +391,19 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, f"print long, {FOUND}")
 
 
-def _with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
+def assign(found: DataFrame, key: bytes) -> DataFrame:
+    """``type, canonical, surrogate`` of every entity; raises an error if two of a type have the same or one has its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [surrogate(key, *row) for row in zip(*(batch.column(c).to_pylist() for c in ("type", "canonical", "attempt")))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("type", "canonical", "attempt")), pa.array(made, pa.string())], names=["type", "canonical", "attempt", "surrogate"])
-
-    return rows.select("type", "canonical", "attempt").mapInArrow(run, f"{FOUND}, attempt int, surrogate string")
-
-
-def assign(found: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
-    """``type, canonical, attempt, surrogate`` of every entity, surrogates being distinct and none of them an entity.
-
-    Of the entities that share a surrogate the smallest keeps it. After ``rounds`` rounds what still collides
-    raises an error: the format then has too few values for the entities.
-    """
-    known = stage(found.select("type", "canonical").distinct(), "entities")
-    now = stage(_with_surrogates(known.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(rounds):
-        shared = now.groupBy("type", "surrogate").agg(F.min("canonical").alias("keeper"), F.count("canonical").alias("n")).where("n > 1").select("type", "surrogate", "keeper")
-        first = now.join(shared, ["type", "surrogate"]).where("canonical != keeper").select("type", "canonical")
-        real = now.join(known.select("type", F.col("canonical").alias("surrogate")), ["type", "surrogate"], "left_semi").select("type", "canonical")
-        losers = stage(first.unionByName(real).distinct(), "losers")
-        if losers.isEmpty():
-            return now
-        again = now.join(losers, ["type", "canonical"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
-        kept = now.join(losers, ["type", "canonical"], "left_anti")
-        then = stage(kept.unionByName(_with_surrogates(again, key)), "surrogates")
-        drop_stage(now)
-        now = then
-    raise ValueError("surrogates still collide: too many entities for their format")
+            made = [surrogate(key, *row) for row in zip(*(batch.column(c).to_pylist() for c in ("type", "canonical")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("type", "canonical")), pa.array(made, pa.string())], names=["type", "canonical", "surrogate"])
+
+    made = stage(found.select("type", "canonical").distinct().mapInArrow(run, f"{FOUND}, surrogate string"), "surrogates")
+    shared = made.groupBy("type", "surrogate").agg(F.count("canonical").alias("n")).where("n > 1").select("type", "surrogate")
+    if bad := shared.first():
+        raise ValueError(f"two entities have the same surrogate of type {bad['type']}")
+    return made
 
 
 def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
@@ -349,26 +416,27 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text") -> Data
     neutral = person.where("canonical like 'n|%'").withColumn("name", F.expr("substr(canonical, 3)"))
     told = stage(neutral.join(gendered, "name").select(F.lit("person").alias("type"), "canonical", "becomes"), "told")
     entity = found.select("type", "canonical").distinct().join(told, ["type", "canonical"], "left").select("type", F.coalesce("becomes", "canonical").alias("canonical"))
-    redrawn = assign(entity, key).where("attempt > 0").select("type", F.col("canonical").alias("becomes"), "attempt")
-    changed = found.select("type", "canonical").distinct().join(told, ["type", "canonical"], "left").select("type", "canonical", F.coalesce("becomes", "canonical").alias("becomes"))
-    changed = changed.join(redrawn, ["type", "becomes"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))).where("attempt > 0 or becomes != canonical")
-    redrawn = stage(changed.select("type", "canonical", "becomes", "attempt"), "redrawn")
-    whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    if redrawn.isEmpty():
-        whole = whole.withColumn("attempts", F.lit(None).cast("array<struct<type:string,canonical:string,becomes:string,attempt:int>>"))
+    drop_stage(assign(entity, key))
+    kind = "array<struct<type:string,canonical:string,becomes:string>>"
+    whole, at, columns = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col), len(docs.columns)
+    if told.isEmpty():
+        whole = whole.withColumn("others", F.lit(None).cast(kind))
     else:
-        own = found.join(redrawn, ["type", "canonical"]).groupBy("print").agg(F.collect_set(F.struct("type", "canonical", "becomes", "attempt")).alias("attempts"))
-        whole = whole.withColumn("print", F.xxhash64("text")).join(stage(own, "redrawn-by-text"), "print", "left").drop("print")
+        own = found.join(told, ["type", "canonical"]).groupBy("print").agg(F.collect_set(F.struct("type", "canonical", "becomes")).alias("others"))
+        whole = whole.withColumn("print", F.xxhash64(F.col("row").getField(text_col))).join(stage(own, "told-by-text"), "print", "left").drop("print")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, kinds = [], [], []
-            for text, redraw in zip(batch.column("text").to_pylist(), batch.column("attempts").to_pylist()):
-                new, seen = (text, []) if text is None else replace(text, key, *({(a["type"], a["canonical"]): a[c] for a in redraw or ()} for c in ("attempt", "becomes")))
+            row = batch.column("row")
+            for text, others in zip(row.field(at).to_pylist(), batch.column("others").to_pylist()):
+                new, seen = (text, []) if text is None else replace(text, key, {(a["type"], a["canonical"]): a["becomes"] for a in others or ()})
                 texts.append(new)
                 counts.append(len(seen))
                 kinds.append(sorted(set(seen)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=["row", "_text", "n_entities", "kinds"])
+            parts = [pa.array(texts, pa.string()) if k == at else row.field(k) for k in range(columns)]
+            changed = pa.StructArray.from_arrays(parts, fields=list(row.type))
+            yield pa.RecordBatch.from_arrays([changed, pa.array(counts, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=["row", "n_entities", "kinds"])
 
-    out = whole.select("row", "text", "attempts").mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, _text string, n_entities long, kinds array<string>")
-    return out.select("row.*", "_text", "n_entities", "kinds").withColumn(text_col, F.col("_text")).drop("_text")
+    out = whole.select("row", "others").mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, n_entities long, kinds array<string>")
+    return out.select("row.*", "n_entities", "kinds")

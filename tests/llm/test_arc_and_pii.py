@@ -87,30 +87,65 @@ def test_mentions_of_one_entity_agree_and_keys_differ():
     assert pii.replace("", KEY) == ("", []) and pii.replace("clean text, no data.", KEY) == ("clean text, no data.", [])
 
 
-def test_distinctness_and_collisions(spark, monkeypatch):
-    real = pii.surrogate
-
-    def narrow(key, kind, known, attempt=0):
-        """Two thirds of first attempts collide, and one of them meets a real address."""
-        return "e1@x.org" if attempt == 0 and known == "e5@x.org" else f"s{int(known[1:].split('@')[0]) // 3}@z.org" if attempt == 0 else real(key, kind, known, attempt)
-
-    found = spark.createDataFrame([(1, "email", f"e{k}@x.org") for k in range(12)], "print long, type string, canonical string")
-    monkeypatch.setattr(pii, "surrogate", narrow)
-    got = pii.assign(found, KEY).collect()
-    made = {r["canonical"]: r["surrogate"] for r in got}
-    assert len(made) == len(set(made.values())) == 12 and not set(made) & set(made.values())
-    assert {r["canonical"] for r in got if r["attempt"] == 0} == {"e0@x.org", "e3@x.org", "e6@x.org", "e10@x.org"}
-
-
-def test_documents_with_redrawn_surrogates(spark, monkeypatch):
-    real = pii.assign
-    monkeypatch.setattr(pii, "assign", lambda found, key: real(found, key).withColumn("attempt", F.when(F.col("canonical") == "b@x.org", 3).otherwise(F.col("attempt"))))
-    rows = [(1, "to a@x.org and b@x.org"), (2, "b@x.org"), (2, "b@x.org"), (3, None), (4, ""), (None, "c@x.org " * 3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kinds", F.lit("clash")).withColumn("print", F.lit(1))
-    got = {r["doc_id"]: r for r in pii.pseudonymise(docs, KEY).collect()}
-    other = pii.surrogate(KEY, "email", "b@x.org", 3)
-    assert got[2]["text"] == other and got[1]["text"] == f"to {pii.surrogate(KEY, 'email', 'a@x.org')} and {other}"
-    assert (got[3]["text"], got[3]["n_entities"], got[4]["text"], got[None]["n_entities"]) == (None, 0, "", 3000) and got[1]["kinds"] == ["email"]
+def test_permutation_without_fixed_points():
+    for n in (2, 3, 10, 26, 257, 1000):
+        seen = [pii.moved(pii._tag(KEY, "f"), n, x) for x in range(n)]
+        assert sorted(seen) == list(range(n)) and all(x != y for x, y in enumerate(seen))
+    one, two = pii._tag(KEY, "f"), pii._tag(b"o", "f")
+    assert pii.moved(one, 1, 0) == 0 and [pii.moved(one, 1000, x) for x in range(9)] != [pii.moved(two, 1000, x) for x in range(9)]
+    assert pii.moved(one, 128**pii.BLOCK, 5) < 128**pii.BLOCK and len(pii.surrogate(KEY, "secret", "aZ1!" * 5000)) == 20000
+
+
+def test_full_formats_have_distinct_surrogates(spark):
+    """All of a private network, all mailboxes of one letter, numbers with and without checksum: no two share a surrogate."""
+    rng = __import__("random").Random(3)
+    nets = [f"192.168.{a}.{b}" for a in (0, 1, 255) for b in range(256)]
+    cards = ["4" + "".join(rng.choice("0123456789") for _ in range(15)) for _ in range(300)]
+    names = [f"{g}|{n}" for n in ("anna lee", "bob", "иван", "o-ke du") for g in "mfn"]
+    known = {"ip": [*nets, "10.0.0.1", "8.8.8.8", "0.1.2.3"], "email": [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"], "card": cards, "person": names}
+    known |= {"ssn": ["078051120", "000000000", "666121234"], "phone": [f"1|555{k:03d}" for k in range(300)] + [f"|555{k:03d}" for k in range(300)], "iban": [f"DE{k:02d}370400440532013000" for k in range(100)], "secret": ["a" * 31 + "1", "1" * 31 + "a", "pass-Word", "abcdef12"]}
+    rows = [(1, kind, x) for kind, some in known.items() for x in some]
+    got = pii.assign(spark.createDataFrame([*rows, *rows], "print long, type string, canonical string"), KEY).collect()
+    made = {(r["type"], r["canonical"]): r["surrogate"] for r in got}
+    assert len(got) == len(made) == len(rows) == len({(k, v) for (k, _), v in made.items()})
+    assert all(v != x for (_, x), v in made.items())
+    assert all(made["ip", x].startswith("192.168.") for x in nets) and made["ip", "10.0.0.1"].startswith("10.")
+    assert all((pii._luhn(x) == 0) == (pii._luhn(made["card", x]) == 0) and made["card", x][0] == "4" for x in cards)
+    valid = lambda x: x[2:4] == pii._check_digits(x[:2], x[4:])
+    assert sum(valid(x) for x in known["iban"]) == 1 and all(valid(x) == valid(made["iban", x]) for x in known["iban"])
+    assert all(made["person", x][:2] == x[:2] for x in names)
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a1" * 500_000, "a." * 500_000 + "@", "@" * 300_000, "1.1" * 200_000, "x@" * 200_000, "a_" * 300_000 + "@b.org"):
+        pii.replace(text, KEY)
+    assert time.perf_counter() - began < 30
+    assert [m[2] for m in pii.mentions("_.bob@x.org, a@b, c_@d.org, \"x@y.zz@q.org\" and 8.8.8.8")] == ["email", "email", "ip"]
+
+
+def test_surrogates_equal_brute_force(spark):
+    """Every mention planted at a known place is replaced by its entity's surrogate, and nothing else changes."""
+    rng = __import__("random").Random(6)
+    planted = {"email": ["x.y@ab.org", "Z1@q-r.com"], "ip": ["10.1.2.3", "9.8.7.6"], "ssn": ["078-05-1120"], "card": ["4111 1111 1111 1111"]}
+    rows, want = [], {}
+    for i in range(60):
+        parts, new = [], []
+        for _ in range(rng.randint(0, 5)):
+            kind = rng.choice(list(planted))
+            text = rng.choice(planted[kind])
+            parts += [rng.choice(["word", "Ünder", "数据"]), text]
+            new += [parts[-2], pii.render(kind, text, pii.surrogate(KEY, kind, pii.canonical(kind, text)))]
+        rows.append((i, " ".join([*parts, "end"]), "kept", "_t"))
+        want[i] = " ".join([*new, "end"])
+    docs = spark.createDataFrame([*rows, *rows, (100, None, None, None), (101, "", "x", "y")], "doc_id long, text string, row string, _text string").withColumn("others", F.lit(1))
+    out = pii.pseudonymise(docs, KEY)
+    assert out.columns == [*docs.columns, "n_entities", "kinds"]
+    got = out.collect()
+    assert all(r["text"] == want[r["doc_id"]] and (r["row"], r["_text"], r["others"]) == ("kept", "_t", 1) for r in got if r["doc_id"] < 100) and len(got) == 122
+    assert {(r["text"], r["n_entities"]) for r in got if r["doc_id"] >= 100} == {(None, 0), ("", 0)}
 
 
 def test_clean_and_empty_tables(spark):
