@@ -23,33 +23,61 @@ def over_budget(listing: DataFrame, *, warn: int = WARN_BYTES, most: int = MAX_B
 
 
 def read_assets(listing: DataFrame, limits: AssetLimits) -> DataFrame:
-    """One row: number, total and largest of the files, those above the size cap, and the flags.
+    """One row: number, total and largest of the files, number and worst of those above the size cap, and the flags.
 
-    Partial and final aggregation only; the oversized list holds files above the per-asset cap alone.
+    Of equally large files the first by path counts. Partial and final aggregation only; :func:`oversized` lists the files.
     """
     size = F.col("bytes")
-    tie = F.struct(size, F.col("path"))
+    first = F.struct((-size).alias("s"), F.col("path"))
+    above = F.col("bytes") > ASSET_CAP_BYTES
     readings = listing.where(size.isNotNull()).agg(
         F.count("bytes").alias("count"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-        F.max_by("path", F.struct(size, F.reverse("path"))).alias("largest"),
+        F.min_by("path", first).alias("largest"),
         F.coalesce(F.max("bytes"), F.lit(0)).alias("largest_bytes"),
-        F.array_sort(F.collect_list(F.when(size > ASSET_CAP_BYTES, tie))).alias("oversized"),
+        F.count_if(above).cast("int").alias("n_oversized"),
+        F.min_by(F.struct("bytes", "path"), F.when(above, first)).alias("worst"),
     )
     tight = limits.margin < limits.cap * MARGIN_SHARE
     return readings.select(
         "*",
-        ((F.col("count") > limits.cap) | (F.size("oversized") > 0)).alias("over_cap"),
+        ((F.col("count") > limits.cap) | (F.col("n_oversized") > 0)).alias("over_cap"),
         (F.col("count") > limits.budget).alias("over_budget"),
         F.lit(tight).alias("tight_margin"),
     )
 
 
+def oversized(listing: DataFrame) -> DataFrame:
+    """The files above the size that one asset may have, as rows."""
+    return listing.where(F.col("bytes") > ASSET_CAP_BYTES)
+
+
 def verdict(reading: DataFrame) -> DataFrame:
-    word = F.when(F.size("oversized") > 0, "oversized").when(F.col("over_cap"), "over_cap").when(F.col("over_budget"), "over_budget").when(F.col("tight_margin"), "tight_margin").otherwise("ok")
+    word = F.when(F.col("n_oversized") > 0, "oversized").when(F.col("over_cap"), "over_cap").when(F.col("over_budget"), "over_budget").when(F.col("tight_margin"), "tight_margin").otherwise("ok")
     return reading.withColumn("verdict", word)
 
 
+class OverBudget(ValueError):
+    """A listing breaks a budget."""
+
+
+def require_size_budget(listing: DataFrame, *, warn: int = WARN_BYTES, most: int = MAX_BYTES) -> DataFrame:
+    """The files near the limit; raises OverBudget, naming the ten largest, if any is over it."""
+    found = over_budget(listing, warn=warn, most=most)
+    worst = found.where("bucket = 'over'").orderBy("rank").limit(10).select("path", size_text(F.col("bytes")).alias("size")).collect()
+    if worst:
+        raise OverBudget("; ".join(f"{r['path']} has {r['size']}" for r in worst))
+    return found.where("bucket = 'near'")
+
+
+def require_dist_budget(listing: DataFrame, limits: AssetLimits, label: str = "dist/") -> str:
+    """The message of a listing within its budget, a tight margin included; raises OverBudget with it otherwise."""
+    row = message(read_assets(listing, limits), limits, label).first()
+    if row["verdict"] in ("oversized", "over_cap", "over_budget"):
+        raise OverBudget(row["message"])
+    return row["message"]
+
+
 def message(reading: DataFrame, limits: AssetLimits, label: str = "dist/") -> DataFrame:
     """A line per reading: files, size and share of the cap, and what the first broken limit means."""
     count = F.col("count")
@@ -57,7 +85,7 @@ def message(reading: DataFrame, limits: AssetLimits, label: str = "dist/") -> Da
         F.lit(label + " "), grouped(count), F.when(count == 1, " file (").otherwise(" files ("), size_text(F.col("bytes")),
         F.lit(", "), rounded(count / F.lit(float(limits.cap)) * 100).cast("string"), F.lit(f"% of the {limits.cap:,}-file cap): "),
     )
-    worst = F.element_at("oversized", -1)
+    worst = F.col("worst")
     tail = (
         F.when(F.col("verdict") == "oversized", F.concat(worst["path"], F.lit(" is "), size_text(worst["bytes"]), F.lit(f", more than the {ASSET_CAP_BYTES // MIB} MiB that one asset may have")))
         .when(F.col("verdict") == "over_cap", F.lit(f"above the cap of {limits.cap:,} assets, so the next upload fails"))

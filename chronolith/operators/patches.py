@@ -67,26 +67,34 @@ def hunks(rows: DataFrame) -> DataFrame:
     return out.withColumn("reconciles", whole)
 
 
-def _header(pattern: str, group: int = 1) -> Column:
-    """The group of the first header line of a file that has the pattern; null if none does."""
-    return F.min_by(F.regexp_extract("text", pattern, group), F.when((F.col("kind") == "header") & F.col("text").rlike(pattern), F.col("line_no")))
+#: What the lines of a file's header say, each line one thing: pattern of the whole line, and the fields of its groups.
+HEADERS = (
+    (r"^diff --git a/(.*) b/(.*)$", ("git_a", "git_b")),
+    (r"^--- a/(.*?)\t?$", ("minus",)),
+    (r"^\+\+\+ b/(.*?)\t?$", ("plus",)),
+    (r"^rename from (.*)$", ("rename_from",)),
+    (r"^rename to (.*)$", ("rename_to",)),
+    (r"^similarity index ([0-9]+)%$", ("similarity",)),
+    (r"^new file mode ([0-9]+)$", ("new_mode",)),
+    (r"^deleted file mode ([0-9]+)$", ("deleted_mode",)),
+    (r"^new mode ([0-9]+)$", ("changed_mode",)),
+    (r"^index ([0-9a-f]+)\.\.([0-9a-f]+)(?: ([0-9]+))?$", ("old_blob", "new_blob", "index_mode")),
+    (r"^(Binary files .* differ|GIT binary patch)$", ("binary",)),
+)
 
 
 def files(rows: DataFrame) -> DataFrame:
-    """One row per file of a diff: paths, status, similarity, mode, blob ids, and its added and removed lines."""
-    has = lambda p: F.max(F.when(F.col("kind") == "header", F.col("text").rlike(p)).otherwise(False))
-    per = rows.where("file_no > 0").groupBy("key", "file_no").agg(
-        _header(r"^diff --git a/(.*) b/.*$").alias("git_a"), _header(r"^diff --git a/.* b/(.*)$").alias("git_b"),
-        _header(r"^--- a/(.*?)\t?$").alias("minus"), _header(r"^\+\+\+ b/(.*?)\t?$").alias("plus"),
-        _header(r"^rename from (.*)$").alias("rename_from"), _header(r"^rename to (.*)$").alias("rename_to"),
-        _header(r"^similarity index ([0-9]+)%$").alias("similarity"),
-        _header(r"^new file mode ([0-9]+)$").alias("new_mode"), _header(r"^deleted file mode ([0-9]+)$").alias("deleted_mode"),
-        _header(r"^new mode ([0-9]+)$").alias("changed_mode"),
-        _header(r"^index ([0-9a-f]+)\.\.[0-9a-f]+").alias("old_blob"), _header(r"^index [0-9a-f]+\.\.([0-9a-f]+)").alias("new_blob"), _header(r"^index [0-9a-f]+\.\.[0-9a-f]+ ([0-9]+)$").alias("index_mode"),
-        has(r"^(?:Binary files .* differ|GIT binary patch)$").alias("is_binary"),
-        F.count(F.when(F.col("kind") == "added", 1)).alias("additions"), F.count(F.when(F.col("kind") == "removed", 1)).alias("deletions"),
-        F.count(F.when(F.col("kind") == "no_newline", 1)).alias("no_newline"), F.max("hunk_no").alias("hunks"),
+    """One row per file of a diff: paths, status, similarity, mode, blob ids, and its added and removed lines.
+
+    Only header lines are read with patterns, each once by the first that fits; a file keeps the first value of a field.
+    """
+    kind, text = F.col("kind"), F.col("text")
+    counted = rows.where("file_no > 0").groupBy("key", "file_no").agg(
+        F.count_if(kind == "added").alias("additions"), F.count_if(kind == "removed").alias("deletions"), F.count_if(kind == "no_newline").alias("no_newline"), F.max("hunk_no").alias("hunks"),
+        *[F.min(F.when(kind == "header", F.when(text.rlike(p), F.struct("line_no", text.alias("t"))))).alias(f"_h{k}") for k, (p, _) in enumerate(HEADERS)],
     )
+    fields = {f: F.nullif(F.regexp_extract(F.col(f"_h{k}")["t"], p, g), F.lit("")) for k, (p, names) in enumerate(HEADERS) for g, f in enumerate(names, 1)}
+    per = counted.select("*", *[c.alias(f) for f, c in fields.items()]).withColumn("is_binary", F.col("binary").isNotNull())
     status = F.when(F.col("new_mode").isNotNull(), "added").when(F.col("deleted_mode").isNotNull(), "removed").when(F.col("rename_to").isNotNull(), "renamed").otherwise("modified")
     mode = F.coalesce("new_mode", "deleted_mode", "changed_mode", "index_mode")
     return per.select(

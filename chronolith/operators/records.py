@@ -6,27 +6,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filled
+from .shards import with_day
 
-STEM = 3
+def _hits(records: DataFrame, probes: DataFrame, id_col: str, probe_col: str) -> DataFrame:
+    """``prefix, id`` of all matches: an equi-join of each probe with the ids cut to the length of a probe.
 
+    Ids are cut to the lengths that probes have and to no others, so a join key is a whole prefix, however many
+    ids begin alike. The lengths are one number for each, of which an id has as many as characters.
+    """
+    known = records.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    asked = probes.select(F.col(probe_col).alias("prefix")).where("prefix != ''").distinct()
+    lengths = asked.agg(F.array_sort(F.collect_set(F.char_length("prefix"))).alias("lengths"))
+    cut = known.join(F.broadcast(lengths)).select("id", F.explode("lengths").alias("n")).where(F.char_length("id") >= F.col("n"))
+    return asked.join(cut.select("id", F.substring(F.col("id"), F.lit(1), F.col("n")).alias("prefix")), "prefix")
 
-def by_prefix(records: DataFrame, probes: DataFrame, *, id_col: str = "sha", probe_col: str = "prefix") -> DataFrame:
-    """Each probe with its matches and ``status``: found, ambiguous or missing. Empty and null probes miss.
 
-    Probes are joined on the first STEM characters and then compared, so that both sides can be of any size;
-    probes shorter than that go by their own length, of which there are STEM - 1 at most.
-    """
-    known = records.select(F.col(id_col).alias("_id")).where("_id is not null")
-    keys = known.select("_id", F.explode(F.array(*[F.substring("_id", 1, k) for k in range(1, STEM + 1)])).alias("_stem")).distinct()
+def by_prefix(records: DataFrame, probes: DataFrame, *, id_col: str = "sha", probe_col: str = "prefix") -> DataFrame:
+    """Each probe with its matches and ``status``: found, ambiguous or missing. Empty and null probes miss."""
     asked = probes.select(F.col(probe_col).alias("prefix")).distinct()
-    hits = asked.join(keys, F.substring("prefix", 1, STEM) == F.col("_stem")).where(F.startswith("_id", "prefix"))
-    found = hits.groupBy("prefix").agg(F.count_distinct("_id").alias("matches"), F.min("_id").alias("first_match"))
+    found = _hits(records, probes, id_col, probe_col).groupBy("prefix").agg(F.count("id").alias("matches"), F.min("id").alias("first_match"))
     status = F.when(F.col("matches").isNull(), "missing").when(F.col("matches") == 1, "found").otherwise("ambiguous")
     return asked.join(found.withColumnRenamed("prefix", "_p"), F.col("prefix").eqNullSafe(F.col("_p")), "left").drop("_p").select(
         "prefix", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("first_match")).alias("sha"), status.alias("status")
     )
 
 
+def lookup(records: DataFrame, index: DataFrame, probes: DataFrame, *, id_col: str = "sha") -> DataFrame:
+    """``prefix, status, record``: the record that each probe names, null where it is missing or ambiguous.
+
+    ``index`` (see :func:`day_index`) tells the day of each id, so that a table of records partitioned by day is read for
+    the days found only. Probes longer than the keys of the index are compared in full with the record's id.
+    """
+    size = index.agg(F.max(F.char_length("key"))).first()[0] or 0
+    asked = probes.select("prefix", F.substring("prefix", 1, size).alias("short")).distinct() if size else probes.select("prefix", F.col("prefix").alias("short")).distinct()
+    days = _hits(index, asked, "key", "short").withColumnRenamed("prefix", "short").join(index.withColumnRenamed("key", "id"), "id").select("short", "day").distinct()
+    some = records.join(F.broadcast(days.select("day").distinct()), "day", "left_semi")
+    places = _hits(some, asked, id_col, "prefix")
+    one = places.groupBy("prefix").agg(F.count("id").alias("n"), F.min("id").alias("id"))
+    row = F.struct(*[F.col(c) for c in records.columns])
+    found = some.select(row.alias("record")).withColumn("id", F.col("record").getField(id_col)).groupBy("id").agg(F.max("record").alias("record"))
+    named = one.join(found, "id").select(F.col("prefix").alias("_p"), "n", F.when(F.col("n") == 1, F.col("record")).alias("record"))
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "found").otherwise("ambiguous")
+    return asked.join(named, F.col("prefix") == F.col("_p"), "left").select("prefix", status.alias("status"), "record")
+
+
+def as_markdown(title: Column, summary: Column, date: Column, sha: Column) -> Column:
+    """A record as a markdown text: title, date and short id, summary; parts without content are left out."""
+    head = F.concat(F.lit("# "), F.coalesce(filled(title), sha))
+    line = F.concat_ws(" ", filled(date), F.concat(F.lit("`"), F.substring(sha, 1, 12), F.lit("`")))
+    return F.concat(F.concat_ws("\n\n", head, line, filled(summary)), F.lit("\n"))
+
+
+def day_records(entries: DataFrame) -> DataFrame:
+    """``day, records, first, last``: number of the records of each day that are no noise, and the first and last by date and sha."""
+    place = F.struct("date", "sha")
+    shown = with_day(entries.where(~F.coalesce("noise", F.lit(False))))
+    return shown.groupBy(F.col("shard").alias("day")).agg(F.count(F.lit(1)).alias("records"), F.min_by("sha", place).alias("first"), F.max_by("sha", place).alias("last"))
+
+
 def effective(entries: DataFrame, overrides: DataFrame) -> DataFrame:
     """Records as shown: override fields (sha, title, summary, note, noise) before those of ``ai`` before their own."""
     named = overrides.select(F.col("sha").alias("_sha"), *[F.col(c).alias(f"_{c}") for c in ("title", "summary", "note", "noise") if c in overrides.columns])

@@ -26,6 +26,23 @@ _FILES = """
          'p' || l_partkey || '.ts' AS path, CAST(l_quantity AS INTEGER) AS q, CAST(l_quantity AS INTEGER) % 3 AS k
   FROM lineitem"""
 
+#: The same of the diffs with headers of other kinds.
+_HEADERS = """
+  SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INTEGER)) AS BIGINT) AS file_no,
+         'p' || l_partkey AS path, CAST(l_quantity AS INTEGER) AS q, CAST(l_quantity AS INTEGER) % 6 AS k
+  FROM lineitem"""
+#: Orders as records, their evidence and the notes that parts of the same day give.
+_CLAIMS = """
+  SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS sha, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus = 'P' AS noise, 'order ' || o_orderkey AS title,
+         CASE WHEN o_orderkey % 7 <> 4 THEN 'words of ' || o_orderkey END AS words,
+         CASE o_orderkey % 7 WHEN 0 THEN 'Group ' || o_custkey % 9 || ' in Singapore left full access on ' || strftime(o_orderdate, '%Y-%m-%d') || '.'
+                             WHEN 1 THEN 'Group ' || o_custkey % 9 || ' of Israel left access.' ELSE '' END AS evidence
+  FROM orders"""
+_NOTES = f"""
+  SELECT DISTINCT a.sha, a.day, b.sha AS peer, a.evidence || ' ' || b.words AS text
+  FROM ({_CLAIMS}) a JOIN lineitem x ON x.l_orderkey = a.o_orderkey JOIN lineitem y ON y.l_partkey = x.l_partkey JOIN ({_CLAIMS}) b ON b.o_orderkey = y.l_orderkey AND b.day = a.day
+  WHERE a.evidence <> '' AND NOT a.noise AND b.evidence = '' AND b.words IS NOT NULL AND NOT b.noise AND x.l_partkey % 5 <> 0"""
+
 ORACLE = {
     "shard_manifest": f"SELECT {_DAY} AS shard, count(*) AS entries, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY 1",
     "day_keys": f"SELECT event_id, CASE WHEN event_id % 4 < 3 THEN {_DAY} ELSE 'unknown' END AS shard FROM events",
@@ -129,4 +146,34 @@ ORACLE = {
     "line_classify": """
         WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) AS line FROM documents WHERE coalesce(text, '') <> '')
         SELECT doc_id AS key, CASE WHEN line = '' THEN 'empty' WHEN line[1] IN ('A', 'E', 'I', 'O', 'U') THEN 'vowel' ELSE 'other' END AS kind, count(*) AS lines FROM l GROUP BY 1, 2""",
+    "patch_headers": f"""
+        SELECT key, file_no, CASE WHEN k < 5 THEN path END AS old_path, CASE WHEN k < 2 THEN 'moved/' || path ELSE path END AS new_path, CASE WHEN k < 2 THEN 'renamed' WHEN k = 5 THEN 'added' ELSE 'modified' END AS status,
+               CAST(CASE k WHEN 0 THEN 100 WHEN 1 THEN 90 + CAST(substr(CAST(q AS VARCHAR), 1, 1) AS INTEGER) END AS INTEGER) AS similarity,
+               CASE k WHEN 1 THEN '100644' WHEN 2 THEN '100644' WHEN 3 THEN '100755' WHEN 4 THEN '160000' WHEN 5 THEN '120000' END AS mode, k = 4 AS is_submodule, k = 5 AS is_symlink, k = 2 AS is_binary,
+               CASE WHEN k > 0 THEN substr(md5(CAST(q AS VARCHAR)), 1, 9) END AS old_blob, CASE WHEN k > 0 THEN substr(md5(q || 'x'), 1, 9) END AS new_blob,
+               CAST(CASE WHEN k IN (1, 3, 4, 5) THEN 1 ELSE 0 END AS BIGINT) AS additions, CAST(CASE WHEN k IN (1, 3, 4) THEN 1 ELSE 0 END AS BIGINT) AS deletions,
+               CAST(CASE k WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS BIGINT) AS no_newline, CAST(CASE WHEN k IN (0, 2) THEN 0 ELSE 1 END AS BIGINT) AS hunks
+        FROM ({_HEADERS})""",
+    "patch_short_hunks": f"""
+        SELECT key, file_no, CAST(CASE k WHEN 5 THEN 0 ELSE q END AS BIGINT) AS old_start, CAST(CASE k WHEN 5 THEN 0 ELSE 1 END AS BIGINT) AS old_len, CAST(CASE k WHEN 5 THEN 1 ELSE q END AS BIGINT) AS new_start,
+               CAST(1 AS BIGINT) AS new_len, CAST(NULL AS VARCHAR) AS context_of, CAST(CASE k WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS BIGINT) AS no_newline, true AS reconciles
+        FROM ({_HEADERS}) WHERE k NOT IN (0, 2)""",
+    "patch_lines": f"""
+        WITH l AS (SELECT key, unnest(CASE k WHEN 0 THEN ['added', 'added'] WHEN 1 THEN ['removed', 'removed'] ELSE ['removed', 'added', 'context'] END) AS kind,
+                          unnest(CASE k WHEN 0 THEN ['one', '+++ two'] WHEN 1 THEN ['one', '-- two'] ELSE ['  "version": "1.' || q || '"', '  "version": "2.' || q || '"', 'same'] END) AS text FROM ({_FILES}))
+        SELECT key, kind, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM l GROUP BY 1, 2""",
+    "access_evidence": f"SELECT sha, evidence FROM ({_CLAIMS})",
+    "story_notes": _NOTES,
+    "day_leads": f"SELECT c.day, first(c.evidence ORDER BY c.sha) AS headline FROM ({_CLAIMS}) c WHERE c.sha IN (SELECT sha FROM ({_NOTES})) GROUP BY c.day",
+    "announcements": f"""
+        WITH n AS (SELECT sha, string_agg(text, chr(10) ORDER BY text) AS notes FROM ({_NOTES}) GROUP BY sha)
+        SELECT sha, substr(concat_ws(chr(10), '**' || title || '**', notes, words), 1, 2000) AS announcement FROM ({_CLAIMS}) LEFT JOIN n USING (sha)""",
+    "day_records": f"SELECT day, count(*) AS records, min(sha) AS first, max(sha) AS last FROM ({_CLAIMS}) WHERE NOT noise GROUP BY day",
+    "record_lookup": """
+        WITH k AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS sha, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS title FROM orders),
+        a AS (SELECT DISTINCT substr(md5(CAST(c_custkey AS VARCHAR)), 1, CAST(4 + 4 * (c_custkey % 4) AS INTEGER)) AS prefix FROM customer),
+        f AS (SELECT a.prefix, count(k.sha) AS n, min(k.sha) AS one FROM a LEFT JOIN k ON starts_with(k.sha, a.prefix) GROUP BY 1)
+        SELECT prefix, CASE n WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, k.sha, k.day, k.title FROM f LEFT JOIN k ON f.n = 1 AND k.sha = f.one""",
+    "cache_age": """
+        SELECT event_id, CASE WHEN event_id % 10 = 0 THEN true ELSE epoch_us(date_trunc('day', ts)) // 1000 + 43200000 - epoch_us(date_trunc('second', ts)) // 1000 >= 21600000 END AS fetch FROM events""",
 }

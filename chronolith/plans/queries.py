@@ -82,7 +82,7 @@ def _listing(spark: SparkSession, sf: str) -> DataFrame:
 
 def dist_budget(spark: SparkSession, sf: str) -> DataFrame:
     reading = budgets.verdict(budgets.read_assets(_listing(spark, sf), AssetLimits(1200, 900, 300)))
-    return reading.select("count", "bytes", "largest", "largest_bytes", F.size("oversized").alias("n_oversized"), "over_cap", "over_budget", "tight_margin", "verdict")
+    return reading.select("count", "bytes", "largest", "largest_bytes", "n_oversized", "over_cap", "over_budget", "tight_margin", "verdict")
 
 
 def dist_message(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,11 +235,106 @@ def line_classify(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("key", kind.alias("kind")).agg(F.count("line_no").alias("lines"))
 
 
+def _header_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    """A diff per order of what :func:`_diffs` has not: renames with and without edits, binary files, modes, submodules,
+    links, omitted lengths and missing line ends, by quantity."""
+    q = F.col("l_quantity").cast("int")
+    rows = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", q.alias("q"))
+    name, n = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("q").cast("string")
+    k = F.col("q") % 6
+    to = F.when(k < 2, F.concat(F.lit("moved/"), name)).otherwise(name)
+    blobs = F.concat(F.lit("\nindex "), F.substring(F.md5(n), 1, 9), F.lit(".."), F.substring(F.md5(F.concat(n, F.lit("x"))), 1, 9))
+    sides = F.concat(F.lit("\n--- a/"), name, F.lit("\n+++ b/"), to)
+    renamed = F.concat(F.lit("\nrename from "), name, F.lit("\nrename to "), to)
+    short = F.concat(F.lit("\n@@ -"), n, F.lit(" +"), n, F.lit(" @@"))
+    body = (
+        F.when(k == 0, F.concat(F.lit("\nsimilarity index 100%"), renamed))
+        .when(k == 1, F.concat(F.lit("\nsimilarity index 9"), F.substring(n, 1, 1), F.lit("%"), renamed, blobs, F.lit(" 100644"), sides, short, F.lit("\n-rename from x\n+rename to y")))
+        .when(k == 2, F.concat(blobs, F.lit(" 100644\nBinary files a/"), name, F.lit(" and b/"), name, F.lit(" differ")))
+        .when(k == 3, F.concat(F.lit("\nold mode 100644\nnew mode 100755"), blobs, sides, short, F.lit("\n-one\n\\ No newline at end of file\n+new file mode 1\n\\ No newline at end of file")))
+        .when(k == 4, F.concat(blobs, F.lit(" 160000"), sides, short, F.lit("\n-Subproject commit 1\n+Subproject commit 2")))
+        .otherwise(F.concat(F.lit("\nnew file mode 120000"), blobs, F.lit("\n--- /dev/null\n+++ b/"), name, F.lit("\n@@ -0,0 +1 @@\n+target\n\\ No newline at end of file")))
+    )
+    text = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), to, body)
+    parts = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey"), F.col("q"), text.alias("t"))))
+    return rows.groupBy(F.col("l_orderkey").cast("string").alias("key")).agg(F.concat(F.array_join(F.transform(parts, lambda x: x["t"]), "\n"), F.lit("\n")).alias("body"))
+
+
+def patch_headers(spark: SparkSession, sf: str) -> DataFrame:
+    out = patches.files(patches.placed(_header_diffs(spark, sf)))
+    return out.select("key", "file_no", "old_path", "new_path", "status", "similarity", "mode", "is_submodule", "is_symlink", "is_binary", "old_blob", "new_blob", "additions", "deletions", "no_newline", "hunks")
+
+
+def patch_short_hunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Hunks whose headers leave the lengths out."""
+    return patches.hunks(patches.placed(_header_diffs(spark, sf))).select("key", "file_no", "old_start", "old_len", "new_start", "new_len", "context_of", "no_newline", "reconciles")
+
+
+def patch_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of each kind in the hunks of each diff."""
+    return patches.changed_lines(patches.placed(_diffs(spark, sf))).groupBy("key", "kind").agg(F.count("line_no").alias("lines"), F.sum(F.char_length("text")).alias("chars"))
+
+
+def _claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as records of a day: facts of several kinds, parts as files, noise by status."""
+    n = F.col("o_orderkey") % 7
+    who = F.concat(F.lit("Group "), (F.col("o_custkey") % 9).cast("string"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    fact = (
+        F.when(n == 0, F.concat(who, F.lit(" in SG left full access on "), day, F.lit(": as listed")))
+        .when(n == 1, F.concat(who, F.lit(" of IL left access")))
+        .when(n == 2, F.concat(who, F.lit(" has not left access")))
+        .when(n == 3, F.concat(who, F.lit(" left access if asked")))
+    )
+    orders = _table(spark, sf, "orders").select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("sha"), day.alias("day"), F.concat(day, F.lit("T10:00:00Z")).alias("date"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.struct(F.when(n != 4, F.concat(F.lit("words of "), F.col("o_orderkey").cast("string"))).alias("text")).alias("eli5"), F.array(F.lit("plain fact"), fact).alias("facts"), (F.col("o_orderstatus") == "P").alias("noise"))
+    path = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("tests/p"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("src/p"), F.col("l_partkey").cast("string")))
+    none = F.lit(None).cast("array<string>")
+    paths = _table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(path).alias("modified"))
+    return orders.join(paths, "o_orderkey", "left").select("sha", "day", "date", "title", "eli5", "facts", "noise", F.struct(none.alias("added"), none.alias("removed"), none.alias("renamed"), "modified").alias("files"))
+
+
+def access_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return _claims(spark, sf).select("sha", stories.access_evidence(F.col("facts")).alias("evidence"))
+
+
+def story_notes(spark: SparkSession, sf: str) -> DataFrame:
+    return stories.story_notes(_claims(spark, sf))
+
+
+def day_leads(spark: SparkSession, sf: str) -> DataFrame:
+    claims = _claims(spark, sf)
+    return stories.day_leads(claims, stories.story_notes(claims))
+
+
+def announcements(spark: SparkSession, sf: str) -> DataFrame:
+    claims = _claims(spark, sf)
+    return stories.announcement(claims, stories.story_notes(claims))
+
+
+def day_records(spark: SparkSession, sf: str) -> DataFrame:
+    return records.day_records(_claims(spark, sf))
+
+
+def record_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Records by the first characters of their id, by way of an index of days."""
+    sha = F.md5(F.col("o_orderkey").cast("string"))
+    table = _table(spark, sf, "orders").select(sha.alias("sha"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("title"))
+    asked = _table(spark, sf, "customer").select(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 4 + 4 * (F.col("c_custkey") % 4).cast("int")).alias("prefix"))
+    return records.lookup(table, records.day_index(table), asked).select("prefix", "status", "record.sha", "record.day", "record.title")
+
+
+def cache_age(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the reading of each event is older than six hours at noon of its day."""
+    events = _table(spark, sf, "events").select("event_id", _stamp(F.col("ts")).alias("at"), F.unix_millis(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("day"))
+    return events.select("event_id", upsert.must_fetch(F.when(F.col("event_id") % 10 != 0, F.col("at")), F.col("day") + 12 * 3_600_000).alias("fetch"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         shard_manifest, day_keys, canonical_sort, canonical_ranks, shard_diff, legacy_migrate, size_budget, size_texts, dist_budget, dist_message, retention,
         cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, override_merge,
         day_range, feed_rows, compact_numbers, patch_files, patch_hunks, patch_stats, version_bumps, hunk_sections, line_classify,
+        patch_headers, patch_short_hunks, patch_lines, access_evidence, story_notes, day_leads, announcements, day_records, record_lookup, cache_age,
     )
 }

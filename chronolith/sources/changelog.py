@@ -7,14 +7,19 @@ manifest last, which commits the save. There is one writer at a time.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import shards
 from ..schemas import DOCUMENT, ENTRY, MANIFEST, SHARD
 
 MANIFEST_NAME = "changelog.json"
 DIGESTS = "digests"
+#: Records of a day that one task writes; a larger day becomes several files.
+FILE_RECORDS = 100_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -32,6 +37,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, one per day in that of the shards; none if it is not there."""
+    fs, jpath = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
+
+
+def manifest_fields(spark: SparkSession, root: str) -> dict:
+    """All fields of the manifest, those that the schema does not know included, without inline entries."""
+    text = spark.read.text(f"{root}/{MANIFEST_NAME}", wholetext=True).first()
+    return {k: v for k, v in json.loads(text[0]).items() if k != "entries"} if text else {}
+
+
 def read_manifest(spark: SparkSession, root: str) -> DataFrame | None:
     """The manifest alone, without touching a shard; None if there is none."""
     path = f"{root}/{MANIFEST_NAME}"
@@ -49,15 +66,32 @@ def read_shard_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where("entries is not null").select(F.inline("entries"))
 
 
-def load(spark: SparkSession, root: str) -> DataFrame | None:
-    """All records in canonical order; None without a manifest, no rows without shards."""
-    if not exists(spark, f"{root}/{MANIFEST_NAME}"):
-        return None
+def stored_entries(spark: SparkSession, root: str) -> DataFrame:
+    """The records of all shards in no order: of the partitions of this library and of files of one ``{day, entries}``
+    object each. Lines and files that can't be read give none."""
     path = f"{root}/{shards.SHARD_DIR}"
+    names = names_in(spark, path)
+    found = spark.createDataFrame([], ENTRY)
+    if any(n.startswith("shard=") for n in names):
+        broken = T.StructType([*ENTRY.fields, T.StructField("_broken", T.StringType(), True)])
+        lines = spark.read.option("pathGlobFilter", "*.json").text(f"{path}/shard=*")
+        rows = lines.select(F.from_json("value", broken, {"columnNameOfCorruptRecord": "_broken"}).alias("e"))
+        found = rows.where("e is not null and e._broken is null").select(*[F.col("e")[n].alias(n) for n in ENTRY.names])
+    if any(n.endswith(".json") for n in names):
+        found = found.unionByName(read_shard_files(spark, f"{path}/*.json").select(*ENTRY.names))
+    return found
+
+
+def load(spark: SparkSession, root: str) -> DataFrame | None:
+    """All records: None without a manifest, those of a document with inline entries as they are, else those of the
+    shards in canonical order."""
+    path = f"{root}/{MANIFEST_NAME}"
     if not exists(spark, path):
-        return spark.createDataFrame([], ENTRY)
-    stored = spark.read.schema(ENTRY).option("pathGlobFilter", "*.json").json(path)
-    return shards.canonical_sort(stored.select(*ENTRY.names))
+        return None
+    document = read_document(spark, path)
+    if document.where(shards.is_legacy(document)).limit(1).count():
+        return shards.inline_entries(document)
+    return shards.canonical_sort(stored_entries(spark, root))
 
 
 def load_document(spark: SparkSession, path: str) -> DataFrame:
@@ -70,39 +104,49 @@ def _row():
 
 
 def save(spark: SparkSession, root: str, entries: DataFrame, manifest: dict) -> dict[str, list[str]]:
-    """Write records by day; returns the shards by action. Fields of ``manifest`` pass through, except that its
-    entries are dropped, its layout is set and its number of entries is recounted; other counts stay.
+    """Write records by day; returns the shards by action. Fields of ``manifest`` pass through, known or not, except that
+    its entries are dropped, its layout is set and its number of entries is recounted; other counts stay.
 
-    The list of shards with their actions is one row per day, which is what the driver reads.
+    The days that are stored are those whose folders are there. Their digests are removed before anything is
+    written, so that a save that was cut off is followed by one that writes every day again. The driver reads the list of
+    days, one row each.
     """
     full = shards.with_day(entries.select(*ENTRY.names))
-    wanted = shards.digests(full.withColumn("_row", _row()), F.col("_row"))
-    digest_path = f"{root}/{DIGESTS}"
-    stored = spark.read.schema("shard string, digest string, entries long").json(digest_path) if exists(spark, digest_path) else spark.createDataFrame([], "shard string, digest string, entries long")
-    new = {r["shard"]: (r["digest"], r["entries"]) for r in wanted.collect()}
-    old = {r["shard"]: r["digest"] for r in stored.select("shard", "digest").collect()}
+    digest_path, table = f"{root}/{DIGESTS}", f"{root}/{shards.SHARD_DIR}"
+    kind = "shard string, digest string, entries long"
+    known = {r["shard"]: r["digest"] for r in spark.read.schema(kind).json(digest_path).collect()} if exists(spark, digest_path) else {}
+    old = {d: known.get(d) for d in (_unescaped(spark, n[6:]) for n in names_in(spark, table) if n.startswith("shard="))}
+    new = {r["shard"]: (r["digest"], r["entries"]) for r in shards.digests(full.withColumn("_row", _row()), F.col("_row")).collect()}
     actions: dict[str, list[str]] = {"keep": [], "rewrite": [], "write": [], "delete": sorted(set(old) - set(new))}
     for day in sorted(new):
         actions["write" if day not in old else "keep" if old[day] == new[day][0] else "rewrite"].append(day)
-    table = f"{root}/{shards.SHARD_DIR}"
     changed = actions["write"] + actions["rewrite"]
+    if changed or actions["delete"]:
+        delete(spark, digest_path)
     if changed:
-        days = spark.createDataFrame([(d,) for d in changed], "shard string")
-        rows = full.join(F.broadcast(days) if len(changed) <= 10_000 else days, "shard", "left_semi")
-        out = rows.repartition("shard").sortWithinPartitions("shard", *shards.canonical_order())
+        pieces = spark.createDataFrame([(d, -(-new[d][1] // FILE_RECORDS)) for d in changed], "shard string, pieces long")
+        rows = full.join(F.broadcast(pieces) if len(changed) <= 10_000 else pieces, "shard")
+        rows = rows.withColumn("_piece", F.pmod(F.xxhash64("sha", "date"), F.col("pieces"))).repartition("shard", "_piece").drop("pieces", "_piece")
+        out = rows.sortWithinPartitions("shard", *shards.canonical_order())
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").json(table)
     for day in actions["delete"]:
         delete(spark, f"{table}/shard={_escaped(spark, day)}")
     if changed or actions["delete"]:
         rows = [(d, *new[d]) for d in sorted(new)]
-        spark.createDataFrame(rows, "shard string, digest string, entries long").coalesce(1).write.mode("overwrite").json(digest_path)
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("overwrite").json(digest_path)
     counts = {**(manifest.get("counts") or {}), "entries": sum(n for _, n in new.values())}
     meta = {**{k: v for k, v in manifest.items() if k != "entries"}, "layout": shards.LAYOUT, "counts": counts}
-    known = {f.name: meta.get(f.name) for f in MANIFEST.fields}
-    spark.createDataFrame([tuple(known.values())], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/{MANIFEST_NAME}")
+    path = f"{root}/{MANIFEST_NAME}"
+    if names_in(spark, path) == [MANIFEST_NAME]:  # one file, as another writer leaves it
+        delete(spark, path)
+    spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return actions
 
 
+def _unescaped(spark: SparkSession, value: str) -> str:
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(value)
+
+
 def _escaped(spark: SparkSession, value: str) -> str:
     return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from .files import read_traffic
 def refresh_traffic(spark: SparkSession, path: str, fetch: Callable[[], dict | None], now_ms: int, *, ttl_ms: int = 6 * 3_600_000, force: bool = False) -> DataFrame:
     """A traffic reading from a cache that is young enough, or fetched, merged with the cache and stored.
 
-    ``fetch`` returns the reading as a dict; if it fails or returns nothing the cached reading is used, and without
+    ``fetch`` returns the reading as a dict; if it fails in any way or returns nothing the cached reading is used, and without
     one there are no rows. The call is made on the driver: one reading, whatever the size of the data.
     """
     cached = spark.createDataFrame(read_traffic(spark, path).limit(1).collect(), TRAFFIC) if exists(spark, path) else spark.createDataFrame([], TRAFFIC)
@@ -28,7 +28,7 @@ def refresh_traffic(spark: SparkSession, path: str, fetch: Callable[[], dict | N
         return cached
     try:
         got = fetch()
-    except OSError:
+    except Exception:  # whatever the injected call raises, the cache is what is left
         got = None
     if not got:
         return cached
@@ -82,17 +82,19 @@ def golden_sample(entries: DataFrame, n: int, seed: int = 40) -> DataFrame:
 
 
 def enrich(entries: DataFrame, call: Callable[[str, str], str | None], *, id_col: str = "sha", text_col: str = "summary", out: str = "enriched") -> DataFrame:
-    """Each record with what an injected function makes of it, in batches on the executors; null where it fails."""
+    """Each record with what an injected function makes of it, in batches on the executors; null where it fails or there
+    is no id. Rows pass through as they are, so repeated ids stay as many rows as they were."""
+    whole = entries.select(F.struct("*").alias("row"), filled(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            def one(row):
-                try:
-                    return call(row[0], row[1])
-                except (OSError, ValueError):
-                    return None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(ident, text):
+            try:
+                return None if ident is None else call(ident, text)
+            except (OSError, ValueError):
+                return None
 
-            yield pd.DataFrame({"_id": batch["_id"], out: [one(r) for r in batch[["_id", "_text"]].itertuples(index=False, name=None)]})
+        for batch in batches:
+            made = [one(*x) for x in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.string())], names=["row", "made"])
 
-    asked = entries.where(filled(F.col(id_col)).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return entries.join(asked.mapInPandas(run, f"_id string, {out} string"), F.col(id_col) == F.col("_id"), "left").drop("_id")
+    return whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, made string").select("row.*", F.col("made").alias(out))

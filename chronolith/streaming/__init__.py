@@ -27,9 +27,8 @@ def keep_store(stream: DataFrame, root: str, checkpoint: str, manifest: dict, on
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = changelog.load(spark, root)
         staged = f"{root}/.batch"
-        merged = batch.select(*ENTRY.names) if stored is None else latest_wins(stored, batch.select(*ENTRY.names), "sha")
+        merged = latest_wins(changelog.stored_entries(spark, root), batch.select(*ENTRY.names), "sha")
         merged.write.mode("overwrite").parquet(staged)  # the store must not be read while it is written
         actions = changelog.save(spark, root, spark.read.schema(ENTRY).parquet(staged), manifest)
         changelog.delete(spark, staged)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import MIB, compact_number, size_text
@@ -38,14 +39,28 @@ def test_asset_verdicts_and_messages(spark):
     assert read([("a", 1)] * 10, AssetLimits(10, 7, 3))["verdict"] == "over_budget"  # the cap itself is allowed
     assert read([("a", 1)], AssetLimits(100, 95, 5))["verdict"] == "tight_margin"
     big = read([("x", 25 * MIB), ("y", 26 * MIB), ("z", 30 * MIB)], AssetLimits(10, 7, 3))
-    assert (big["verdict"], big["largest"], len(big["oversized"])) == ("oversized", "z", 2) and "z is 30.0 MiB" in big["message"]
+    assert (big["verdict"], big["largest"], big["n_oversized"]) == ("oversized", "z", 2) and "z is 30.0 MiB" in big["message"]
     empty = read([], AssetLimits(10, 7, 3))
     assert (empty["count"], empty["bytes"], empty["largest"]) == (0, 0, None)
 
 
 def test_first_of_equally_large_files(spark):
     listing = spark.createDataFrame([("b", 5), ("a", 5)], "path string, bytes long")
-    assert budgets.read_assets(listing, asset_limits()).first()["largest_bytes"] == 5
+    row = budgets.read_assets(listing, asset_limits()).first()
+    assert (row["largest_bytes"], row["largest"]) == (5, "a")
+    words = spark.createDataFrame([("ab", 5), ("ba", 5), ("z", 1)], "path string, bytes long")
+    assert budgets.read_assets(words, asset_limits()).first()["largest"] == "ab"
+
+
+def test_gates(spark):
+    small = spark.createDataFrame([("a", 10), ("b", 70 * MIB)], "path string, bytes long")
+    assert [r["path"] for r in budgets.require_size_budget(small).collect()] == ["b"]
+    assert "2 files" in budgets.require_dist_budget(small.where("path = 'a'").union(small.where("path = 'a'")), AssetLimits(10, 7, 3))
+    with pytest.raises(budgets.OverBudget, match="c has 90.0 MiB"):
+        budgets.require_size_budget(small.union(spark.createDataFrame([("c", 90 * MIB)], "path string, bytes long")))
+    with pytest.raises(budgets.OverBudget, match="b is 70.0 MiB"):
+        budgets.require_dist_budget(small, AssetLimits(10, 7, 3))
+    assert [r["path"] for r in budgets.oversized(small).collect()] == ["b"]
 
 
 def test_settings():

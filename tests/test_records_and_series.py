@@ -99,3 +99,13 @@ def test_feed_range_and_index(spark):
 def test_traffic_file(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"count": 3,\n "uniques": 1, "clones": [], "fetchedAt": "x"}')
     assert files.read_traffic(spark, str(tmp_path / "t.json")).first()["count"] == 3
+
+
+def test_lookup_returns_the_record(spark):
+    rows = [("abc123def4567", "2026-01-01", "one"), ("abc999", "2026-01-02", "two"), ("fff", "2026-01-03", "three")]
+    table = spark.createDataFrame(rows, "sha string, day string, title string")
+    probes = spark.createDataFrame([("abc123def456",), ("abc123def4567",), ("abc",), ("abc9",), ("abc123def4568",), ("x",), ("",)], "prefix string")
+    got = {r["prefix"]: (r["status"], r["record"] and r["record"]["title"]) for r in records.lookup(table, records.day_index(table), probes).collect()}
+    assert got == {"abc123def456": ("found", "one"), "abc123def4567": ("found", "one"), "abc": ("ambiguous", None), "abc9": ("found", "two"), "abc123def4568": ("missing", None), "x": ("missing", None), "": ("missing", None)}
+    text = table.where("sha = 'fff'").select(records.as_markdown(F.col("title"), F.lit(None).cast("string"), F.col("day"), F.col("sha"))).first()[0]
+    assert text == "# three\n\n2026-01-03 `fff`\n"

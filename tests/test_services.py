@@ -59,3 +59,15 @@ def test_enrichment_by_an_injected_function(spark):
 
     rows = spark.createDataFrame([{"sha": s, "summary": "x"} for s in ("a", "b")] + [{"sha": None}], ENTRY)
     assert {r["sha"]: r["enriched"] for r in services.enrich(rows, call).collect()} == {"a": "a:x", "b": None, None: None}
+
+
+def test_enrichment_keeps_repeated_rows(spark):
+    rows = spark.createDataFrame([{"sha": "a", "summary": "x"}, {"sha": "a", "summary": "y"}], ENTRY)
+    assert sorted(r["enriched"] for r in services.enrich(rows, lambda s, t: t).collect()) == ["x", "y"]
+
+
+def test_any_failure_of_the_call_leaves_the_cache(spark, tmp_path):
+    def fails():
+        raise RuntimeError("not an OSError")
+
+    assert services.refresh_traffic(spark, str(tmp_path / "t"), fails, NOW).count() == 0

@@ -111,3 +111,48 @@ def test_shard_changes(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "shard string, digest string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "shard string, digest string")
     assert {r["shard"]: r["action"] for r in shards.shard_changes(old, new).collect()} == {"a": "keep", "b": "rewrite", "c": "delete", "d": "write"}
+
+
+def test_all_layouts_load_through_one_call(spark, tmp_path):
+    inline = tmp_path / "inline"
+    inline.mkdir()
+    (inline / "changelog.json").write_text(json.dumps({**META, "entries": [{"sha": "b", "date": at("2026-01-02")}, {"sha": "a", "date": at("2026-01-01")}]}, indent=2))
+    assert [r["sha"] for r in changelog.load(spark, str(inline)).collect()] == ["b", "a"]  # as they are
+    days = tmp_path / "days"
+    (days / "changelog").mkdir(parents=True)
+    (days / "changelog.json").write_text(json.dumps({**META, "layout": "day-shards"}, indent=2))
+    for day, sha in (("2026-01-02", "b"), ("2026-01-01", "a")):
+        (days / "changelog" / f"{day}.json").write_text(json.dumps({"day": day, "entries": [{"sha": sha, "date": at(day)}]}, indent=2))
+    (days / "changelog" / "broken.json").write_text("{nonsense")
+    assert [r["sha"] for r in changelog.load(spark, str(days)).collect()] == ["a", "b"]
+    changelog.save(spark, str(days), changelog.load(spark, str(days)), META)  # both layouts beside each other
+    assert changelog.manifest_fields(spark, str(days))["counts"] == {"changes": 7, "entries": 2}
+    none = tmp_path / "none"
+    none.mkdir()
+    (none / "changelog.json").write_text(json.dumps(META))
+    assert changelog.load(spark, str(none)).count() == 0
+
+
+def test_manifest_fields_pass_and_broken_lines_are_skipped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changelog, "FILE_RECORDS", 2)
+    root = str(tmp_path / "s")
+    more = [(f"m{k}", at("2026-01-02", f"{k:02d}"), "2026-01-02", "x") for k in range(20)]
+    changelog.save(spark, root, entries(spark, *BASE, *more), {**META, "custom": {"deep": [1, 2]}, "note": "é", "entries": [1]})
+    fields = changelog.manifest_fields(spark, root)
+    assert fields["custom"] == {"deep": [1, 2]} and fields["note"] == "é" and "entries" not in fields
+    files_of_day = list((tmp_path / "s" / "changelog" / "shard=2026-01-02").glob("*.json"))
+    assert changelog.load(spark, root).count() == 24
+    with open(files_of_day[0], "a") as f:
+        f.write("{nonsense\n")
+    for crc in (tmp_path / "s" / "changelog").rglob("*.crc"):
+        crc.unlink()
+    assert changelog.load(spark, root).count() == 24
+
+
+def test_lost_digests_rewrite_all_and_still_delete(spark, tmp_path):
+    root = str(tmp_path / "s")
+    changelog.save(spark, root, entries(spark, *BASE), META)
+    changelog.delete(spark, f"{root}/{changelog.DIGESTS}")
+    got = changelog.save(spark, root, entries(spark, *BASE[:3]), META)
+    assert got == {"keep": [], "rewrite": ["2026-01-01", "2026-01-02"], "write": [], "delete": ["2026-01-03"]}
+    assert [r["sha"] for r in changelog.load(spark, root).collect()] == ["a", "c", "b"]

@@ -28,6 +28,14 @@ def test_late_records_rewrite_their_own_day(spark, tmp_path):
     assert len(saves) == 2
 
 
+def test_first_batch_is_merged_by_sha(spark, tmp_path):
+    inbox, root = tmp_path / "in", str(tmp_path / "store")
+    inbox.mkdir()
+    put(inbox, "1.json", ("a", "2026-01-01", "x"), ("a", "2026-01-01", "y"))
+    streaming.keep_store(streaming.read_entries(spark, str(inbox)), root, str(tmp_path / "cp"), META).awaitTermination()
+    assert [(r["sha"], r["summary"]) for r in changelog.load(spark, root).collect()] == [("a", "y")]
+
+
 def test_windows_and_sessions(spark, tmp_path):
     src = str(tmp_path / "ev")
     spark.createDataFrame([(1, "2026-01-01 00:10:00"), (1, "2026-01-01 00:20:00"), (1, "2026-01-01 03:00:00"), (2, "2026-01-01 00:50:00")], "user_id long, t string").select("user_id", F.to_timestamp("t").alias("ts")).write.parquet(src)
