@@ -13,7 +13,8 @@ Defined cases: a null html is an empty payload; a null url is ``about:blank``; u
 header fields are separated by blanks; of equal payloads the smallest page id is the response, and rows that
 repeat it are responses too; a null page id is never the first if another exists, and if none exists all are
 responses; a page id is carried in an HTTP header of the record, other columns are not archived; an empty
-table makes no records. A truncated or malformed ARC file raises ``ValueError`` with the offset.
+table makes no records. A truncated or malformed ARC file raises ``ValueError`` with the offset, which
+:func:`convert_arcs`, for ARC files that are there, returns as a row.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ class ArcRecord:
     block: bytes
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an uncompressed ARC file, without its version block."""
+def parse_arc(data: bytes, info: bool = False) -> Iterator[ArcRecord]:
+    """The records of an uncompressed ARC file; with ``info`` the version block, too, as its first record."""
     at, version = 0, ""
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):  # the blank line between records
@@ -65,18 +66,22 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         end = data.find(b"\n", at)
         if end < 0:
             raise ValueError(f"ARC header at {at} has no end")
-        parts = data[at:end].rstrip(b"\r").decode("utf-8", "surrogateescape").split(" ")
+        line = data[at:end].rstrip(b"\r").decode("utf-8", "surrogateescape")
         start = end + 1
         if not version:
-            if not parts[0].startswith("filedesc:"):
+            parts = line.split(" ")
+            if not parts[0].startswith("filedesc:") or not parts[-1].isdigit() or len(parts) < 3:
                 raise ValueError("an ARC file begins with its version block")
             length = int(parts[-1])
             version = data[start : start + length].split(b" ", 1)[0].decode("ascii", "replace")
             if version not in FIELDS:
                 raise ValueError(f"ARC version {version!r} is not known")
+            if info:
+                yield ArcRecord(version, {"url": parts[0], "ip": parts[1], "date": parts[2], "type": "text/plain", "length": parts[-1]}, data[start : start + length])
             at = start + length
             continue
         names = FIELDS[version]
+        parts = line.rsplit(" ", len(names) - 1)  # only the first field, the url, may hold blanks
         if len(parts) != len(names) or not parts[-1].isdigit():
             raise ValueError(f"ARC header at {at} has {len(parts)} fields, version {version} has {len(names)}")
         length = int(parts[-1])
@@ -132,8 +137,13 @@ def convert(record: ArcRecord, refers_to: str | None = None) -> tuple[bytes, byt
     """
     f = record.fields
     head, payload = http_parts(record.block)
+    if not f["date"].isdigit():
+        raise ValueError(f"ARC date {f['date']!r} has other characters than digits")
     stamp = datetime.strptime((f["date"] + "00000101000000"[len(f["date"]) :])[:14], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
-    if refers_to:
+    if f["url"].startswith("filedesc:"):
+        about = f"isPartOf: {f['url'][len('filedesc:'):].lstrip('/')}\r\nformat: WARC File Format 1.1\r\ndescription: converted from an ARC file of version {record.version}\r\n"
+        kind, media, block, payload = "warcinfo", "application/warc-fields", about.encode("utf-8", "surrogateescape"), about.encode("utf-8", "surrogateescape")
+    elif refers_to:
         kind, media, block = "revisit", "application/http;msgtype=response", head
     elif head:
         kind, media, block = "response", "application/http;msgtype=response", record.block
@@ -145,7 +155,7 @@ def convert(record: ArcRecord, refers_to: str | None = None) -> tuple[bytes, byt
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {record_id(header_value(head, 'X-Page-Id') or f['url'] + f['date'], sha)}",
         f"WARC-Date: {stamp}",
-        f"WARC-Target-URI: {f['url']}",
+        f"WARC-Target-URI: {encode_url(f['url'])}",
         f"WARC-IP-Address: {f['ip']}",
         f"WARC-Payload-Digest: sha1:{sha}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
@@ -288,6 +298,38 @@ def read_warc(spark, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, WARC)
 
 
+def convert_arcs(spark, path: str) -> DataFrame:
+    """``path, url, record_type, record, error``: a WARC record (header, block and end, as bytes) for every record of the
+    ``.arc`` and ``.arc.gz`` files in ``path``, the version block as ``warcinfo``.
+
+    Of a malformed record or a file that is cut off, one row with an error tells the place; the records before it are
+    there, as are other files. A file is read by one task and is held there as a whole.
+    """
+    fields = "path string, url string, record_type string, record binary, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                rows, held = [], 0
+                try:
+                    data = content.as_py()
+                    for record in parse_arc(b"".join(unzipped(data)) if data[:2] == b"\x1f\x8b" else data, True):
+                        lines, block = convert(record)
+                        rows.append((name, record.fields["url"].encode("utf-8", "replace").decode(), lines.split(b"\r\n", 2)[1].partition(b": ")[2].decode(), lines + END + block + END, None))
+                        held += len(block)
+                        if held > ARC_BYTES:
+                            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
+                            rows, held = [], 0
+                except (ValueError, zlib.error) as problem:
+                    rows.append((name, None, None, None, str(problem)))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
+
+    names = [f.split()[0] for f in fields.split(", ")]
+    schema = pa.schema([(n, pa.binary() if n == "record" else pa.string()) for n in names])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{arc,arc.gz}").load(path)
+    return files.select("path", "content").mapInArrow(run, fields)
+
+
 def archive_pages(pages: DataFrame, **names: str) -> DataFrame:
     """Pages to WARC files in the shared folder and back."""
     path = scratch_path(pages.sparkSession, "warc")

@@ -60,6 +60,24 @@ def test_pages_to_archives_and_back(spark, tmp_path):
     assert arc.archive_pages(pages.where("false")).count() == 0
 
 
+def test_archives_in_a_folder_are_converted(spark, tmp_path):
+    good = arc.make_arc("2", "one.arc", [("http://a/b c", b"HTTP/1.1 200 OK\r\n\r\nbody"), ("dns:a", b"1.2.3.4\n")])
+    (tmp_path / "one.arc").write_bytes(good)
+    (tmp_path / "two.arc.gz").write_bytes(gzip.compress(arc.make_arc("1", "two.arc", [("http://z/", b"x" * 100_000)])))
+    (tmp_path / "cut.arc").write_bytes(good[:-6])
+    (tmp_path / "none.arc").write_bytes(b"no archive\n")
+    (tmp_path / "odd.arc").write_bytes(good.replace(b" 19970101000000 text/html", b" yesterday text/html", 1))
+    (tmp_path / "other.txt").write_bytes(good)
+    got = arc.convert_arcs(spark, str(tmp_path)).collect()
+    by = lambda name: [r for r in got if r["path"].endswith("/" + name)]
+    assert [(r["record_type"], r["url"], r["error"]) for r in by("one.arc")] == [("warcinfo", "filedesc://one.arc", None), ("response", "http://a/b c", None), ("resource", "dns:a", None)]
+    fields, block = next(arc.parse_warc([bytes(by("one.arc")[1]["record"])]))
+    assert (fields["WARC-Target-URI"], block) == ("http://a/b%20c", b"HTTP/1.1 200 OK\r\n\r\nbody")
+    assert [r["record_type"] for r in by("two.arc.gz")] == ["warcinfo", "resource"] and not by("other.txt")
+    assert [r["error"] is None for r in by("cut.arc")] == [True, True, False] and "declares" in by("cut.arc")[2]["error"]
+    assert "version block" in by("none.arc")[0]["error"] and "yesterday" in by("odd.arc")[-1]["error"]
+
+
 KEY = b"k"
 
 
