@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import ALNUM, as_binary, bound_batches, encode, hash64, lowest, slices, split_words
+from .common import ALNUM, as_binary, bound_batches, encode, hash64, lowest, mix64, slices, split_words
 
 WINDOW, STRIDE, PIECE = 32, 16, 20
 #: Bound of the training sample: documents per class, and characters of each on average.
@@ -178,23 +178,42 @@ class Model:
         return np.where(words.counts > 0, 1 / (1 + np.exp(-np.clip(self.slope * np.where(np.isfinite(logit), logit, 0) + self.shift, -60, 60))), 0.0)
 
 
+def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the sequences of GRAMS characters of every distinct word (a shorter word as a whole), and how many each has."""
+    spelled = np.concatenate([np.full((len(words.lengths), 1), N_CHARS), words.chars], 1).astype(np.uint64) + np.uint64(1)
+    length = words.lengths + 1
+    spelled[np.arange(spelled.shape[1]) >= length[:, None]] = 0
+    factor = np.random.default_rng(41).integers(0, 1 << 63, max(GRAMS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    owner, made = [], []
+    for n in GRAMS:
+        for i in range(max(1, spelled.shape[1] - n + 1)):
+            some = np.flatnonzero(i + n <= length) if i else np.arange(len(length))
+            part = spelled[some, i : i + n]
+            made.append(mix64((part * factor[: part.shape[1]]).sum(1, dtype=np.uint64) + np.uint64(n)))
+            owner.append(some)
+    owner, made = np.concatenate(owner), np.concatenate(made)
+    order = np.argsort(owner, kind="stable")
+    return made[order], np.bincount(owner, minlength=len(length))
+
+
 def first_choice(words: Words, text: np.ndarray, start: np.ndarray, length: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """A first score of every window: the highest log-odds, less their standard error, of a character sequence of its words.
 
     Sequences of GRAMS characters are counted once per text, in texts with label 1 and label 0; a word's start counts
     as a character.
     """
-    grams: dict[tuple, int] = {}
-    spelled = [[grams.setdefault(g, len(grams)) for g in {tuple(c[i : i + n]) for n in GRAMS for i in range(max(1, len(c) - n + 1))}] for c in ([-1, *row[:k]] for row, k in zip(words.chars.tolist(), words.lengths.tolist()))]
-    size = np.array([len(x) for x in spelled], np.int64)
-    flat = np.fromiter((g for x in spelled for g in x), np.int64, int(size.sum()))
-    owner = np.repeat(np.arange(len(words.counts)), words.counts)
-    seen = np.unique(np.stack([owner, words.ids], 1), axis=0)
-    many = size[seen[:, 1]]
+    gram, size = _grams(words)
+    _, flat = np.unique(gram, return_inverse=True)
     first = np.cumsum(size) - size
-    place = np.repeat(first[seen[:, 1]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    pairs = np.unique(np.stack([np.repeat(seen[:, 0], many), flat[place]], 1), axis=0)
-    by = [np.bincount(pairs[labels[pairs[:, 0]] == y, 1], minlength=len(grams)) for y in (0, 1)]
+    known = int(flat.max(initial=-1)) + 1
+    by = np.zeros((2, known), np.int64)
+    ends = np.cumsum(words.counts)
+    for a, b, y in zip(ends - words.counts, ends, labels.tolist()):
+        if y in (0, 1) and b > a:  # one text at a time: the pairs of all texts and sequences need not be held
+            own = np.unique(words.ids[a:b])
+            many = size[own]
+            place = np.repeat(first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            by[int(y), np.unique(flat[place])] += 1
     odds = np.log((by[1] + 0.5) / ((labels == 1).sum() + 1)) - np.log((by[0] + 0.5) / ((labels == 0).sum() + 1))
     odds -= np.sqrt(1 / (by[1] + 0.5) + 1 / (by[0] + 0.5))
     per_word = np.maximum.reduceat(odds[flat], first) if len(flat) else np.empty(0)
