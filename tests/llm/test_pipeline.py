@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from chronolith.llm import queries
 
@@ -55,3 +57,27 @@ def test_line_stage_cleans_texts_that_are_mostly_spread_lines(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.remove_lines(spark, docs, "").collect()}
     assert all((got[k]["text"], got[k]["n_chars"]) == (f"own line {k}", len(f"own line {k}")) for k in range(12))
     assert (got[20]["text"], got[20]["n_chars"]) == ("one for all\ntwo for all", 23)
+
+
+def test_stages_on_nulls_empty_tables_repeats_and_clashing_columns(spark, tmp_path):
+    long = " ".join(prose(70 + k, 200) for k in range(40))
+    rows = [(1, None, "s1"), (2, "", None), (3, " \n\t", "s1"), (None, "no id here", "s2"), (4, long, None), (5, "one text twice", "s1"), (5, "one text twice", "s1"), (6, "one TEXT twice", "s3"), (7, PASSAGE, "s1")]
+    names = ("n_lines", "gone", "bad", "row", "score", "_u", "id", "doc")
+    docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(c).alias(c) for c in names)).repartition(3)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(PASSAGE.split()[5:30])), (2, None), (1, " ".join(PASSAGE.split()[5:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {"toxicity": 9, "line dedup": 9, "MinHash near-dedup": 8, "benchmark decontamination": 8}  # 6 repeats 5, whose rows stay; 7 holds a window
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, str(tmp_path))
+        empty = step(spark, docs.where("false"), str(tmp_path))
+        got = out.collect()
+        assert empty.columns == out.columns and empty.count() == 0
+        assert all(r[c] == c for r in got for c in names)
+        if name == "mixing":
+            assert {r["doc_id"] for r in got if r["size"]} <= {None, 4, 5, 6, 7} and all(r["taken"] <= 2 * r["size"] for r in got)
+            assert len({r["copies"] for r in got if r["doc_id"] == 5}) <= 1
+        else:
+            assert out.columns == docs.columns and len(got) == left[name]
+            texts = {r["doc_id"]: r["text"] for r in got}
+            assert all(texts[i] == t for i, t, _ in rows if i in texts and i != 5)
