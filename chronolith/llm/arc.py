@@ -7,7 +7,8 @@ fields (so that reruns agree), an ISO timestamp from the 14 digits, type and med
 block and payload digests. Payloads equal to an earlier record's become revisits that refer to it.
 
 :func:`archive_pages` packs pages into ARC files, converts these, and writes ``.warc.gz`` files; each record
-is a header, a blank line, its block and two line ends. :func:`read_warc` reads such files back.
+is a header, a blank line, its block and two line ends, and a gzip member of its own, so that any record can
+be read from its offset alone. :func:`read_warc` reads such files back.
 
 Defined cases: a null html is an empty payload; a null url is ``about:blank``; urls are percent-encoded, as
 header fields are separated by blanks; of equal payloads the smallest page id is the response, and rows that
@@ -20,6 +21,7 @@ table makes no records. A truncated or malformed ARC file raises ``ValueError``
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -42,10 +44,12 @@ FIELDS = {
 END = b"\r\n\r\n"
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT = 0
-#: Records of one WARC file at most; a file is read by one task, compressed as it is.
-FILE_RECORDS = 50_000
-#: Text bytes of one ARC file that is packed and converted at a time.
+#: Text bytes of one ARC file that is packed and converted at a time; only a single longer page makes a larger one.
 ARC_BYTES = 4 << 20
+#: Converted ARC files in one WARC file at most; a file is read by one task, compressed as it is.
+FILE_ARCS = 32
+#: A gzip member without content, which separates the rows of the sink.
+EMPTY = gzip.compress(b"", mtime=0)
 WARC = "url string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -201,17 +205,17 @@ def parse_warc(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]
         raise ValueError(f"the WARC record at {seen} is cut off")
 
 
-def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The content of a gzip file, member after member, in pieces."""
-    while data:
+def unzipped(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The content of a gzip file, member after member, in pieces; what follows a member is copied by ``step`` bytes at most."""
+    view, at = memoryview(data), 0
+    while at < len(view):
         member = zlib.decompressobj(wbits=31)
-        for at in range(0, len(data), step):
-            yield member.decompress(data[at : at + step])
-            if member.eof:
-                data = member.unused_data + data[at + step :]
-                break
-        else:
-            raise ValueError("the gzip file is cut off")
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("the gzip file is cut off")
+            piece = view[at : at + step]
+            yield member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
 
 
 def page_block(page_id: int | None, html: bytes, first: int | None) -> bytes:
@@ -236,7 +240,10 @@ def first_pages(pages: DataFrame) -> DataFrame:
 
 
 def to_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write a WARC record per page as ``.warc.gz`` files in ``path``, by way of ARC files of both versions."""
+    """Write a WARC record per page as ``.warc.gz`` files in ``path``, by way of ARC files of both versions.
+
+    A file ends after FILE_ARCS converted ARC files, so its size is bounded by bytes, whatever the number of pages.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("key"))
     repeats = stage(first_pages(rows.select("id", "key", F.octet_length("html").alias("size"))), "repeats")
@@ -256,17 +263,30 @@ def to_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: st
                 for record in parse_arc(make_arc(version, f"part-{n}.arc", blocks)):
                     head, _ = http_parts(record.block)
                     lines, block = convert(record, header_value(head, "X-Same-As"))
-                    out.append(lines + END + block)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out.append(zlib.compress(lines + END + block + END, wbits=31))
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["value"])
 
-    # The text sink writes the bytes as they are; its line end is the end of a record.
-    records = every.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    # The text sink writes the bytes of each row as they are, and its line end is a gzip member without content.
+    members = every.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     bound_batches(pages.sparkSession)
-    records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", FILE_ARCS).text(path)
+    _name_archives(pages.sparkSession, path)
+
+
+def _name_archives(spark, path: str) -> None:
+    """Give the sink's files in ``path`` the ending of archives: one rename in the folder for each of its files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            target = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name[:-4]}.warc.gz")
+            if not files.rename(status.getPath(), target):
+                raise OSError(f"{name} in {path} cannot be renamed")
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """One row per record of the ``.gz`` archives in ``path``; every digest is checked against its block."""
+    """One row per record of the ``.warc.gz`` files in ``path``; every digest is checked against its block."""
 
     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
 
@@ -294,7 +314,7 @@ def read_warc(spark, path: str) -> DataFrame:
         if rows:
             yield packed(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
     return files.select("content").mapInArrow(run, WARC)
 
 

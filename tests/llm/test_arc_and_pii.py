@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,34 @@ def test_pages_to_archives_and_back(spark, tmp_path):
     assert arc.archive_pages(pages.where("false")).count() == 0
 
 
+def test_every_record_is_a_gzip_member_and_files_are_rolled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arc, "FILE_ARCS", 2)
+    monkeypatch.setattr(arc, "ARC_BYTES", 1000)
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://p/").alias("url"), F.concat(F.lit("é"), F.repeat(F.col("id").cast("string"), 300)).alias("html"))
+    path = f"file://{tmp_path}/warc"
+    arc.to_warc(pages.coalesce(1), path)
+    files, records = sorted((tmp_path / "warc").glob("*.warc.gz")), 0
+    assert len(files) > 1 and not list((tmp_path / "warc").glob("*.txt"))
+    for file in files:
+        data = file.read_bytes()
+        while data:
+            member = zlib.decompressobj(wbits=31)
+            record, data = member.decompress(data), member.unused_data
+            assert member.eof
+            if record:
+                assert len(list(arc.parse_warc([record]))) == 1
+                records += 1
+        assert gzip.decompress(file.read_bytes()).endswith(arc.END)
+    got = arc.read_warc(spark, path).collect()
+    assert records == len(got) == 40 and {(r["page_id"], r["payload_bytes"]) for r in got} == {(i, 2 + 300 * len(str(i))) for i in range(40)}
+
+
+def test_a_page_of_50_mb(spark):
+    pages = spark.range(2).select(F.col("id").alias("page_id"), F.lit("http://big/").alias("url"), F.repeat(F.lit("<p>long</p>"), 5_000_000).alias("html"))
+    got = arc.archive_pages(pages).collect()
+    assert [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in sorted(got, key=lambda r: r["page_id"])] == [(0, "response", None, 55_000_000), (1, "revisit", 0, 55_000_000)]
+
+
 def test_archives_in_a_folder_are_converted(spark, tmp_path):
     good = arc.make_arc("2", "one.arc", [("http://a/b c", b"HTTP/1.1 200 OK\r\n\r\nbody"), ("dns:a", b"1.2.3.4\n")])
     (tmp_path / "one.arc").write_bytes(good)
