@@ -1,11 +1,11 @@
-"""The ten corpus queries with production parameters, and SQL for those that SQL can express."""
+"""The corpus queries with production parameters, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, decontam, embeddings, lines, minhash, mixing, passages, pii, quality, toxicity
+from . import arc, bpe, codes, decontam, embeddings, lines, minhash, mixing, passages, pii, quality, search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,24 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.rank_documents(docs, _table(spark, sf_dir, "benchmark")).select(F.col("item").alias("item_id"), "rank", "doc_id", "score")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path("word_bpe_49k.json"))
+    out = bpe.decode(ids.select("doc_id", "ids", "n_tokens"), path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.coded_vectors(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,11 +89,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_embedding_dedup": op3_embedding_dedup, "op4_minhash_dedup": op4_minhash_dedup, "op5_quality": op5_quality, "op6_passage_dedup": op6_passage_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_pii_surrogates": op9_pii_surrogates, "op10_arc_to_warc": op10_arc_to_warc, "pipeline": pipeline}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_embedding_dedup": op3_embedding_dedup, "op4_minhash_dedup": op4_minhash_dedup, "op5_quality": op5_quality, "op6_passage_dedup": op6_passage_dedup, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_pii_surrogates": op9_pii_surrogates, "op10_arc_to_warc": op10_arc_to_warc, "op11_search": op11_search, "op12_bpe": op12_bpe, "op13_codes": op13_codes, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_arc_to_warc": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_arc_to_warc": OP10_SQL, "op11_search": OP11_SQL, "op13_codes": OP13_SQL}
 
 
 OP1_SQL = r"""
@@ -180,3 +198,54 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_BASE32} AS payl
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p JOIN f USING (h)
 """
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+c AS (SELECT CAST(count(*) FILTER (len(ws) > 0) AS BIGINT) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d),
+t AS (SELECT q, word, CAST(count(*) AS BIGINT) AS times FROM (SELECT q, unnest(ws) AS word FROM i) GROUP BY q, word),
+p AS (SELECT r, word, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ws) AS word FROM d) WHERE word IN (SELECT word FROM t) GROUP BY r, word),
+w AS (SELECT word, CAST(floor(1000 * ln((2 * (SELECT n FROM c) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p GROUP BY word),
+m AS (SELECT r, doc_id, 25 + (75 * CAST(len(ws) AS BIGINT) * (SELECT n FROM c)) // (SELECT l FROM c) AS m FROM d WHERE len(ws) > 0),
+s AS (
+  SELECT t.q, m.doc_id, p.r, CAST(sum(t.times * w.weight * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM t JOIN p USING (word) JOIN w USING (word) JOIN m ON m.r = p.r GROUP BY t.q, m.doc_id, p.r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM s JOIN i USING (q) WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Integers, codebook and assignment as chained tables; each round assigns and then moves the entries."""
+    down = "CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT)"
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, vec_id, label, x FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)),
+y AS MATERIALIZED (SELECT r, p, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] AS x FROM v, range(4) AS g(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS k, x AS e FROM y WHERE r <= 256)"""
+    ]
+    for n in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(y.x, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT y.r, y.p, min(CAST({distance} AS BIGINT) * 256 + b.k) AS best FROM y JOIN b{n} b ON b.p = y.p GROUP BY y.r, y.p)""")
+        if n < rounds:
+            parts.append(f"""b{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.k, coalesce(m.e, b.e) AS e FROM b{n} b LEFT JOIN (
+    SELECT p, k, list({down} ORDER BY j) AS e FROM (
+      SELECT y.p, a.best % 256 AS k, j, sum(x[j]) AS s, count(*) AS n FROM y JOIN a{n} a ON a.r = y.r AND a.p = y.p, range(1, 4097) AS i(j) WHERE j <= len(x) GROUP BY ALL)
+    GROUP BY p, k) m ON m.p = b.p AND m.k = b.k)""")
+    return f"""
+WITH {", ".join(parts)},
+c AS (SELECT r, string_agg(printf('%02x', CAST(best % 256 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM c JOIN v USING (r), h
+"""
+
+
+OP13_SQL = _codes_sql()
