@@ -31,15 +31,25 @@ def by_prefix(records: DataFrame, probes: DataFrame, *, id_col: str = "sha", pro
     )
 
 
+def _placed(index: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The probes with their first characters, as many as a key has, and the days of each by these."""
+    size = index.agg(F.max(F.char_length("key"))).first()[0] or 0
+    asked = probes.select("prefix", F.substring("prefix", 1, size).alias("short")).distinct() if size else probes.select("prefix", F.col("prefix").alias("short")).distinct()
+    return asked, _hits(index, asked, "key", "short").withColumnRenamed("prefix", "short").join(index.withColumnRenamed("key", "id"), "id").select("short", "day").distinct()
+
+
+def days_of(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """The days that hold an id which begins as one of ``probes`` (column ``prefix``)."""
+    return _placed(index, probes)[1].select("day").distinct()
+
+
 def lookup(records: DataFrame, index: DataFrame, probes: DataFrame, *, id_col: str = "sha") -> DataFrame:
     """``prefix, status, record``: the record that each probe names, null where it is missing or ambiguous.
 
     ``index`` (see :func:`day_index`) tells the day of each id, so that a table of records partitioned by day is read for
     the days found only. Probes longer than the keys of the index are compared in full with the record's id.
     """
-    size = index.agg(F.max(F.char_length("key"))).first()[0] or 0
-    asked = probes.select("prefix", F.substring("prefix", 1, size).alias("short")).distinct() if size else probes.select("prefix", F.col("prefix").alias("short")).distinct()
-    days = _hits(index, asked, "key", "short").withColumnRenamed("prefix", "short").join(index.withColumnRenamed("key", "id"), "id").select("short", "day").distinct()
+    asked, days = _placed(index, probes)
     some = records.join(F.broadcast(days.select("day").distinct()), "day", "left_semi")
     places = _hits(some, asked, id_col, "prefix")
     one = places.groupBy("prefix").agg(F.count("id").alias("n"), F.min("id").alias("id"))

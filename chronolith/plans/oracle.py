@@ -43,7 +43,19 @@ _NOTES = f"""
   FROM ({_CLAIMS}) a JOIN lineitem x ON x.l_orderkey = a.o_orderkey JOIN lineitem y ON y.l_partkey = x.l_partkey JOIN ({_CLAIMS}) b ON b.o_orderkey = y.l_orderkey AND b.day = a.day
   WHERE a.evidence <> '' AND NOT a.noise AND b.evidence = '' AND b.words IS NOT NULL AND NOT b.noise AND x.l_partkey % 5 <> 0"""
 
+_EVENTS = f"""
+  SELECT event_id, day(ts) AS n, lpad(CAST(event_id AS VARCHAR), 12, '0') AS sha, {_STAMP} AS date, {_DAY} AS shard, CASE WHEN event_id % 3 <> 0 THEN {_DAY} END AS day, event_type AS kind, props, user_id
+  FROM events"""
+
 ORACLE = {
+    "store_fields": f"""
+        SELECT sha, shard, kind, 't' || event_id AS title, user_id, event_id % 5 AS deep, CASE WHEN event_id % 2 = 0 THEN 'yes' END AS noise, true AS misfit FROM ({_EVENTS})""",
+    "store_round_trip": f"""
+        SELECT shard, count(*) AS entries, CAST(sum(length(concat_ws('|', sha, date, day, kind, props, 't' || event_id))) AS BIGINT) AS chars, CAST(sum(user_id) AS BIGINT) AS users, min(sha) AS first, max(sha) AS last
+        FROM ({_EVENTS}) GROUP BY shard""",
+    "store_merge": f"""
+        SELECT sha, CASE WHEN moved THEN '2031-01-01' ELSE shard END AS shard, CASE WHEN moved THEN 'edited ' || kind ELSE kind END AS kind, user_id
+        FROM (SELECT *, n <= 18 AND event_id % 11 = 0 AS moved FROM ({_EVENTS}))""",
     "shard_manifest": f"SELECT {_DAY} AS shard, count(*) AS entries, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY 1",
     "day_keys": f"SELECT event_id, CASE WHEN event_id % 4 < 3 THEN {_DAY} ELSE 'unknown' END AS shard FROM events",
     "canonical_sort": f"""

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import compact_number, day_key, one_decimal, size_text
 from ..operators import budgets, freshness, keyversions, patches, records, shards, stories, upsert
+from ..session import scratch
 from ..settings import AssetLimits
+from ..sources import changelog
+from ..sources.entries import opened
 
 TEXT_BYTES = F.octet_length
 
@@ -329,6 +332,54 @@ def cache_age(spark: SparkSession, sf: str) -> DataFrame:
     return events.select("event_id", upsert.must_fetch(F.when(F.col("event_id") % 10 != 0, F.col("at")), F.col("day") + 12 * 3_600_000).alias("fetch"))
 
 
+def _events_as_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as JSON texts of entries with fields that the schema does not know, at the top and inside a known struct."""
+    n = F.col("event_id")
+    day = F.when(n % 3 != 0, F.date_format("ts", "yyyy-MM-dd"))
+    known = [F.lpad(n.cast("string"), 12, "0").alias("sha"), _stamp(F.col("ts")).alias("date"), day.alias("day"), F.col("event_type").alias("kind"), F.col("props").alias("summary")]
+    inside = F.struct(F.concat(F.lit("t"), n.cast("string")).alias("title"), F.struct((n % 5).alias("deep")).alias("odd"))
+    entry = F.struct(*known, inside.alias("ai"), F.struct(F.col("user_id").alias("id")).alias("user"), F.when(n % 2 == 0, "yes").alias("noise"))
+    return _table(spark, sf, "events").select("event_id", F.dayofmonth("ts").alias("n"), F.to_json(entry).alias("text"))
+
+
+def _opened(texts: DataFrame) -> DataFrame:
+    return opened(texts.select(F.try_parse_json("text").alias("_entry")), "_entry")
+
+
+_META = {"version": 1, "repo": "r", "generatedAt": "t", "headSha": "h"}
+
+
+def store_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed and unknown fields of all events after a save and a load."""
+    root = scratch(spark, "store")
+    changelog.save(spark, root, _opened(_events_as_entries(spark, sf)), _META)
+    out = changelog.stored_entries(spark, root)
+    part = lambda path, kind: F.try_variant_get("more", path, kind)
+    return out.select("sha", "shard", "kind", F.col("ai.title").alias("title"), part("$.user.id", "bigint").alias("user_id"), part("$.ai.odd.deep", "bigint").alias("deep"), part("$.noise", "string").alias("noise"), F.col("noise").isNull().alias("misfit"))
+
+
+def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Events from partitions to files of a day each and back: what each day holds in the end."""
+    first, second = scratch(spark, "store"), scratch(spark, "store")
+    changelog.save(spark, first, _opened(_events_as_entries(spark, sf)), _META)
+    changelog.save(spark, second, changelog.stored_entries(spark, first).drop("shard"), _META, changelog.FILES)
+    changelog.save(spark, first, changelog.stored_entries(spark, second).drop("shard"), _META)
+    chars = F.char_length(F.concat_ws("|", "sha", "date", "day", "kind", "summary", "ai.title"))
+    user = F.try_variant_get("more", "$.user.id", "bigint")
+    return changelog.stored_entries(spark, first).groupBy("shard").agg(F.count(F.lit(1)).alias("entries"), F.sum(chars).alias("chars"), F.sum(user).alias("users"), F.min("sha").alias("first"), F.max("sha").alias("last"))
+
+
+def store_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Events saved up to the 18th; then a batch of later ones with some that were there edited and moved to another day."""
+    root, events = scratch(spark, "store"), _events_as_entries(spark, sf)
+    changelog.save(spark, root, _opened(events.where("n <= 18")), _META)
+    edited = F.regexp_replace(F.regexp_replace("text", '"(date|day)":"[^"]*"', '"$1":"2031-01-01"'), '"kind":"', '"kind":"edited ')
+    again = events.where("n <= 18 and event_id % 11 = 0").withColumn("text", edited)
+    changelog.merge(spark, root, _opened(events.where("n > 18").unionByName(again)), _META)
+    user = F.try_variant_get("more", "$.user.id", "bigint")
+    return changelog.stored_entries(spark, root).select("sha", "shard", "kind", user.alias("user_id"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -336,5 +387,6 @@ QUERIES = {
         cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, override_merge,
         day_range, feed_rows, compact_numbers, patch_files, patch_hunks, patch_stats, version_bumps, hunk_sections, line_classify,
         patch_headers, patch_short_hunks, patch_lines, access_evidence, story_notes, day_leads, announcements, day_records, record_lookup, cache_age,
+        store_fields, store_round_trip, store_merge,
     )
 }

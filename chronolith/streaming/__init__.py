@@ -8,30 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import latest_wins
-from ..schemas import ENTRY
 from ..sources import changelog
+from ..sources.entries import opened
 
 
 def read_entries(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """New JSON-lines files of records as a stream."""
-    return spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", files_per_batch).json(path)
+    """New JSON-lines files of records as a stream, with fields of any kind in ``more``; lines that can't be read give none."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    return opened(lines.select(F.try_parse_json("value").alias("_entry")).where(F.schema_of_variant("_entry").startswith("OBJECT")), "_entry")
 
 
 def keep_store(stream: DataFrame, root: str, checkpoint: str, manifest: dict, on_save: Callable[[int, dict], None] | None = None) -> StreamingQuery:
     """Merge each batch into the store by sha, the later row winning, and save.
 
-    Late records rewrite the shard of their own day; there is no watermark, and a batch that is replayed after
-    a failure changes nothing. Only shards whose content changed are written.
+    A batch reads the days that its records belong to or lay in until now, whatever else the store holds, and writes those
+    that change. Late records rewrite the shard of their own day; there is no watermark, and a batch that is replayed after
+    a failure changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        staged = f"{root}/.batch"
-        merged = latest_wins(changelog.stored_entries(spark, root), batch.select(*ENTRY.names), "sha")
-        merged.write.mode("overwrite").parquet(staged)  # the store must not be read while it is written
-        actions = changelog.save(spark, root, spark.read.schema(ENTRY).parquet(staged), manifest)
-        changelog.delete(spark, staged)
+        actions = changelog.merge(batch.sparkSession, root, batch, manifest)
         if on_save:
             on_save(number, actions)
 
