@@ -46,6 +46,12 @@ _NOTES = f"""
 _EVENTS = f"""
   SELECT event_id, day(ts) AS n, lpad(CAST(event_id AS VARCHAR), 12, '0') AS sha, {_STAMP} AS date, {_DAY} AS shard, CASE WHEN event_id % 3 <> 0 THEN {_DAY} END AS day, event_type AS kind, props, user_id
   FROM events"""
+_SYNC = """
+        WITH e AS (SELECT event_id, md5(event_type) AS head, epoch_us(ts) // 1000 AS now, lag(md5(event_type)) OVER w AS last, lag(epoch_us(ts) // 1000) OVER w AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        SELECT event_id, CASE WHEN last IS NULL THEN 'no prior sync recorded' WHEN last <> head THEN 'upstream advanced ' || substr(last, 1, 8) || ' -> ' || substr(head, 1, 8)
+                              WHEN coalesce(prev, 0) = 0 THEN 'last sync timestamp unreadable'
+                              WHEN now - prev >= 18000000 THEN 'last sync ' || (now - prev) // 60000 || 'm ago exceeded 300m budget' ELSE '' END AS reason
+        FROM e"""
 
 ORACLE = {
     "store_fields": f"""
@@ -96,12 +102,8 @@ ORACLE = {
         SELECT m.key, m.stale, m.stale AND k.sha IS NULL AS removed
         FROM ({_MARKED}) m LEFT JOIN (SELECT DISTINCT sha FROM ({_CACHE}) JOIN labels USING (doc_id) WHERE quality = 1) k ON split_part(m.key, ':', 1) = k.sha""",
     "refresh_queue": f"SELECT key FROM ({_MARKED}) WHERE stale ORDER BY key LIMIT 10",
-    "sync_reason": """
-        WITH e AS (SELECT event_id, md5(event_type) AS head, epoch_us(ts) // 1000 AS now, lag(md5(event_type)) OVER w AS last, lag(epoch_us(ts) // 1000) OVER w AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT event_id, CASE WHEN last IS NULL THEN 'no prior sync recorded' WHEN last <> head THEN 'upstream advanced ' || substr(last, 1, 8) || ' -> ' || substr(head, 1, 8)
-                              WHEN coalesce(prev, 0) = 0 THEN 'last sync timestamp unreadable'
-                              WHEN now - prev >= 18000000 THEN 'last sync ' || (now - prev) // 60000 || 'm ago exceeded 300m budget' ELSE '' END AS reason
-        FROM e""",
+    "sync_reason": _SYNC,
+    "sync_stream": _SYNC,
     "status_check": """
         WITH l AS (SELECT event_type, max(ts) AS ts FROM events GROUP BY 1), n AS (SELECT epoch_us(max(ts)) // 1000 AS now FROM l),
         c AS (SELECT event_type, epoch_us(date_trunc('second', ts)) // 1000 AS stamp, now FROM l, n)

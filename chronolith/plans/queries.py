@@ -11,6 +11,7 @@ from ..session import scratch
 from ..settings import AssetLimits
 from ..sources import changelog
 from ..sources.entries import opened
+from ..streaming import decisions
 
 TEXT_BYTES = F.octet_length
 
@@ -380,6 +381,16 @@ def store_merge(spark: SparkSession, sf: str) -> DataFrame:
     return changelog.stored_entries(spark, root).select("sha", "shard", "kind", user.alias("user_id"))
 
 
+def sync_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`sync_reason` by a stream of the events as polls, with one state for each user."""
+    path = f"{sf}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    polls = events.select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("id"), F.md5("event_type").alias("head"), F.col("ts").alias("at"))
+    out = scratch(spark, "decisions")
+    decisions.keep_decisions(polls, out, scratch(spark, "checkpoint"), stale_ms=300 * 60_000, floor=False, each=True).awaitTermination()
+    return spark.read.parquet(out).select(F.col("id").alias("event_id"), "reason")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -387,6 +398,6 @@ QUERIES = {
         cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, override_merge,
         day_range, feed_rows, compact_numbers, patch_files, patch_hunks, patch_stats, version_bumps, hunk_sections, line_classify,
         patch_headers, patch_short_hunks, patch_lines, access_evidence, story_notes, day_leads, announcements, day_records, record_lookup, cache_age,
-        store_fields, store_round_trip, store_merge,
+        store_fields, store_round_trip, store_merge, sync_stream,
     )
 }
