@@ -383,8 +383,8 @@ def store_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def sync_stream(spark: SparkSession, sf: str) -> DataFrame:
     """:func:`sync_reason` by a stream of the events as polls, with one state for each user."""
-    path = f"{sf}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = _table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")  # a pattern, as a stream's plain path must be a folder
     polls = events.select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("id"), F.md5("event_type").alias("head"), F.col("ts").alias("at"))
     out = scratch(spark, "decisions")
     decisions.keep_decisions(polls, out, scratch(spark, "checkpoint"), stale_ms=300 * 60_000, floor=False, each=True).awaitTermination()
