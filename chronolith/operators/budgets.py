@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import MIB, grouped, rounded, size_text
 from ..settings import ASSET_CAP_BYTES, MARGIN_SHARE, AssetLimits
+from . import ordering
 
 WARN_BYTES, MAX_BYTES = 60 * MIB, 85 * MIB
 
@@ -18,8 +19,9 @@ def over_budget(listing: DataFrame, *, warn: int = WARN_BYTES, most: int = MAX_B
     """
     size = F.col("bytes")
     bucket = F.when(F.isnan(size.cast("double")), F.lit(None)).when(size >= most, F.lit("over")).when(size >= warn, F.lit("near"))
-    order = Window.partitionBy("bucket").orderBy(size.desc(), F.col(tie).asc_nulls_last())
-    return listing.withColumn("bucket", bucket).where("bucket is not null").withColumn("rank", F.row_number().over(order))
+    named = listing.withColumn("bucket", bucket).where("bucket is not null")
+    ranked = ordering.placed(named, [-size, F.col(tie).isNull(), F.col(tie)], by="bucket")
+    return ranked.withColumn("rank", F.col("place").cast("int")).drop("place")
 
 
 def read_assets(listing: DataFrame, limits: AssetLimits) -> DataFrame:
@@ -99,3 +101,16 @@ def message(reading: DataFrame, limits: AssetLimits, label: str = "dist/") -> Da
 def retained(listing: DataFrame, budget: int, *, newest: str = "date") -> DataFrame:
     """The newest files up to ``budget`` of them. ``limit`` keeps each task to as many rows at most."""
     return listing.orderBy(F.col(newest).desc_nulls_last(), F.col("path")).limit(budget)
+
+
+def retention_plan(listing: DataFrame, *, files: int | None = None, size: int | None = None, newest: str = "date", pieces: int | None = None) -> DataFrame:
+    """``listing`` with ``place`` (from 1, the newest first), ``running`` (bytes up to it) and ``kept``.
+
+    A file is kept while the files up to it are at most ``files`` and their bytes at most ``size``, so what is kept is a run of
+    the newest. Order is by ``newest``, then path; files without a date are last, unknown sizes are 0. The cut is found from
+    sums of pieces of the order (see ``ordering``), whatever the number of files that are kept.
+    """
+    age = F.coalesce(-F.unix_micros(F.col(newest).try_cast("timestamp")), F.lit((1 << 63) - 1))
+    out = ordering.placed(listing, [age, F.col("path")], sums={"running": F.coalesce(F.col("bytes").cast("long"), F.lit(0))}, pieces=pieces)
+    fits = F.lit(True) if files is None else F.col("place") <= files
+    return out.withColumn("kept", fits if size is None else fits & (F.col("running") <= size))

@@ -1,14 +1,14 @@
 """Unified diffs as rows: files, hunks and lines, from texts of a key and a body.
 
-A line's place follows from running sums over the lines of its own text, so all windows are partitioned by
-the text; nothing is ordered across texts. A file begins at ``diff --git``; what stands before its first ``@@`` is
+A text is cut into files and these into hunks where their first lines begin, each by one split of a string, so that
+files, hunks and lines are rows without a shuffle, a window or a sort. A file begins at ``diff --git``; what stands before its first ``@@`` is
 header, what stands after is body, where only the first character of a line counts: a removed line may
 itself look like a header.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@(?: (.*))?$"
@@ -21,26 +21,47 @@ def lines_of(texts: DataFrame, key: str = "key", body: str = "body") -> DataFram
     return texts.where(F.coalesce(F.col(body), F.lit("")) != "").select(F.col(key).alias("key"), F.posexplode(F.split(bare, "\n")).alias("line_no", "text"))
 
 
-def placed(texts: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
-    """Lines with ``file_no``, ``hunk_no`` (0 in a header) and ``kind``.
+def _starts(parts: Column) -> Column:
+    """The number of lines before each of the parts of a text."""
+    sizes = F.transform(parts, lambda p: F.size(F.split(p, "\n")))
+    none = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+    return F.aggregate(sizes, none, lambda a, n: F.struct((a["n"] + n).alias("n"), F.concat(a["at"], F.array(a["n"])).alias("at")))["at"]
+
+
+def sections(texts: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
+    """``key, file_no, first_line, header, hunks``: a row for each file of a text (0 for what stands before the first),
+    with its header and the texts of its hunks; empty and null bodies have none.
 
-    In a body, ``diff --git`` can begin no line of a hunk, as those begin with a sign or a blank.
+    In a body, ``diff --git`` and ``@@`` can begin no line of a hunk, as those begin with a sign or a blank.
     """
-    order = Window.partitionBy("key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    filed = lines_of(texts, key, body).withColumn("file_no", F.sum(F.col("text").startswith("diff --git ").cast("int")).over(order))
-    within = Window.partitionBy("key", "file_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    hunked = filed.withColumn("hunk_no", F.sum(F.col("text").rlike(r"^@@ -[0-9]").cast("int")).over(within))
+    bare = F.regexp_replace(body, r"\n\z", "")
+    filled = texts.where(F.coalesce(F.col(body), F.lit("")) != "").select(F.col(key).alias("key"), F.split(bare, r"\n(?=diff --git )").alias("parts"))
+    whole = filled.select("key", "parts", _starts(F.col("parts")).alias("starts"), F.col("parts")[0].startswith("diff --git ").cast("int").alias("lead"))
+    each = whole.select("key", "lead", "starts", F.posexplode("parts").alias("at", "text"))
+    pieces = F.split("text", r"\n(?=@@ -[0-9])")
+    cut = each.select("key", (F.col("at") + F.col("lead")).cast("long").alias("file_no"), F.col("starts")[F.col("at")].alias("first_line"), pieces.alias("pieces"))
+    headless = F.col("pieces")[0].rlike(r"^@@ -[0-9]")
+    header = F.when(~headless, F.col("pieces")[0])
+    return cut.select("key", "file_no", "first_line", header.alias("header"), F.when(headless, F.col("pieces")).otherwise(F.slice("pieces", F.lit(2), F.size("pieces"))).alias("hunks"))
+
+
+def placed(texts: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
+    """Lines with ``file_no``, ``hunk_no`` (0 in a header) and ``kind``."""
+    pieces = F.when(F.col("header").isNull(), F.col("hunks")).otherwise(F.concat(F.array("header"), F.col("hunks")))
+    parts = sections(texts, key, body).select("key", "file_no", "first_line", F.col("header").isNull().cast("int").alias("lead"), pieces.alias("pieces"))
+    each = parts.select("key", "file_no", "first_line", "lead", _starts(F.col("pieces")).alias("starts"), F.posexplode("pieces").alias("at", "piece"))
+    lines = each.select("key", "file_no", (F.col("at") + F.col("lead")).cast("long").alias("hunk_no"), (F.col("first_line") + F.col("starts")[F.col("at")]).alias("base"), F.posexplode(F.split("piece", "\n")).alias("n", "text"))
     first = F.substring("text", 1, 1)
     kind = (
         F.when((F.col("hunk_no") == 0) | (F.col("file_no") == 0), "header")
-        .when(F.col("text").rlike(r"^@@ -[0-9]"), "hunk")
+        .when(F.col("n") == 0, "hunk")
         .when(first == "+", "added")
         .when(first == "-", "removed")
         .when(first == "\\", "no_newline")
         .when((first == " ") | (F.col("text") == ""), "context")
         .otherwise("other")
     )
-    return hunked.withColumn("kind", kind)
+    return lines.select("key", (F.col("base") + F.col("n")).alias("line_no"), "text", "file_no", "hunk_no", kind.alias("kind"))
 
 
 def changed_lines(rows: DataFrame) -> DataFrame:
@@ -48,16 +69,28 @@ def changed_lines(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("kind").isin("added", "removed", "context")).select("key", "file_no", "hunk_no", "line_no", "kind", F.substring(F.col("text"), F.lit(2), F.length("text")).alias("text"))
 
 
+#: How the lines of each kind begin, behind the line feed before them.
+_SIGNS = {"added": r"\n\+", "removed": r"\n-", "no_newline": r"\n\\", "context": r"\n(?=[ \n]|\z)"}
+
+
 def _number(text: Column, otherwise: int | None = None) -> Column:
     n = F.nullif(text, F.lit("")).try_cast("long")
     return n if otherwise is None else F.coalesce(n, F.lit(otherwise))
 
 
 def hunks(rows: DataFrame) -> DataFrame:
-    """Places and lengths of the hunks, an omitted length being 1, and the lines that they really have."""
+    """Places and lengths of the hunks, an omitted length being 1, and the lines that they really have.
+
+    ``rows`` are sections, which need no shuffle, or placed lines; so in :func:`files`.
+    """
     g = [F.regexp_extract("head", HUNK, k) for k in range(1, 6)]
-    counts = {k: F.count(F.when(F.col("kind") == k, 1)) for k in ("added", "removed", "context", "no_newline")}
-    per = rows.where("hunk_no > 0").groupBy("key", "file_no", "hunk_no").agg(F.max(F.when(F.col("kind") == "hunk", F.col("text"))).alias("head"), *[c.alias(k) for k, c in counts.items()])
+    counts = ("added", "removed", "context", "no_newline")
+    if "hunks" in rows.columns:
+        each = rows.where("file_no > 0").select("key", "file_no", F.posexplode("hunks").alias("at", "text"))
+        body = F.expr("substring(text, length(head) + 1)")  # with the line feed before each line
+        per = each.select("key", "file_no", (F.col("at") + 1).cast("long").alias("hunk_no"), "text", F.substring_index("text", "\n", 1).alias("head")).select("key", "file_no", "hunk_no", "head", *[F.regexp_count(body, F.lit(_SIGNS[k])).cast("long").alias(k) for k in counts])
+    else:
+        per = rows.where("file_no > 0 and hunk_no > 0").groupBy("key", "file_no", "hunk_no").agg(F.max(F.when(F.col("kind") == "hunk", F.col("text"))).alias("head"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in counts])
     out = per.select(
         "key", "file_no", "hunk_no",
         _number(g[0]).alias("old_start"), _number(g[1], 1).alias("old_len"), _number(g[2]).alias("new_start"), _number(g[3], 1).alias("new_len"),
@@ -86,14 +119,20 @@ HEADERS = (
 def files(rows: DataFrame) -> DataFrame:
     """One row per file of a diff: paths, status, similarity, mode, blob ids, and its added and removed lines.
 
-    Only header lines are read with patterns, each once by the first that fits; a file keeps the first value of a field.
+    Only headers are read with patterns; a file keeps the first value of a field.
     """
-    kind, text = F.col("kind"), F.col("text")
-    counted = rows.where("file_no > 0").groupBy("key", "file_no").agg(
-        F.count_if(kind == "added").alias("additions"), F.count_if(kind == "removed").alias("deletions"), F.count_if(kind == "no_newline").alias("no_newline"), F.max("hunk_no").alias("hunks"),
-        *[F.min(F.when(kind == "header", F.when(text.rlike(p), F.struct("line_no", text.alias("t"))))).alias(f"_h{k}") for k, (p, _) in enumerate(HEADERS)],
-    )
-    fields = {f: F.nullif(F.regexp_extract(F.col(f"_h{k}")["t"], p, g), F.lit("")) for k, (p, names) in enumerate(HEADERS) for g, f in enumerate(names, 1)}
+    if "hunks" in rows.columns:
+        body = F.array_join(F.transform("hunks", lambda h: F.regexp_replace(h, r"\A[^\n]*", "")), "")
+        shown = rows.where("file_no > 0").select("key", "file_no", "header", F.size("hunks").cast("long").alias("hunks"), body.alias("body"))
+        counted = shown.select("key", "file_no", "header", "hunks", *[F.regexp_count("body", F.lit(_SIGNS[k])).cast("long").alias(n) for k, n in (("added", "additions"), ("removed", "deletions"), ("no_newline", "no_newline"))])
+        fields = {f: F.nullif(F.regexp_extract("header", "(?dm)" + p, g), F.lit("")) for p, names in HEADERS for g, f in enumerate(names, 1)}
+    else:
+        kind, text = F.col("kind"), F.col("text")
+        counted = rows.where("file_no > 0").groupBy("key", "file_no").agg(
+            F.count_if(kind == "added").alias("additions"), F.count_if(kind == "removed").alias("deletions"), F.count_if(kind == "no_newline").alias("no_newline"), F.max("hunk_no").alias("hunks"),
+            *[F.min(F.when(kind == "header", F.when(text.rlike(p), F.struct("line_no", text.alias("t"))))).alias(f"_h{k}") for k, (p, _) in enumerate(HEADERS)],
+        )
+        fields = {f: F.nullif(F.regexp_extract(F.col(f"_h{k}")["t"], p, g), F.lit("")) for k, (p, names) in enumerate(HEADERS) for g, f in enumerate(names, 1)}
     per = counted.select("*", *[c.alias(f) for f, c in fields.items()]).withColumn("is_binary", F.col("binary").isNotNull())
     status = F.when(F.col("new_mode").isNotNull(), "added").when(F.col("deleted_mode").isNotNull(), "removed").when(F.col("rename_to").isNotNull(), "renamed").otherwise("modified")
     mode = F.coalesce("new_mode", "deleted_mode", "changed_mode", "index_mode")

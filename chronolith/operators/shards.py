@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import day_key
+from . import ordering
 
 LAYOUT = "day-shards"
 SHARD_DIR = "changelog"
@@ -31,24 +32,10 @@ def ranked(entries: DataFrame, n: int, **names: str) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*canonical_order(**names))))
 
 
-def ranked_all(entries: DataFrame, *, pieces: int = 64, **names: str) -> DataFrame:
-    """Every record with its ``rank`` in canonical order.
-
-    The order is cut into ``pieces`` at records drawn by hash; a record's rank is its place within its piece after the
-    counts of the pieces before it. Only the cuts and the counts, one row a piece, meet in one place.
-    """
-    order = canonical_order(**names)
-    cols = [names.get("date", "date"), names.get("sha", "sha"), *([names["tie"]] if names.get("tie") else [])]
-    key = F.struct(*cols)
-    drawn = entries.select(key.alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(20 * pieces).orderBy("_key").collect()
-    cuts = entries.sparkSession.createDataFrame(list(dict.fromkeys(drawn[:: max(1, len(drawn) // pieces)])), entries.select(key.alias("_key")).schema)
-    cuts = cuts.select(F.array_sort(F.collect_list("_key")).alias("_cuts"))
-    piece = F.size(F.filter("_cuts", lambda c: c <= key))
-    dealt = entries.crossJoin(F.broadcast(cuts)).withColumn("_piece", piece).drop("_cuts")
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = dealt.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n")).select("_piece", before.alias("_before"))
-    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_piece").orderBy(*order)))
-    return placed.join(F.broadcast(bases), "_piece").select(*entries.columns, (F.col("_before") + F.col("_place")).cast("long").alias("rank"))
+def ranked_all(entries: DataFrame, *, pieces: int | None = None, date: str = "date", sha: str = "sha", tie: str | None = None) -> DataFrame:
+    """Every record with its ``rank`` in canonical order, which is sorted in pieces (see ``ordering``)."""
+    keys = [F.col(date), F.col(sha), *([F.col(tie)] if tie else [])]
+    return ordering.placed(entries, keys, pieces=pieces).withColumnRenamed("place", "rank")
 
 
 def shard_summary(entries: DataFrame, size: Column) -> DataFrame:

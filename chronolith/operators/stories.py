@@ -31,14 +31,27 @@ def touched(files: Column) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def link(left: DataFrame, right: DataFrame) -> DataFrame:
+#: Records that touch one file on one day, from which on both sides of the join are salted.
+HOT = 1000
+
+
+def link(left: DataFrame, right: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs of records of one day that touch the same file: day, sha, peer.
 
-    Both sides have day, sha and path, exploded and without generic paths, so this is an equi-join with the
-    day and the path as keys.
+    Both sides have day, sha and path, exploded and without generic paths, so this is an equi-join with the day and the
+    path as keys. A key with more than ``hot`` records on both sides is cut into salts: its rows on the left are dealt to
+    about one salt for every ``hot`` of them, and those on the right are copied to each, so that no task joins more than
+    some ``hot`` rows of the left with a key's right side. Pairs that share more than one file come out once.
     """
-    peers = right.select("day", "path", F.col("sha").alias("peer"))
-    return left.join(peers, ["day", "path"]).where(F.col("sha") != F.col("peer")).select("day", "sha", "peer").distinct()
+    left, right = left.select("day", "path", "sha"), right.select("day", "path", F.col("sha").alias("peer"))
+    count = lambda side, name: side.groupBy("day", "path").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(left, "l").where(F.col("l") > hot).join(count(right, "r").where(F.col("r") > hot), ["day", "path"])
+    heavy = sizes.select("day", "path", F.ceil(F.col("l") / hot).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = left.join(heavy, ["day", "path"], "left").withColumn("salt", F.pmod(F.xxhash64("sha"), salts).cast("int")).drop("salts")
+    copied = right.join(heavy, ["day", "path"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    pairs = dealt.join(copied, ["day", "path", "salt"]).where(F.col("sha") != F.col("peer")).select("day", "sha", "peer")
+    return pairs.distinct()
 
 
 def story_notes(entries: DataFrame) -> DataFrame:

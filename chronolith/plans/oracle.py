@@ -97,6 +97,10 @@ ORACLE = {
                             ELSE 'within the budget of 900, with a margin of 300' END AS message
         FROM f""",
     "retention": "SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS path FROM orders ORDER BY o_orderdate DESC, path LIMIT 900",
+    "retention_cut": """
+        WITH f AS (SELECT l_shipdate AS date, CAST(l_quantity AS BIGINT) AS bytes, concat_ws('/', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS path FROM lineitem),
+        s AS (SELECT path, row_number() OVER w AS place, CAST(sum(bytes) OVER w AS BIGINT) AS running FROM f WINDOW w AS (ORDER BY date DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT path, place, running, place <= 25000 AND running <= 500000 AS kept FROM s""",
     "cache_prune": f"SELECT key, kind, v, stale FROM ({_MARKED})",
     "keep_list_prune": f"""
         SELECT m.key, m.stale, m.stale AND k.sha IS NULL AS removed

@@ -99,6 +99,13 @@ def retention(spark: SparkSession, sf: str) -> DataFrame:
     return budgets.retained(listing, 900).select("path")
 
 
+def retention_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as files of a date: which stay within a number of files and of bytes, with the sums that say so."""
+    path = F.concat_ws("/", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    listing = _table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("date"), path.alias("path"), F.col("l_quantity").cast("long").alias("bytes"))
+    return budgets.retention_plan(listing, files=25_000, size=500_000).select("path", "place", "running", "kept")
+
+
 def _cache(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of all shapes: 40 digits with a version of either kind, without one, and others."""
     sha = F.concat(F.md5(F.col("doc_id").cast("string")), F.substring(F.md5(F.concat(F.lit("x"), F.col("doc_id").cast("string"))), 1, 8))
@@ -205,16 +212,16 @@ def _diffs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def patch_files(spark: SparkSession, sf: str) -> DataFrame:
-    out = patches.files(patches.placed(_diffs(spark, sf)))
+    out = patches.files(patches.sections(_diffs(spark, sf)))
     return out.select("key", "file_no", "old_path", "new_path", "status", "mode", "additions", "deletions", "hunks")
 
 
 def patch_hunks(spark: SparkSession, sf: str) -> DataFrame:
-    return patches.hunks(patches.placed(_diffs(spark, sf))).select("key", "file_no", "hunk_no", "old_start", "old_len", "new_start", "new_len", "context_of", "added", "removed", "context", "reconciles")
+    return patches.hunks(patches.sections(_diffs(spark, sf))).select("key", "file_no", "hunk_no", "old_start", "old_len", "new_start", "new_len", "context_of", "added", "removed", "context", "reconciles")
 
 
 def patch_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = patches.entry_stats(patches.files(patches.placed(_diffs(spark, sf))))
+    out = patches.entry_stats(patches.files(patches.sections(_diffs(spark, sf))))
     return out.select("key", F.col("stats.additions").alias("additions"), F.col("stats.deletions").alias("deletions"), F.col("files.total").alias("total"), F.size("files.added").alias("n_added"), F.size("files.removed").alias("n_removed"), F.size("files.modified").alias("n_modified"))
 
 
@@ -265,13 +272,13 @@ def _header_diffs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def patch_headers(spark: SparkSession, sf: str) -> DataFrame:
-    out = patches.files(patches.placed(_header_diffs(spark, sf)))
+    out = patches.files(patches.sections(_header_diffs(spark, sf)))
     return out.select("key", "file_no", "old_path", "new_path", "status", "similarity", "mode", "is_submodule", "is_symlink", "is_binary", "old_blob", "new_blob", "additions", "deletions", "no_newline", "hunks")
 
 
 def patch_short_hunks(spark: SparkSession, sf: str) -> DataFrame:
     """Hunks whose headers leave the lengths out."""
-    return patches.hunks(patches.placed(_header_diffs(spark, sf))).select("key", "file_no", "old_start", "old_len", "new_start", "new_len", "context_of", "no_newline", "reconciles")
+    return patches.hunks(patches.sections(_header_diffs(spark, sf))).select("key", "file_no", "old_start", "old_len", "new_start", "new_len", "context_of", "no_newline", "reconciles")
 
 
 def patch_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -394,7 +401,7 @@ def sync_stream(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        shard_manifest, day_keys, canonical_sort, canonical_ranks, shard_diff, legacy_migrate, size_budget, size_texts, dist_budget, dist_message, retention,
+        shard_manifest, day_keys, canonical_sort, canonical_ranks, shard_diff, legacy_migrate, size_budget, size_texts, dist_budget, dist_message, retention, retention_cut,
         cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, override_merge,
         day_range, feed_rows, compact_numbers, patch_files, patch_hunks, patch_stats, version_bumps, hunk_sections, line_classify,
         patch_headers, patch_short_hunks, patch_lines, access_evidence, story_notes, day_leads, announcements, day_records, record_lookup, cache_age,
