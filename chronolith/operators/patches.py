@@ -162,18 +162,83 @@ def version_bumps(rows: DataFrame) -> DataFrame:
     return per.where("old is not null and new is not null and old != new")
 
 
+#: What a line states: pattern, whose first group is the name and whose second is the value. The patterns are this library's.
+FACTS = {
+    "constant": r"\b(?:const|let|static|final)\s+([A-Z][A-Z0-9_]+)\s*(?::[^=]+)?=\s*(.+?);?\s*$",
+    "env": r"\b(?:process\.env\.|os\.environ\[.|getenv\(.)([A-Z][A-Z0-9_]+)()",
+    "flag": r"""['"](--[a-z][a-z0-9-]+)['"]()""",
+    "export": r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|interface|type|enum)\s+([A-Za-z_$][\w$]*)()",
+    "test": r"""\b(?:it|test|describe)\(\s*['"`](.+?)['"`]()""",
+}
+
+
+def _stated(text: Column) -> Column:
+    """The facts of a line, each with its name and value."""
+    found = F.array(*[F.when(text.rlike(p), F.struct(F.lit(k).alias("fact"), F.regexp_extract(text, p, 1).alias("name"), F.regexp_extract(text, p, 2).alias("value"))) for k, p in FACTS.items()])
+    return F.array_compact(found)
+
+
 def facts(rows: DataFrame) -> DataFrame:
     """``key, file_no, fact, name, old, new``: constants, environment variables, flags, exports and test titles that
-    lines add or remove. The patterns are this library's."""
-    patterns = {
-        "constant": r"\b(?:const|let|static|final)\s+([A-Z][A-Z0-9_]+)\s*(?::[^=]+)?=\s*(.+?);?\s*$",
-        "env": r"\b(?:process\.env\.|os\.environ\[.|getenv\(.)([A-Z][A-Z0-9_]+)()",
-        "flag": r"""['"](--[a-z][a-z0-9-]+)['"]()""",
-        "export": r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|interface|type|enum)\s+([A-Za-z_$][\w$]*)()",
-        "test": r"""\b(?:it|test|describe)\(\s*['"`](.+?)['"`]()""",
-    }
+    lines add or remove, whatever stands elsewhere (see :func:`fact_changes`)."""
     body = changed_lines(rows).where("kind != 'context'")
-    found = F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("fact"), F.regexp_extract("text", p, 1).alias("name"), F.regexp_extract("text", p, 2).alias("value"))) for k, p in patterns.items()])
-    each = body.select("key", "file_no", "kind", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("key", "file_no", "kind", "f.*")
+    each = body.select("key", "file_no", "kind", F.explode(_stated(F.col("text"))).alias("f")).select("key", "file_no", "kind", "f.*")
     side = lambda k: F.max(F.when(F.col("kind") == k, F.col("value")))
     return each.groupBy("key", "file_no", "fact", "name").agg(side("removed").alias("old"), side("added").alias("new")).where("not (old <=> new)")
+
+
+def images(cut: DataFrame) -> DataFrame:
+    """``key, file_no, hunk_no, old_start, old_len, before, after``: the lines of each hunk as they were and as they are."""
+    each = cut.where("file_no > 0").select("key", "file_no", F.posexplode("hunks").alias("at", "text"))
+    head, lines = F.substring_index("text", "\n", 1), F.split("text", "\n")
+    body = F.slice(lines, F.lit(2), F.size(lines))
+    side = lambda sign: F.transform(F.filter(body, lambda x: (x == "") | F.substring(x, 1, 1).isin(" ", sign)), lambda x: F.substring(x, F.lit(2), F.length(x)))
+    place = lambda g, otherwise: _number(F.regexp_extract(head, HUNK, g), otherwise)
+    return each.select("key", "file_no", (F.col("at") + 1).cast("long").alias("hunk_no"), place(1, None).alias("old_start"), place(2, 1).alias("old_len"), side("-").alias("before"), side("+").alias("after"))
+
+
+def applied(cut: DataFrame, base: DataFrame) -> DataFrame:
+    """``key, file_no, path, text``: the files of ``base`` (path, text) after a diff, for those that it names; null where a
+    hunk does not fit what the file holds at its place.
+
+    A file is one row, and its hunks one array, folded from the first to the last.
+    """
+    named = files(cut).where("status in ('modified', 'renamed')").select("key", "file_no", F.col("old_path").alias("path"))
+    hunk = F.struct("hunk_no", "old_start", "old_len", "before", "after")
+    per = images(cut).groupBy("key", "file_no").agg(F.array_sort(F.collect_list(hunk)).alias("hunks"))
+    held = named.join(per, ["key", "file_no"]).join(base.select("path", F.col("text").alias("_text")), "path").withColumn("_lines", F.split("_text", "\n"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"), F.lit(True).alias("fits"))
+
+    def put(state: Column, h: Column) -> Column:
+        # A hunk without old lines stands after the line that it names.
+        first = F.when(h["old_len"] == 0, h["old_start"]).otherwise(h["old_start"] - 1)
+        ahead = F.slice("_lines", (state["at"] + 1).cast("int"), F.greatest(first - state["at"], F.lit(0)).cast("int"))
+        there = F.slice("_lines", (first + 1).cast("int"), h["old_len"].cast("int"))
+        fits = state["fits"] & (first >= state["at"]) & (there == h["before"])
+        return F.struct((first + h["old_len"]).alias("at"), F.concat(state["out"], ahead, h["after"]).alias("out"), F.coalesce(fits, F.lit(False)).alias("fits"))
+
+    done = held.withColumn("_done", F.aggregate("hunks", start, put))
+    rest = F.slice("_lines", (F.col("_done.at") + 1).cast("int"), F.size("_lines"))
+    return done.select("key", "file_no", "path", F.when(F.col("_done.fits"), F.array_join(F.concat("_done.out", rest), "\n")).alias("text"))
+
+
+def fact_changes(cut: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """``key, fact, name, old, new``: what a diff states anew or no more, pruned by what was there before.
+
+    A fact of the lines after a change counts only if no line before it, in any file of the diff, states the same name and
+    value, so that what is moved gives none; with ``base`` (path, text: the files before the change) nor may the base of its
+    own file, of which a diff shows a part. ``old`` is what the lines before state of the name, if it is gone after.
+    Facts meet by keys of their own; a diff with very many facts is many groups.
+    """
+    shown = images(cut)
+    stated = lambda side: shown.select("key", "file_no", F.explode(side).alias("line")).select("key", "file_no", F.explode(_stated(F.col("line"))).alias("f")).select("key", "file_no", "f.*")
+    before, after, fact = stated("before"), stated("after"), ["key", "fact", "name", "value"]
+    fresh = after.join(before.select(*fact).distinct(), fact, "left_anti")
+    if base is not None:
+        names = files(cut).select("key", "file_no", F.coalesce("old_path", "new_path").alias("path"))
+        held = base.select("path", F.explode(F.split("text", "\n")).alias("line")).select("path", F.explode(_stated(F.col("line"))).alias("f")).select("path", "f.*").distinct()
+        fresh = fresh.join(names, ["key", "file_no"]).join(held, ["path", "fact", "name", "value"], "left_anti")
+    gone = before.join(after.select(*fact).distinct(), fact, "left_anti")
+    both = fresh.select(*fact, F.lit(True).alias("_new")).unionByName(gone.select(*fact, F.lit(False).alias("_new")))
+    side = lambda new: F.max(F.when(F.col("_new") == new, F.col("value")))
+    return both.groupBy("key", "fact", "name").agg(side(False).alias("old"), side(True).alias("new"))

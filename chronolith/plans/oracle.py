@@ -176,6 +176,11 @@ ORACLE = {
         SELECT key, file_no, CAST(CASE k WHEN 5 THEN 0 ELSE q END AS BIGINT) AS old_start, CAST(CASE k WHEN 5 THEN 0 ELSE 1 END AS BIGINT) AS old_len, CAST(CASE k WHEN 5 THEN 1 ELSE q END AS BIGINT) AS new_start,
                CAST(1 AS BIGINT) AS new_len, CAST(NULL AS VARCHAR) AS context_of, CAST(CASE k WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS BIGINT) AS no_newline, true AS reconciles
         FROM ({_HEADERS}) WHERE k NOT IN (0, 2)""",
+    "fact_changes": """
+        WITH f AS (SELECT CAST(l_orderkey AS VARCHAR) AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INTEGER)) - 1 AS n, l_partkey AS p, CAST(l_quantity AS INTEGER) AS q FROM lineitem)
+        SELECT key, 'constant' AS fact, 'C_' || n AS name, CAST(q AS VARCHAR) AS old, '0' || q AS new FROM f WHERE q % 5 = 0
+        UNION ALL SELECT key, 'env', 'V_' || n, NULL, '' FROM f WHERE q % 5 = 2
+        UNION ALL SELECT DISTINCT key, 'constant', 'B_' || p, NULL, '1' FROM f WHERE q % 5 > 2 AND p % 2 = 1""",
     "patch_lines": f"""
         WITH l AS (SELECT key, unnest(CASE k WHEN 0 THEN ['added', 'added'] WHEN 1 THEN ['removed', 'removed'] ELSE ['removed', 'added', 'context'] END) AS kind,
                           unnest(CASE k WHEN 0 THEN ['one', '+++ two'] WHEN 1 THEN ['one', '-- two'] ELSE ['  "version": "1.' || q || '"', '  "version": "2.' || q || '"', 'same'] END) AS text FROM ({_FILES}))

@@ -286,6 +286,34 @@ def patch_lines(spark: SparkSession, sf: str) -> DataFrame:
     return patches.changed_lines(patches.placed(_diffs(spark, sf))).groupBy("key", "kind").agg(F.count("line_no").alias("lines"), F.sum(F.char_length("text")).alias("chars"))
 
 
+def _fact_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    """A diff per order: a file for each line item that changes a constant, moves one, adds a variable beside a test that was
+    there, or states a constant that the file may hold already, by quantity."""
+    rows = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
+
+    def text(x: Column, at: Column) -> Column:
+        n, q = at.cast("string"), x["q"].cast("string")
+        path = F.concat(F.lit("p"), x["l_partkey"].cast("string"), F.lit(".ts"))
+        k = x["q"] % 5
+        body = (
+            F.when(k == 0, F.concat(F.lit("@@ -3 +3 @@\n-const C_"), n, F.lit(" = "), q, F.lit(";\n+const C_"), n, F.lit(" = 0"), q, F.lit(";")))
+            .when(k == 1, F.concat(F.lit("@@ -3 +3,0 @@\n-const M_"), n, F.lit(" = "), q, F.lit(";\n@@ -9,0 +9 @@\n+  const M_"), n, F.lit(" = "), q, F.lit(";")))
+            .when(k == 2, F.concat(F.lit("@@ -3,2 +3,3 @@\n test('t "), n, F.lit("')\n+  process.env.V_"), n, F.lit("\n-old\n+it('t "), n, F.lit("')")))
+            .otherwise(F.concat(F.lit("@@ -9,0 +9 @@\n+const B_"), x["l_partkey"].cast("string"), F.lit(" = 1;")))
+        )
+        return F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"), body)
+
+    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "q")))
+    return rows.groupBy(F.col("l_orderkey").cast("string").alias("key")).agg(F.array_join(F.transform(parts, text), "\n").alias("body"))
+
+
+def fact_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of the diffs, without those that were moved or that the file of an even part holds already."""
+    part = F.col("p_partkey").cast("string")
+    base = _table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("p"), part, F.lit(".ts")).alias("path"), F.concat(F.lit("first\nconst B_"), part, F.lit(" = 1;\nlast")).alias("text"))
+    return patches.fact_changes(patches.sections(_fact_diffs(spark, sf)), base)
+
+
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as records of a day: facts of several kinds, parts as files, noise by status."""
     n = F.col("o_orderkey") % 7
@@ -404,7 +432,7 @@ QUERIES = {
         shard_manifest, day_keys, canonical_sort, canonical_ranks, shard_diff, legacy_migrate, size_budget, size_texts, dist_budget, dist_message, retention, retention_cut,
         cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, override_merge,
         day_range, feed_rows, compact_numbers, patch_files, patch_hunks, patch_stats, version_bumps, hunk_sections, line_classify,
-        patch_headers, patch_short_hunks, patch_lines, access_evidence, story_notes, day_leads, announcements, day_records, record_lookup, cache_age,
+        patch_headers, patch_short_hunks, patch_lines, fact_changes, access_evidence, story_notes, day_leads, announcements, day_records, record_lookup, cache_age,
         store_fields, store_round_trip, store_merge, sync_stream,
     )
 }

@@ -106,3 +106,27 @@ def test_read_and_compact(spark, tmp_path):
     (tmp_path / "x.txt").write_text("no")
     out = files.compact_diffs(spark, str(tmp_path), str(tmp_path / "out"), 2)
     assert {r["key"] for r in out.collect()} == {"ab", "cd"} and {r["body"] for r in out.collect()} == {DIFF}
+
+
+def test_moved_and_known_facts_give_no_change(spark):
+    head = "diff --git a/{0} b/{0}\n--- a/{0}\n+++ b/{0}\n"
+    body = (
+        head.format("x.ts") + "@@ -1,3 +1,3 @@\n const KEPT = 1;\n-const MOVED = 2;\n-const RATE = 3;\n+const RATE = 4;\n+const HELD = 7;\n"
+        + head.format("y.ts") + "@@ -5,0 +6,2 @@\n+  const MOVED = 2;\n+test('new one')\n@@ -9,2 +10,1 @@\n-export function gone () {}\n same\n"
+    )
+    cut = patches.sections(spark.createDataFrame([("k", body)], "key string, body string"))
+    base = spark.createDataFrame([("x.ts", "const HELD = 7;\nconst RATE = 3;"), ("y.ts", "test('new one!')")], "path string, text string")
+    rows = lambda df: {(r["fact"], r["name"]): (r["old"], r["new"]) for r in df.collect()}
+    want = {("constant", "RATE"): ("3", "4"), ("constant", "HELD"): (None, "7"), ("test", "new one"): (None, ""), ("export", "gone"): ("", None)}
+    assert rows(patches.fact_changes(cut)) == want
+    assert rows(patches.fact_changes(cut, base)) == {k: v for k, v in want.items() if k[1] != "HELD"}
+
+
+def test_a_diff_applied_to_its_base(spark):
+    old = [f"line {k}" for k in range(1, 21)]
+    new = [*old[:2], "two and a half", *old[2:9], "TEN", *old[11:]]
+    body = "diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -2,0 +3 @@\n+two and a half\n@@ -9,4 +10,3 @@\n line 9\n-line 10\n-line 11\n+TEN\n line 12\n"
+    other = body.replace("line 10", "line X").replace("f\n", "g\n")
+    cut = patches.sections(spark.createDataFrame([("k", body + other)], "key string, body string"))
+    base = spark.createDataFrame([("f", "\n".join(old)), ("g", "\n".join(old)), ("h", "")], "path string, text string")
+    assert {r["path"]: r["text"] for r in patches.applied(cut, base).collect()} == {"f": "\n".join(new), "g": None}
