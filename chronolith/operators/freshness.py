@@ -16,6 +16,7 @@ def sync_reason(head: Column, last: Column, generated_at: Column, now_ms: Column
     return _reason(head, last, then, now_ms, stale_ms)
 
 
+#: The sentences of the reasons.
 def _reason(head: Column, last: Column, then: Column, now_ms: Column, stale_ms: Column) -> Column:
     age = now_ms - then
     return (
@@ -39,7 +40,7 @@ def check_status(status: DataFrame, *, expected: Column, now_ms: Column, max_age
     floor = F.lit(None).cast("string") if not_before is None else not_before
     floor_ms = epoch_ms(floor)
     old = filled(floor).isNotNull() & (floor_ms.isNull() | (stamp < floor_ms))
-    code = F.lit("") if http_code is None else http_code.cast("string")
+    code = F.lit("") if http_code is None else F.coalesce(http_code.cast("string"), F.lit("nothing"))
     failure = (
         F.when(~F.coalesce(F.lit(True) if http_ok is None else http_ok, F.lit(False)), F.concat(F.lit("status answered HTTP "), code))
         .when(stamp.isNull() | (now_ms - stamp >= max_age_ms) | (stamp > now_ms + AHEAD_MS), F.lit("status stamp is stale or invalid"))
