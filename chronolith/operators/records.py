@@ -31,6 +31,32 @@ def by_prefix(records: DataFrame, probes: DataFrame, *, id_col: str = "sha", pro
     )
 
 
+def write_index(records: DataFrame, path: str, *, id_col: str = "sha", row_group_bytes: int = 1 << 20) -> None:
+    """The distinct ids as a Parquet table ``id``, sorted in ranges, so that a range of ids lies in few row groups."""
+    ids = records.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    ids.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
+
+
+def in_ranges(index: DataFrame, probes: DataFrame, *, probe_col: str = "prefix", most: int = 64) -> DataFrame:
+    """The ids of a sorted index that can begin as one of the probes: those in ranges from a probe to the end of its prefix.
+
+    The probes are covered by at most ``most`` ranges, each of probes that are neighbours in order; the driver reads these,
+    and the scan skips every row group outside of them. Ids do not hold the last code point, U+10FFFF.
+    """
+    asked = probes.select(F.col(probe_col).alias("p")).where("p != ''").distinct()
+    dealt = asked.repartitionByRange(most, "p").groupBy(F.spark_partition_id().alias("n")).agg(F.min("p").alias("low"), F.max(F.concat("p", F.lit("\U0010FFFF"))).alias("high"))
+    bounds = dealt.collect()
+    inside = F.lit(False)
+    for r in bounds:
+        inside = inside | ((F.col("id") >= r["low"]) & (F.col("id") < r["high"]))
+    return index.where(inside)
+
+
+def by_prefix_in(index: DataFrame, probes: DataFrame, *, probe_col: str = "prefix") -> DataFrame:
+    """:func:`by_prefix` over an index of :func:`write_index`, of which only the row groups near the probes are read."""
+    return by_prefix(in_ranges(index, probes, probe_col=probe_col), probes, id_col="id", probe_col=probe_col)
+
+
 def _placed(index: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The probes with their first characters, as many as a key has, and the days of each by these."""
     size = index.agg(F.max(F.char_length("key"))).first()[0] or 0

@@ -121,6 +121,10 @@ ORACLE = {
     "story_links": """
         WITH p AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, l_partkey AS path, o_orderkey AS sha FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P')
         SELECT DISTINCT a.day, a.sha, b.sha AS peer FROM p a JOIN p b ON a.day = b.day AND a.path = b.path AND a.sha < b.sha""",
+    "prefix_ranges": """
+        WITH k AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id FROM orders), p AS (SELECT DISTINCT substr(lpad(CAST(c_custkey AS VARCHAR), 12, '0'), 1, 11 + CAST(c_custkey % 2 AS INTEGER)) AS prefix FROM customer),
+        m AS (SELECT prefix, count(k.id) AS n, min(k.id) AS id FROM p LEFT JOIN k ON substr(k.id, 1, length(prefix)) = prefix GROUP BY prefix)
+        SELECT prefix, n AS matches, CASE WHEN n = 1 THEN id END AS sha, CASE n WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM m""",
     "prefix_lookup": """
         WITH k AS (SELECT DISTINCT md5(CAST(o_orderkey AS VARCHAR)) AS sha FROM orders),
         a AS (SELECT DISTINCT substr(md5(CAST(c_custkey AS VARCHAR)), 1, CAST(3 + c_custkey % 4 AS INTEGER)) AS prefix FROM customer),

@@ -173,6 +173,14 @@ def prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return records.by_prefix(known, asked)
 
 
+def prefix_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`prefix_lookup` by ranges over an index that is sorted by id; probes of the first customers, all in one stretch of ids."""
+    path = scratch(spark, "ids")
+    records.write_index(_table(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("sha")), path, row_group_bytes=1 << 16)
+    asked = _table(spark, sf, "customer").select(F.substring(F.lpad(F.col("c_custkey").cast("string"), 12, "0"), 1, 11 + (F.col("c_custkey") % 2).cast("int")).alias("prefix"))
+    return records.by_prefix_in(spark.read.schema("id string").parquet(path), asked)
+
+
 def override_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of toxic documents as overrides of some fields."""
     docs = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("sha"), F.concat(F.lit("own "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("summary"), F.struct(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ai "), F.col("lang"))).alias("title"), F.when(F.col("doc_id") % 5 == 0, F.lit("")).alias("summary")).alias("ai"), F.lit(False).alias("noise"))
@@ -430,7 +438,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         shard_manifest, day_keys, canonical_sort, canonical_ranks, shard_diff, legacy_migrate, size_budget, size_texts, dist_budget, dist_message, retention, retention_cut,
-        cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, override_merge,
+        cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, prefix_ranges, override_merge,
         day_range, feed_rows, compact_numbers, patch_files, patch_hunks, patch_stats, version_bumps, hunk_sections, line_classify,
         patch_headers, patch_short_hunks, patch_lines, fact_changes, access_evidence, story_notes, day_leads, announcements, day_records, record_lookup, cache_age,
         store_fields, store_round_trip, store_merge, sync_stream,

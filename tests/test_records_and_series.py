@@ -109,3 +109,18 @@ def test_lookup_returns_the_record(spark):
     assert got == {"abc123def456": ("found", "one"), "abc123def4567": ("found", "one"), "abc": ("ambiguous", None), "abc9": ("found", "two"), "abc123def4568": ("missing", None), "x": ("missing", None), "": ("missing", None)}
     text = table.where("sha = 'fff'").select(records.as_markdown(F.col("title"), F.lit(None).cast("string"), F.col("day"), F.col("sha"))).first()[0]
     assert text == "# three\n\n2026-01-03 `fff`\n"
+
+
+def test_prefix_ranges_skip_row_groups(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    table = spark.range(200_000).select(F.md5(F.col("id").cast("string")).alias("sha"))
+    records.write_index(table, path, row_group_bytes=1 << 18)
+    index = spark.read.schema("id string").parquet(path)
+    probes = spark.createDataFrame([("00ab",), ("00ab1",), ("7",), ("7f",), ("zz",), ("",), (None,)], "prefix string").where("prefix != '7' or prefix is null")
+    got = records.by_prefix_in(index, probes).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, records.by_prefix(table, probes).collect()), key=repr)
+    some = records.in_ranges(index, probes)
+    some.collect()
+    leaf = some._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert leaf.metrics().apply("numOutputRows").value() < 100_000  # of the rows in row groups that were read
+    assert records.by_prefix_in(index, probes.where("false")).count() == 0
