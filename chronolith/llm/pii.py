@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed replacements of the same type, gender, script and format.
 
 Entities are found by patterns in texts that hold a digit of any script, an at sign, a title or the key word of a
-secret. A person is found after a title; its full name, first and last word are then replaced without one, too, and
+secret: addresses (e-mail, version 4 and 6), cards, accounts, phones with separators or of ten digits, and secrets in quotes
+after a key word, or bare ones of letters and digits. A person is found after a title; its full name, first and last word are then replaced without one, too, and
 a short form after a title ("Dr Smith") is the person of the text that it fits. An entity's canonical form (digits
 of a number, an address in lower case, a name and the gender of its titles) has one surrogate, so that all mentions
 of it, in any document and format, get the same one; a mention keeps its own punctuation and case. Checksums stay
@@ -23,6 +24,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -52,22 +54,26 @@ def _ranges(*kinds: str) -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
 
 
-#: A name begins with a capital, or with a letter of a script without case.
-_NAME = rf"[{_ranges('Lu', 'Lt', 'Lo')}][^\W\d_]+"
+#: A name begins with a capital, or with a letter of a script without case; it may hold an apostrophe, or be an initial.
+_CAPITAL = rf"[{_ranges('Lu', 'Lt', 'Lo')}]"
+_NAME = rf"(?:{_CAPITAL}(?:['’]?[^\W\d_])+|{_CAPITAL}\.(?= {_CAPITAL}))"
+#: What a secret is given to: the name, a sign, and the secret in quotes, or bare if it is long and of letters and digits.
+_GIVEN = r"(?i:token|key|secret|password)(?: = |=|: ?)"
 PATTERNS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": r"(?:(?<=token = \")|(?<=token=\")|(?<=key = \")|(?<=key=\")|(?<=secret = \")|(?<=secret=\")|(?<=password = \")|(?<=password=\"))[^\"\s]{8,}(?=\")|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}\b",
+    "secret": rf"{_GIVEN}(?:\"(?P<double>[^\"\s]{{8,}})\"|'(?P<single>[^'\s]{{8,}})'|(?P<naked>(?=[\w+/=.~-]{{0,200}}\d)(?=[\w+/=.~-]{{0,200}}[^\W\d_])[\w+/=~-][\w+/=.~-]{{8,}}[\w+/=~-]))|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{{32,}}\b",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*:)(?:[0-9A-Fa-f]{1,4}:|::)[0-9A-Fa-f:]*[0-9A-Fa-f](?![\w:])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
-    "card": r"(?<![\d-])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}(?![\d-]*\d)",
+    "card": r"(?<![\d-])(?:\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|3[47]\d{2}(?P<gap>[ -])\d{6}(?P=gap)\d{5})(?![\d-]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{2,4}[.-]\d{3}[.-]\d{4}|(?<=\d[ .-])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4})(?!\d)",
+    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{2,4}[.-]\d{3}[.-]\d{4}|(?<=\d[ .-])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|[2-9]\d{2}[2-9]\d{6}(?![\w.-]*\d))(?!\d)",
     "person": rf"(?:(?<=\s)|(?<=^)|(?<=[(\"']))(?:{_TITLE})\.? {_NAME}(?:[ -]{_NAME}){{0,2}}",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: The part of an e-mail address after the sign; that before it is found from the sign backwards, in linear time.
 HOST = re.compile(r"[^\W_][\w-]*(?:\.[^\W_][\w-]*)*\.[^\W\d_]{2,}")
 #: What every pattern needs a part of.
-ANCHOR = re.compile(rf"[\d@]|(?:token|key|secret|password)(?: = |=)\"|\b(?:{_TITLE})\b")
+ANCHOR = re.compile(rf"[\d@]|{_GIVEN}[\"']|\b(?:{_TITLE})\b")
 DIGITS = re.compile(r"\d")
 FOUND = "type string, canonical string"
 
@@ -77,7 +83,17 @@ def _ascii_digits(text: str) -> str:
     return "".join(str(unicodedata.decimal(c)) for c in DIGITS.findall(text))
 
 
+def _address6(text: str) -> str | None:
+    """The 32 digits of an address of version 6; None if it is none."""
+    try:
+        return ipaddress.IPv6Address(text).exploded.replace(":", "")
+    except ValueError:
+        return None
+
+
 def canonical(kind: str, text: str) -> str:
+    if kind == "ip6":
+        return _address6(text)
     if kind == "email":
         return text.lower()
     if kind == "person":
@@ -102,7 +118,12 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     if found:
         cuts = [0, *(x for start, end, _ in found for x in (start, end)), len(text)]
         text = "".join(text[a:b] if k % 2 == 0 else chr(1) * (b - a) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
-    others = [(m.start(), m.end(), m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m[k] is not None)) for m in FINDER.finditer(text)]
+    others = []
+    for m in FINDER.finditer(text):
+        kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m[k] is not None)
+        part = next((k for k in ("double", "single", "naked") if m[k] is not None), kind) if kind == "secret" else kind
+        if kind != "ip6" or _address6(m[0]):
+            others.append((*m.span(part), kind))
     if not found:
         return others
     ends = [x[1] for x in found]
@@ -179,7 +200,7 @@ def read(text: str) -> list[Mention]:
             m.known, m.word = person
     forms: dict[str, None] = {}
     for *_, own in whole:
-        for form in dict.fromkeys([" ".join(own), own[-1], own[0]]):
+        for form in dict.fromkeys([" ".join(own), *(w for w in (own[-1], own[0]) if not w.endswith("."))]):
             for cased in (form, form.upper(), " ".join("-".join(x[:1].upper() + x[1:].lower() for x in w.split("-")) for w in form.split(" "))):
                 forms[cased] = None
     bare = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(x) for x in sorted(forms, key=len, reverse=True))})(?!\w)")
@@ -277,6 +298,21 @@ def _alike(char: str) -> str:
     return same if char in same else char
 
 
+#: Signs that stand for each other in secrets; double quotes stay, as they may end one.
+SIGNS, APOSTROPHES = "!#$%&()*+,-./:;<=>?@[\\]^_{|}~", "'`"
+
+
+@functools.lru_cache(4096)
+def _any_sign(char: str) -> str:
+    """As :func:`_alike`, and signs by signs: in ASCII by those of a list, elsewhere by those of a category near by."""
+    if char.isalnum():
+        return _alike(char)
+    if char.isascii():
+        return next((x for x in (SIGNS, APOSTROPHES) if char in x), char)
+    kind, start = unicodedata.category(char), ord(char) // 128 * 128
+    return "".join(chr(c) for c in range(start, start + 128) if unicodedata.category(chr(c)) == kind and not chr(c).isalnum())
+
+
 def scramble(key: bytes, form: str, text: str, valid=None) -> str:
     """Letters by letters of their script and case, digits by digits; everything else stays."""
     return permuted(key, form, text, [_alike(c) for c in text], valid)
@@ -333,6 +369,8 @@ def surrogate(key: bytes, kind: str, known: str) -> str:
         plain = lambda x: ".".join(str(ord(c)) for c in x)
         kept = packed[:fixed]
         return plain(kept + permuted(key, f"ip {fixed} {plain(kept)}", packed[fixed:], [octet] * (4 - fixed), lambda x: _ip_class(plain(kept + x)) == _ip_class(known)))
+    if kind == "ip6":
+        return known[:4] + permuted(key, f"ip6 {known[:4]}", known[4:], ["0123456789abcdef"] * 28)
     if kind == "iban":
         country, check, bban = known[:2], known[2:4], known[4:]
         if check == _check_digits(country, bban):
@@ -342,7 +380,7 @@ def surrogate(key: bytes, kind: str, known: str) -> str:
     if re.fullmatch("[0-9a-f]+", known):
         mixed = lambda x: bool(re.search("[0-9]", x) and re.search("[a-f]", x))
         return permuted(key, "hex", known, ["0123456789abcdef"] * len(known), mixed)
-    return scramble(key, "secret", known, lambda x: bool(re.fullmatch("[0-9a-f]+", x)))
+    return permuted(key, "secret", known, [_any_sign(c) for c in known], lambda x: bool(re.fullmatch("[0-9a-f]+", x)))
 
 
 def render(kind: str, mention: str, new: str, word: int | None = None, titled: bool = True) -> str:
@@ -357,6 +395,9 @@ def render(kind: str, mention: str, new: str, word: int | None = None, titled: b
         return title + gap + (made.upper() if name.isupper() else " ".join("-".join(x[:1].upper() + x[1:] for x in w.split("-")) for w in made.split(" ")))
     if kind == "email":
         return new.upper() if mention.isupper() else new
+    if kind == "ip6":
+        made = str(ipaddress.IPv6Address(int(new, 16)))
+        return made.upper() if mention.isupper() else made
     return new
 
 
@@ -403,6 +444,8 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
     shared = made.groupBy("type", "surrogate").agg(F.count("canonical").alias("n")).where("n > 1").select("type", "surrogate")
     if bad := shared.first():
         raise ValueError(f"two entities have the same surrogate of type {bad['type']}")
+    if own := made.where("canonical = surrogate").select("type").first():
+        raise ValueError(f"an entity of type {own['type']} has no other form than its own")
     return made
 
 

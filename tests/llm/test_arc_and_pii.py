@@ -224,3 +224,44 @@ def test_persons_keep_one_surrogate_in_all_forms(spark):
     docs = spark.createDataFrame([(1, "so Dr John Smith said"), (2, "so Mr John Smith said"), (3, "so John Smith said")], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, KEY).collect()}
     assert out[1].replace("Dr ", "Mr ") == out[2] != "so Mr John Smith said" and out[3] == "so John Smith said"
+
+
+#: Texts with what must go from each, written down by hand.
+FORMS = [
+    ('password = "!@#$%^&*" end', ["!@#$%^&*"]),
+    ('secret="--------"', ["--------"]),
+    ("token='''''''''' key = \"😀😀😀😀😀😀😀😀\"", ["😀😀😀😀😀😀😀😀"]),
+    ("token: abcdefgh12345, and on", ["abcdefgh12345"]),
+    ("Password='it-is-long' ok", ["it-is-long"]),
+    ("API_KEY: \"abcd-efgh-ijkl\"", ["abcd-efgh-ijkl"]),
+    ("Mr J. Smith came; Smith left", ["Smith"]),
+    ("Mr. O'Brien and Mrs. D’Arcy", ["O'Brien", "D’Arcy"]),
+    ("call 2125550187 now", ["2125550187"]),
+    ("paid by 3782 822463 10005.", ["3782 822463 10005"]),
+    ("from 2001:db8:85a3::8a2e:370:7334 to 2001:0db8:0000:0000:0000:ff00:0042:8329", ["2001:db8:85a3::8a2e:370:7334", "2001:0db8:0000:0000:0000:ff00:0042:8329"]),
+    ("at fe80::1 only", ["fe80::1"]),
+]
+
+
+def test_forms_that_must_not_stay():
+    for text, gone in FORMS:
+        new, kinds = pii.replace(text, b"k")
+        assert len(kinds) >= len(gone) and not any(x in new for x in gone), (text, new)
+        assert pii.replace(text, b"k")[0] == new != pii.replace(text, b"other")[0]
+
+
+def test_what_looks_alike_stays():
+    for text in ("at 12:30:45 on 1767225600", "key: the-third-of-them", "std::vector a::b", "monkey: banana", "00:1b:44:11:3a:b7", "The token is gone. Keys: many", "Plan J. Smith"):
+        assert pii.replace(text, b"k") == (text, [])
+
+
+def test_secrets_of_signs_have_distinct_surrogates(spark):
+    rows = [(f'password = "{a}{b}######"',) for a in "!#$%&()*+" for b in ",-./:;<=>?"]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "text string"), b"k").collect()
+    assert len({r["text"] for r in out}) == len(rows) and not {r["text"] for r in out} & {r[0] for r in rows[:1]}
+
+
+def test_an_entity_without_another_form_is_an_error(spark):
+    found = spark.createDataFrame([("secret", '""""""""')], "type string, canonical string")
+    with pytest.raises(ValueError, match="no other form"):
+        pii.assign(found, b"k")
