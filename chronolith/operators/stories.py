@@ -76,9 +76,9 @@ def day_leads(entries: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def announcement(entries: DataFrame, notes: DataFrame, *, plain: bool = False, most: int = 2000) -> DataFrame:
-    """``sha, announcement``: title (of up to 300 characters), notes and words of a record, cut at ``most`` characters."""
+    """``sha, announcement``: title, notes and words of a record, cut at ``most`` characters as a whole."""
     lines = notes.groupBy("sha").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("notes"))
-    title = F.substring(F.coalesce("title", F.lit("")), 1, 300)
+    title = F.coalesce("title", F.lit(""))
     head = title if plain else F.concat(F.lit("**"), title, F.lit("**"))
     text = F.concat_ws("\n", head, "notes", F.col("eli5.text"))
     return entries.join(lines, "sha", "left").select("sha", F.substring(text, 1, most).alias("announcement"))

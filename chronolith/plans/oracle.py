@@ -130,6 +130,21 @@ ORACLE = {
         a AS (SELECT DISTINCT substr(md5(CAST(c_custkey AS VARCHAR)), 1, CAST(3 + c_custkey % 4 AS INTEGER)) AS prefix FROM customer),
         f AS (SELECT a.prefix, count(k.sha) AS matches, min(k.sha) AS one FROM a LEFT JOIN k ON starts_with(k.sha, a.prefix) GROUP BY 1)
         SELECT prefix, matches, CASE WHEN matches = 1 THEN one END AS sha, CASE matches WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM f""",
+    "override_edits": """
+        WITH s AS (SELECT doc_id, 'stored' AS title, CASE WHEN doc_id % 4 = 0 THEN 'kept' END AS note FROM labels WHERE doc_id % 2 = 0),
+        c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'changed' END AS title, true AS noise FROM labels WHERE quality = 0),
+        o AS (SELECT coalesce(s.doc_id, c.doc_id) AS doc_id, coalesce(c.title, s.title) AS title, note, noise FROM s FULL JOIN c ON s.doc_id = c.doc_id),
+        k AS (SELECT o.* FROM o WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+        SELECT CAST(d.doc_id AS VARCHAR) AS sha, CASE WHEN d.doc_id % 5 = 0 THEN 'by model' ELSE 'own ' || d.doc_id END AS begins, lang AS text, source AS eli5, k.title, note, noise
+        FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "size_reading": f"""
+        SELECT '2026-01-01T00:00:00Z' AS ts, CAST(sum(bytes) // 1024 AS BIGINT) AS sizeKiB, count(bytes) AS dataFiles, count(*) FILTER (bytes >= 20000000) AS overBudget, count(*) FILTER (bytes >= 8000000 AND bytes < 20000000) AS nearBudget
+        FROM ({_LISTING})""",
+    "commits_week": """
+        WITH n AS (SELECT date_trunc('month', min(ts)) + INTERVAL 19 DAY AS now FROM events), t AS (SELECT unnest(['click', 'view', 'purchase']) AS event_type)
+        SELECT t.event_type, count(e.event_id) AS count FROM t CROSS JOIN n LEFT JOIN events e ON e.event_type = t.event_type AND date_trunc('second', e.ts) <= now AND date_trunc('second', e.ts) > now - INTERVAL 7 DAY GROUP BY 1""",
+    "store_status": f"""
+        SELECT 'h' AS headSha, 'day-shards' AS layout, count(*) FILTER (n > 9) AS entries, CAST(7 AS BIGINT) AS changes, CAST(count(DISTINCT shard) FILTER (n > 9) AS INTEGER) AS days FROM ({_EVENTS})""",
     "override_merge": """
         SELECT CAST(d.doc_id AS VARCHAR) AS sha,
                coalesce(CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 2 = 0 THEN 'corrected' END, CASE WHEN d.doc_id % 3 = 0 THEN 'ai ' || lang END, 'own ' || d.doc_id) AS title,

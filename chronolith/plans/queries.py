@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import compact_number, day_key, one_decimal, size_text
 from ..operators import budgets, freshness, keyversions, patches, records, shards, stories, upsert
 from ..session import scratch
 from ..settings import AssetLimits
-from ..sources import changelog
+from ..sources import changelog, services
 from ..sources.entries import opened
 from ..streaming import decisions
 
@@ -44,6 +46,7 @@ def day_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def canonical_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 100 of the events in canonical order, a report of the head; :func:`canonical_ranks` has all."""
     events = _table(spark, sf, "events").select(_stamp(F.col("ts")).alias("date"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("sha"))
     return shards.ranked(events, 100)
 
@@ -188,6 +191,44 @@ def override_merge(spark: SparkSession, sf: str) -> DataFrame:
     return records.effective(docs, over).select("sha", "title", "summary", "note", "noise")
 
 
+def override_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Overrides of the documents of even labels, changed by those of bad quality, cleared for the toxic ones: what an edit of
+    each document then begins from, beside what is stored."""
+    sha = F.col("doc_id").cast("string").alias("sha")
+    labels = _table(spark, sf, "labels")
+    stored = labels.where("doc_id % 2 = 0").select(sha, F.lit("stored").alias("title"), F.when(F.col("doc_id") % 4 == 0, "kept").alias("note"))
+    changes = labels.where("quality = 0").select(sha, F.when(F.col("doc_id") % 3 == 0, "changed").alias("title"), F.lit(True).alias("noise"))
+    left = records.clear_override(records.put_override(stored, changes), labels.where("toxic = 1").select(sha))
+    docs = _table(spark, sf, "documents").select(sha, F.concat(F.lit("own "), sha).alias("title"), F.col("lang").alias("summary"), F.struct(F.when(F.col("doc_id") % 5 == 0, "by model").alias("title"), F.lit("").alias("summary")).alias("ai"), F.struct(F.col("source").alias("text")).alias("eli5"))
+    begun = records.draft(docs, F.col("sha")).withColumnsRenamed({"title": "begins", "summary": "text"})
+    return begun.join(left, "sha", "left").select("sha", "begins", "text", "eli5", "title", "note", "noise")
+
+
+def size_reading(spark: SparkSession, sf: str) -> DataFrame:
+    """The line that a series of readings gets of the documents as files, written and read back."""
+    path = scratch(spark, "readings")
+    services.append_reading(spark, path, _listing(spark, sf), "2026-01-01T00:00:00Z", warn=8_000_000, most=20_000_000)
+    return spark.read.schema("ts string, sizeKiB long, dataFiles long, overBudget long, nearBudget long").json(path)
+
+
+def commits_week(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of the seven days before the 20th of the month in which they begin, for each type."""
+    events = _table(spark, sf, "events").select(_stamp(F.col("ts")).alias("date"), "event_type")
+    first = _table(spark, sf, "events").agg(F.min("ts")).first()[0]
+    now = int(first.replace(day=20, hour=0, minute=0, second=0, microsecond=0, tzinfo=timezone.utc).timestamp() * 1000)
+    found = [services.commits_since(events.where(F.col("event_type") == t), now).select(F.lit(t).alias("event_type"), "count") for t in ("click", "view", "purchase")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def store_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The row of state after two saves of events, the second one without those of the first days."""
+    root, events = scratch(spark, "store"), _events_as_entries(spark, sf)
+    for part in (events, events.where("n > 9")):
+        changelog.save(spark, root, _opened(part), {**_META, "counts": {"changes": 7}})
+    manifest = changelog.read_manifest(spark, root)
+    return manifest.select("headSha", "layout", F.col("counts")["entries"].alias("entries"), F.col("counts")["changes"].alias("changes")).withColumn("days", F.lit(len(changelog._layouts(spark, root)["partitions"])))
+
+
 def day_range(spark: SparkSession, sf: str) -> DataFrame:
     events = _table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     bounds = events.agg(F.min("day"), F.max("day")).first()
@@ -438,9 +479,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         shard_manifest, day_keys, canonical_sort, canonical_ranks, shard_diff, legacy_migrate, size_budget, size_texts, dist_budget, dist_message, retention, retention_cut,
-        cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, prefix_ranges, override_merge,
+        cache_prune, keep_list_prune, refresh_queue, sync_reason, status_check, traffic_upsert, story_links, prefix_lookup, prefix_ranges, override_merge, override_edits,
         day_range, feed_rows, compact_numbers, patch_files, patch_hunks, patch_stats, version_bumps, hunk_sections, line_classify,
         patch_headers, patch_short_hunks, patch_lines, fact_changes, access_evidence, story_notes, day_leads, announcements, day_records, record_lookup, cache_age,
-        store_fields, store_round_trip, store_merge, sync_stream,
+        store_fields, store_round_trip, store_merge, sync_stream, store_status, size_reading, commits_week,
     )
 }

@@ -1,3 +1,8 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
 from chronolith.operators import patches
 from chronolith.sources import files
 
@@ -130,3 +135,20 @@ def test_a_diff_applied_to_its_base(spark):
     cut = patches.sections(spark.createDataFrame([("k", body + other)], "key string, body string"))
     base = spark.createDataFrame([("f", "\n".join(old)), ("g", "\n".join(old)), ("h", "")], "path string, text string")
     assert {r["path"]: r["text"] for r in patches.applied(cut, base).collect()} == {"f": "\n".join(new), "g": None}
+
+
+def test_totals_of_a_large_corpus(spark):
+    """Needs a folder of 7,538 stored diffs, named in CHRONOLITH_DIFFS; their totals were counted line by line by other means."""
+    folder = os.environ.get("CHRONOLITH_DIFFS")
+    if not folder:
+        pytest.skip("no corpus is named")
+    texts = files.read_diffs(spark, folder).cache()
+    cut = patches.sections(texts).cache()
+    per_file, per_hunk = patches.files(cut), patches.hunks(cut)
+    assert (texts.count(), texts.select("body").distinct().count()) == (7538, 7146)
+    got = {r["status"]: (r["n"], r["plus"], r["minus"]) for r in per_file.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("additions").alias("plus"), F.sum("deletions").alias("minus")).collect()}
+    assert got == {"modified": (10466, 79306, 39815), "added": (492, 20483, 0), "removed": (91, 0, 3839), "renamed": (144, 286, 386)}
+    row = per_file.agg(F.count_if("is_binary").alias("binary"), F.count_if(F.col("similarity") == 100).alias("pure"), F.count("old_blob").alias("blobs"), F.sum("no_newline").alias("bare")).first()
+    assert tuple(row) == (43, 79, 11114, 200)
+    row = per_hunk.agg(F.count(F.lit(1)), F.sum("added"), F.sum("removed"), F.sum("context"), F.count("context_of"), F.count_if(~F.col("reconciles"))).first()
+    assert tuple(row)[:4] == (18679, 100075, 44040, 164692) and row[5] == 0
