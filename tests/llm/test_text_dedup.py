@@ -373,3 +373,28 @@ def test_word_hashes_depend_on_the_word_only():
     assert len(set(every.tolist())) == len(words) and len(word_hashes(pa.array([], pa.binary()))) == 0
     assert (word_hashes(pa.array([b"first", *words], pa.binary()).slice(1)) == every).all() and (word_hashes(pa.array(words, pa.binary()), 100) == every).all()
     assert word_hashes(pa.array(words[::-1], pa.binary())).tolist() == every.tolist()[::-1]
+
+
+@pytest.mark.parametrize("block", [30, 36, 44])
+def test_edited_passages_around_a_block_that_all_texts_hold(spark, block):
+    """Pairs that share 62 words but one, the middle of which every text holds; most must be connected, and no others."""
+    rng = random.Random(block)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8)))
+    words = lambda n: [word() for _ in range(n)]
+    middle, left, texts, pairs = words(block), (62 - block) // 2, [], []
+    for _ in range(100):
+        one = words(left) + middle + words(62 - block - left)
+        two = list(one)
+        two[rng.randrange(62)] = word()
+        a, b = ({tuple(p[k : k + 5]) for k in range(58)} for p in (one, two))
+        assert 100 * len(a & b) >= 75 * len(a | b)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words(rng.randint(20, 80)) + p + words(rng.randint(20, 80))) for p in (one, two)]
+    place = list(range(len(texts)))
+    rng.shuffle(place)
+    docs = spark.createDataFrame([(place[k], t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = {frozenset(r) for r in passages.passages(docs).select("doc_id", "other_id").collect()}
+    wanted = {frozenset(place[x] for x in p) for p in pairs}
+    if block < 42:  # else the block alone is a passage of any two texts
+        assert found <= wanted
+    assert len(found & wanted) >= 95
