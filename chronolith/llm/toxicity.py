@@ -38,7 +38,8 @@ N_CHARS, N_WORDS, E_CHAR, E_WORD, H_CHAR, H_WORD = 256, 4096, 8, 8, 8, 12
 ROUNDS, WARM, BATCH, RATE = 7, 3, 32, 0.006
 #: Lengths of the character sequences that choose the first windows.
 GRAMS = (4, 6)
-#: Share of the word embeddings that training leaves out at random, so that rare words are not learnt by heart.
+#: Share of the word embeddings that training leaves out at random, so that rare words are not learnt by heart. Of 0, 0.3,
+#: 0.5 and 0.7 it has the least loss on the inner validation part of the training texts (0.70, 0.55, 0.44 and 0.35 at sf0.1).
 DROP = 0.7
 
 
