@@ -76,9 +76,10 @@ def day_leads(entries: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def announcement(entries: DataFrame, notes: DataFrame, *, plain: bool = False, most: int = 2000) -> DataFrame:
-    """``sha, announcement``: title, notes and words of a record, cut at ``most`` characters as a whole."""
+    """``sha, announcement``: title, notes and words of a record, cut at ``most`` characters as a whole. A long title makes room for the notes."""
     lines = notes.groupBy("sha").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("notes"))
-    title = F.coalesce("title", F.lit(""))
+    room = F.lit(most - 5) - F.coalesce(F.char_length("notes"), F.lit(0))
+    title = F.substring(F.coalesce("title", F.lit("")), F.lit(1), F.greatest(room, F.lit(0)))
     head = title if plain else F.concat(F.lit("**"), title, F.lit("**"))
     text = F.concat_ws("\n", head, "notes", F.col("eli5.text"))
     return entries.join(lines, "sha", "left").select("sha", F.substring(text, 1, most).alias("announcement"))
