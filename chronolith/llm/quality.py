@@ -1,9 +1,10 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 Every text becomes FEATURES numbers computed from all of its bytes. Preference pairs are a good and a poor
-document of a bounded sample of labelled rows; the score ``w . x`` is learned by the logistic loss of the
-difference of the pair's features, so that the good one wins. The threshold is the quantile of the sample's
-scores at the share of poor documents, and the score returned is the logistic of the distance to it.
+document, and every labelled row is in some of them; the score ``w . x`` is learned by the logistic loss of the
+difference of the pair's features, so that the good one wins. The threshold is the quantile of all labelled rows'
+scores at the share of poor documents, and the score returned is the logistic of the distance to it. Sums over rows
+and pairs are made by partitions; the driver adds these up and solves for the FEATURES weights.
 
 Neither labels nor ids, sources or languages are features. Defined cases: a null or empty text has all
 features 0 and is scored like any other; without good or without poor training rows every text scores the
@@ -21,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, as_binary, encode, lowest, slices, split_words, stage
+from ..operators import ordering
+from .common import SPACED, as_binary, drop_stage, encode, slices, split_words, stage
 
-#: Bound of the training sample (labelled rows), and pairs drawn from it.
-SAMPLE, PAIRS = 20_000, 60_000
+#: Pairs that each row of the larger class is in, and pairs in all, at least.
+TURNS, PAIRS = 3, 60_000
 RIDGE, ROUNDS = 1e-3, 25
 
 _CLASSES = {
@@ -141,8 +143,11 @@ class Ranking:
     threshold: float
     constant: float | None = None
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -6, 6)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights
+        return self.standard(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -150,40 +155,104 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.threshold, -60, 60)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, seed: int = 3) -> Ranking:
-    """Newton steps of the ridge-penalised logistic loss of feature differences of good and poor rows."""
-    x, n = np.asarray(x, np.float64), x.shape[1] if len(x) else len(FEATURES)
-    good, poor = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(poor):
-        return Ranking(np.zeros(n), np.zeros(n), np.ones(n), 0.0, float(len(good) / len(label)) if len(label) else 1.0)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.clip((x - mean) / scale, -6, 6)
-    rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, PAIRS)] - z[rng.choice(poor, PAIRS)]
-    w = np.zeros(n)
+def _sent(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for _, t, v in columns], names=[n for n, _, _ in columns])
+
+
+def _grid(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(np.float64)
+
+
+def moments(rows: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Good and poor rows, mean and deviation of their features; the driver reads one row a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, good, mean, spread = 0, 0, 0.0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, m = _grid(batch), batch.num_rows
+            good += int(np.asarray(batch.column("label")).sum())
+            off = x.mean(0) - mean
+            spread = spread + ((x - x.mean(0)) ** 2).sum(0) + off**2 * (n * m / (n + m))
+            mean, n = mean + off * (m / (n + m)), n + m
+        if n:
+            yield _sent([("n", pa.int64(), [n]), ("good", pa.int64(), [good]), ("mean", pa.list_(pa.float64()), [mean]), ("spread", pa.list_(pa.float64()), [spread])])
+
+    n, good, mean, spread = 0, 0, np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
+    for part in rows.select("label", "x").mapInArrow(run, "n long, good long, mean array<double>, spread array<double>").collect():
+        m, off = part["n"], np.array(part["mean"]) - mean
+        spread = spread + np.array(part["spread"]) + off**2 * (n * m / (n + m))
+        mean, n, good = mean + off * (m / (n + m)), n + m, good + part["good"]
+    return good, n - good, mean, np.maximum(np.sqrt(spread / max(n, 1)), 1e-6)
+
+
+def pairs(rows: DataFrame, good: int, poor: int) -> DataFrame:
+    """``a, b``: features of a good and a poor row. Rows are numbered by hash within their class, and each of the larger
+    class meets TURNS of the smaller one, more if that makes fewer than PAIRS, up to all; so every row is in a pair."""
+    many, few = max(good, poor), min(good, poor)
+    turns = min(few, max(TURNS, -(-PAIRS // many)))
+    numbered = stage(ordering.placed(rows, [F.xxhash64("doc_id"), F.col("doc_id")], by="label"), "numbered")
+    larger = int(good >= poor)
+    opponents = F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda turn: (F.col("place") - 1 + turn * (few // turns)) % few + 1)
+    asked = numbered.where(F.col("label") == larger).select(F.col("x").alias("a" if larger else "b"), F.explode(opponents).alias("place"))
+    met = stage(asked.join(numbered.where(F.col("label") == 1 - larger).select("place", F.col("x").alias("b" if larger else "a")), "place").select("a", "b"), "pairs")
+    drop_stage(numbered)
+    return met
+
+
+def _slopes(met: DataFrame, ranking: Ranking) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the mean logistic loss of all pairs, from one sum a partition."""
+    n = len(ranking.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, first, second = 0, np.zeros(n), np.zeros((n, n))
+        for batch in batches:
+            d = ranking.standard(_grid(batch, "a")) - ranking.standard(_grid(batch, "b"))
+            lose = 1 / (1 + np.exp(np.clip(d @ ranking.weights, -60, 60)))
+            count, first, second = count + len(d), first - (d * lose[:, None]).sum(0), second + (d * (lose * (1 - lose))[:, None]).T @ d
+        yield _sent([("n", pa.int64(), [count]), ("first", pa.list_(pa.float64()), [first]), ("second", pa.list_(pa.float64()), [second.ravel()])])
+
+    sums = met.mapInArrow(run, "n long, first array<double>, second array<double>").collect()
+    total = sum(r["n"] for r in sums)
+    return sum(np.array(r["first"]) for r in sums) / total, sum(np.array(r["second"]) for r in sums).reshape(n, n) / total
+
+
+def fit(rows: DataFrame) -> Ranking:
+    """Newton steps of the ridge-penalised logistic loss of feature differences of good and poor rows ``doc_id, label, x``."""
+    good, poor, mean, scale = moments(rows)
+    n = len(FEATURES)
+    if not good or not poor:
+        return Ranking(np.zeros(n), np.zeros(n), np.ones(n), 0.0, good / (good + poor) if good + poor else 1.0)
+    met, w = pairs(rows, good, poor), np.zeros(n)
     for _ in range(ROUNDS):
-        lose = 1 / (1 + np.exp(np.clip(d @ w, -60, 60)))
-        gradient = -(d * lose[:, None]).mean(0) + RIDGE * w
-        hessian = (d * (lose * (1 - lose))[:, None]).T @ d / len(d) + RIDGE * np.eye(n)
-        step = np.linalg.solve(hessian, gradient)
+        gradient, hessian = _slopes(met, Ranking(w, mean, scale, 0.0))
+        step = np.linalg.solve(hessian + RIDGE * np.eye(n), gradient + RIDGE * w)
         w = w - step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-7:
             break
-    raw = z @ w
+    drop_stage(met)
     # Between the two scores around the quantile, so that rows of neither side lie on the threshold.
-    ordered = np.sort(raw)
-    k = len(poor)
-    return Ranking(w, mean, scale, float((ordered[k - 1] + ordered[min(k, len(raw) - 1)]) / 2))
+    ranking = Ranking(w, mean, scale, 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(ranking.raw(_grid(batch)))], names=["raw"])
+
+    raw = stage(rows.select("x").mapInArrow(run, "raw double"), "training-scores")
+    around = ordering.placed(raw, [F.col("raw")]).where(F.col("place").isin(poor, poor + 1)).collect()
+    drop_stage(raw)
+    ranking.threshold = float(np.mean([r["raw"] for r in around]))
+    return ranking
 
 
 def train(table: DataFrame, labels: DataFrame, learn, *, id_col: str = "doc_id", label_col: str = "quality") -> Ranking:
-    """Fit on the SAMPLE usable labelled ids of the lowest hashes; an id that several rows share is one row, the least."""
-    usable = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"))
-    picked = F.broadcast(lowest(usable.distinct(), F.xxhash64("doc_id"), SAMPLE, "doc_id", "label"))
-    drawn = table.where("filled").join(picked, "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
-    rows = drawn.toPandas().sort_values(["doc_id", "label"], kind="stable")
-    x = np.stack(rows["x"].to_numpy()) if len(rows) else np.empty((0, len(FEATURES)))
-    return fit(x, rows["label"].to_numpy())
+    """Fit on all usable labelled ids; an id that several rows share is one row, the least."""
+    usable = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    rows = stage(table.where("filled").join(usable.distinct(), "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x")), "training-rows")
+    ranking = fit(rows)
+    drop_stage(rows)
+    return ranking
 
 
 def score(table: DataFrame, ranking: Ranking) -> DataFrame:
@@ -192,7 +261,6 @@ def score(table: DataFrame, ranking: Ranking) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(_grid(batch)))], names=["doc_id", "score"])
 
     return table.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")

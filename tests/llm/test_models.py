@@ -129,6 +129,27 @@ def test_quality_features_and_empty_cases(spark):
     assert {r["score"] for r in quality.score(features, ranking).collect()} == {1.0}
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows than any sample held before: the mean, the pairs and the threshold are those of all of them."""
+    monkeypatch.setattr(quality, "PAIRS", 1000)
+    n = 21_000
+    value = lambda k: F.when(F.col("doc_id") % 3 == 0, -1.0).otherwise(1.0) + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1000)) / 400
+    table = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(True).alias("filled"))
+    table = table.withColumn("x", F.array(*[value(k) for k in range(len(quality.FEATURES))]).cast("array<float>")).cache()
+    labels = table.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    x = np.stack(table.orderBy("doc_id").toPandas()["x"]).astype(float)
+    ranking = quality.train(table, labels, F.lit(True))
+    assert np.allclose(ranking.mean, x.mean(0), atol=1e-9) and np.allclose(ranking.scale, x.std(0), atol=1e-9)
+    assert (ranking.raw(x) < ranking.threshold).sum() == n // 3  # the share of poor rows exactly
+    rows = table.join(labels.withColumnRenamed("quality", "label"), "doc_id")
+    met = quality.pairs(rows, n - n // 3, n // 3)
+    assert met.count() == quality.TURNS * (n - n // 3)
+    assert met.select("a").distinct().count() == n - n // 3 and met.select("b").distinct().count() == n // 3
+    few = quality.pairs(rows.where("doc_id < 9"), 6, 3)
+    assert few.distinct().count() == few.count() == 18  # all there are
+    assert np.allclose(quality.train(table.repartition(7), labels, F.lit(True)).weights, ranking.weights, atol=1e-6)
+
+
 def test_long_labelled_texts_are_trained_on(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE", 40)
     monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400)
