@@ -36,8 +36,9 @@ def sections(texts: DataFrame, key: str = "key", body: str = "body") -> DataFram
     """
     bare = F.regexp_replace(body, r"\n\z", "")
     filled = texts.where(F.coalesce(F.col(body), F.lit("")) != "").select(F.col(key).alias("key"), F.split(bare, r"\n(?=diff --git )").alias("parts"))
-    whole = filled.select("key", "parts", _starts(F.col("parts")).alias("starts"), F.col("parts")[0].startswith("diff --git ").cast("int").alias("lead"))
-    each = whole.select("key", "lead", "starts", F.posexplode("parts").alias("at", "text"))
+    whole = filled.select("key", "parts", _starts(F.col("parts")).alias("starts"), F.coalesce(F.col("parts")[0].startswith("diff --git "), F.lit(False)).cast("int").alias("lead"))
+    # Outer, though no text is without parts: else the plan filters by the size of the parts, and cuts a text once more for that.
+    each = whole.select("key", "lead", "starts", F.posexplode_outer("parts").alias("at", "text"))
     pieces = F.split("text", r"\n(?=@@ -[0-9])")
     cut = each.select("key", (F.col("at") + F.col("lead")).cast("long").alias("file_no"), F.col("starts")[F.col("at")].alias("first_line"), pieces.alias("pieces"))
     headless = F.col("pieces")[0].rlike(r"^@@ -[0-9]")
@@ -222,23 +223,37 @@ def applied(cut: DataFrame, base: DataFrame) -> DataFrame:
     return done.select("key", "file_no", "path", F.when(F.col("_done.fits"), F.array_join(F.concat("_done.out", rest), "\n")).alias("text"))
 
 
+def _path(header: Column) -> Column:
+    """The path of a file before the change, or after it where there was none, as in :func:`files`."""
+    begins = {"rename_from": "rename from ", "rename_to": "rename to ", "new_mode": "new file mode "}  # looked for first, as most headers have none
+    field = {f: F.nullif(F.regexp_extract(header, "(?dm)" + p, g), F.lit("")) for p, names in HEADERS for g, f in enumerate(names, 1)}
+    field |= {f: F.when(header.contains(begin), field[f]) for f, begin in begins.items()}
+    old = F.coalesce(field["rename_from"], field["minus"], field["git_a"])
+    return F.coalesce(F.when(field["new_mode"].isNull(), old), field["rename_to"], field["plus"], field["git_b"])
+
+
 def fact_changes(cut: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """``key, fact, name, old, new``: what a diff states anew or no more, pruned by what was there before.
 
     A fact of the lines after a change counts only if no line before it, in any file of the diff, states the same name and
     value, so that what is moved gives none; with ``base`` (path, text: the files before the change) nor may the base of its
     own file, of which a diff shows a part. ``old`` is what the lines before state of the name, if it is gone after.
-    Facts meet by keys of their own; a diff with very many facts is many groups.
+    Diffs are read once: each line's facts go to the side or sides that it stands on, meet the base by path and fact, and
+    then those of their own name, so a diff with very many facts is many groups.
     """
-    shown = images(cut)
-    stated = lambda side: shown.select("key", "file_no", F.explode(side).alias("line")).select("key", "file_no", F.explode(_stated(F.col("line"))).alias("f")).select("key", "file_no", "f.*")
-    before, after, fact = stated("before"), stated("after"), ["key", "fact", "name", "value"]
-    fresh = after.join(before.select(*fact).distinct(), fact, "left_anti")
+    fact = ["fact", "name", "value"]
+    shown = cut.where("file_no > 0").select("key", _path(F.col("header")).alias("path"), F.explode_outer("hunks").alias("hunk"))
+    lines = shown.select("key", "path", F.posexplode(F.split("hunk", "\n")).alias("at", "line")).where(F.col("at") > 0)
+    sign = F.substring("line", 1, 1)
+    signed = lines.where(sign.isin(" ", "-", "+")).select("key", "path", (sign != "+").alias("_before"), (sign != "-").alias("_after"), F.substring(F.col("line"), F.lit(2), F.length("line")).alias("line"))
+    stated = lambda df, *keep: df.select(*keep, F.explode(_stated(F.col("line"))).alias("f")).select(*keep, "f.*")
+    each = stated(signed, "key", "path", "_before", "_after").withColumn("_fresh", F.col("_after"))
     if base is not None:
-        names = files(cut).select("key", "file_no", F.coalesce("old_path", "new_path").alias("path"))
-        held = base.select("path", F.explode(F.split("text", "\n")).alias("line")).select("path", F.explode(_stated(F.col("line"))).alias("f")).select("path", "f.*").distinct()
-        fresh = fresh.join(names, ["key", "file_no"]).join(held, ["path", "fact", "name", "value"], "left_anti")
-    gone = before.join(after.select(*fact).distinct(), fact, "left_anti")
-    both = fresh.select(*fact, F.lit(True).alias("_new")).unionByName(gone.select(*fact, F.lit(False).alias("_new")))
-    side = lambda new: F.max(F.when(F.col("_new") == new, F.col("value")))
-    return both.groupBy("key", "fact", "name").agg(side(False).alias("old"), side(True).alias("new"))
+        held = stated(base.select("path", F.explode(F.split("text", "\n")).alias("line")), "path").distinct().withColumn("_held", F.lit(True))
+        each = each.join(held, ["path", *fact], "left").withColumn("_fresh", F.col("_after") & F.col("_held").isNull())
+    # Dealt by name once, which serves both groupings.
+    dealt = each.select("key", *fact, "_before", "_after", "_fresh").repartition("key", "fact", "name")
+    values = dealt.groupBy("key", *fact).agg(*[F.bool_or(c).alias(c) for c in ("_before", "_after", "_fresh")])
+    new, gone = F.col("_fresh") & ~F.col("_before"), F.col("_before") & ~F.col("_after")
+    side = lambda which: F.max(F.when(which, F.col("value")))
+    return values.where(new | gone).groupBy("key", "fact", "name").agg(side(gone).alias("old"), side(new).alias("new"))

@@ -127,6 +127,20 @@ def test_moved_and_known_facts_give_no_change(spark):
     assert rows(patches.fact_changes(cut, base)) == {k: v for k, v in want.items() if k[1] != "HELD"}
 
 
+def test_fact_changes_read_a_diff_once(spark):
+    """A wide plan reads the texts again for each side, fact and base; one pass reads them once, whatever their headers."""
+    head = "diff --git a/{0} b/{1}\n{2}--- a/{0}\n+++ b/{1}\n@@ -1 +1 @@\n+const A_{3} = 1;\n"
+    names = [("old.ts", "new.ts", "similarity index 90%\nrename from old.ts\nrename to new.ts\n"), ("x", "added.ts", "new file mode 100644\n"), ("gone.ts", "x", "deleted file mode 100644\n"), ("same.ts", "same.ts", "")]
+    body = "".join(head.format(a, b, more, k) for k, (a, b, more) in enumerate(names)) + "diff --git a/bin b/bin\nBinary files a/bin and b/bin differ\n"
+    cut = patches.sections(spark.createDataFrame([("k", body), ("e", ""), ("n", None)], "key string, body string"))
+    paths = cut.where("file_no > 0").select("key", "file_no", patches._path(F.col("header")).alias("p"))
+    assert sorted(paths.collect()) == sorted(patches.files(cut).select("key", "file_no", F.coalesce("old_path", "new_path").alias("p")).collect())
+    base = spark.createDataFrame([(p, f"const A_{k} = 1;") for k, p in enumerate(["old.ts", "added.ts", "gone.ts"])], "path string, text string")
+    found = patches.fact_changes(cut, base)
+    assert [tuple(r) for r in found.collect()] == [("k", "constant", "A_3", None, "1")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # the diffs and the base
+
+
 def test_a_diff_applied_to_its_base(spark):
     old = [f"line {k}" for k in range(1, 21)]
     new = [*old[:2], "two and a half", *old[2:9], "TEN", *old[11:]]
