@@ -398,3 +398,14 @@ def test_edited_passages_around_a_block_that_all_texts_hold(spark, block):
     if block < 42:  # else the block alone is a passage of any two texts
         assert found <= wanted
     assert len(found & wanted) >= 95
+
+
+def test_passages_edited_on_both_sides_of_a_block_that_all_texts_hold(spark):
+    """Pairs that share 75 words but the one before and the one after a block of all texts: every pair is connected."""
+    middle, rows = prose(50000, 43).split(), []
+    for k in range(60):
+        left, right = prose(50100 + k, 16).split(), prose(50200 + k, 16).split()
+        for m, (a, b) in enumerate(((left, right), ([*left[:15], f"before{k}"], [f"after{k}", *right[1:]]))):
+            rows.append((2 * k + m, " ".join([*prose(50300 + 2 * k + m, 40).split(), *a, *middle, *b, *prose(50500 + 2 * k + m, 40).split()])))
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(2 * k + 1, 2 * k) for k in range(60)} <= {(r["doc_id"], r["other_id"]) for r in got}
