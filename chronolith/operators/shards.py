@@ -49,7 +49,16 @@ def digests(entries: DataFrame, row: Column, by: str = "shard") -> DataFrame:
     Rows are hashed one by one and the hashes combined by sum and exclusive or, so the aggregation is partial
     and no task holds a shard. Both are kept, as each alone misses some changes.
     """
-    hashed = entries.select(by, F.xxhash64(row).alias("h"), F.xxhash64(F.lit("shard"), row).alias("g"))
+    return combined(entries.select(by, *hashes(row)), by)
+
+
+def hashes(row: Column) -> list[Column]:
+    """``h, g``: what the digest of a shard is made of, for each row."""
+    return [F.xxhash64(row).alias("h"), F.xxhash64(F.lit("shard"), row).alias("g")]
+
+
+def combined(hashed: DataFrame, by: str = "shard") -> DataFrame:
+    """:func:`digests` of rows whose hashes are known."""
     agg = hashed.groupBy(by).agg(F.count("h").alias("entries"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("g").alias("x"))
     return agg.select(by, F.md5(F.concat_ws("|", "entries", "s", "x")).alias("digest"), "entries")
 

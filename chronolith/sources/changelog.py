@@ -4,8 +4,8 @@ Two layouts lie in ``<root>/changelog/`` beside the manifest ``<root>/changelog.
 ``shard=<day>/`` of JSON rows, of which a large day has several files (the one that scales), and files ``<day>.json`` of
 one ``{day, entries}`` object each, for other readers. A manifest with inline entries is a store of its own.
 
-A save stages the rows of the days that change and a plan of what to do, below ``<root>/pending``; then it replaces those
-days in either layout, removes vanished ones, and writes the manifest last. A save that was cut off before the plan
+A save stages its rows and a plan of what to do, below ``<root>/pending``; then it replaces the days that change
+in either layout, removes vanished ones, and writes the manifest last. A save that was cut off before the plan
 was complete has changed nothing; one that was cut off later is finished by the next save or :func:`recover`. There
 is one writer at a time. Entries keep fields that the schema does not know (see ``entries``).
 """
@@ -202,8 +202,11 @@ def _stamps(spark: SparkSession, root: str) -> dict[str, str]:
     return {dayfiles.day_of(s.getPath().getName()): f"{s.getLen()}:{s.getModificationTime()}" for s in found}
 
 
-def _digests(rows: DataFrame) -> dict[str, tuple[str, int]]:
-    return {r["shard"]: (r["digest"], r["entries"]) for r in shards.digests(rows.withColumn("_row", row_text()), F.col("_row")).collect()}
+def _staged(spark: SparkSession, root: str, rows: DataFrame) -> dict[str, tuple[str, int]]:
+    """Stage rows with their hashes, so that they are made once; digest and number of records of each day."""
+    path = f"{root}/{PENDING}/rows"
+    rows.withColumn("_row", row_text()).select(*rows.columns, *shards.hashes(F.col("_row"))).write.mode("overwrite").parquet(path)
+    return {r["shard"]: (r["digest"], r["entries"]) for r in shards.combined(spark.read.schema("shard string, h long, g long").parquet(path)).collect()}
 
 
 def _put_text(spark: SparkSession, path: str, text: str) -> None:
@@ -220,7 +223,7 @@ def save(spark: SparkSession, root: str, entries: DataFrame, manifest: dict, lay
     """
     recover(spark, root)
     full = shards.with_day(with_more(entries))
-    new, known, layouts, stamps = _digests(full), _known_digests(spark, root), _layouts(spark, root), _stamps(spark, root)
+    new, known, layouts, stamps = _staged(spark, root, full), _known_digests(spark, root), _layouts(spark, root), _stamps(spark, root)
     stored = set(layouts[PARTITIONS]) | set(layouts[FILES])
     other = layouts[FILES if layout == PARTITIONS else PARTITIONS]
 
@@ -237,17 +240,13 @@ def save(spark: SparkSession, root: str, entries: DataFrame, manifest: dict, lay
         "layout": layout, "changed": changed, "delete": actions["delete"], "index": None,
         "digests": {d: [*new[d]] for d in sorted(new)}, "manifest": {**{k: v for k, v in manifest.items() if k != "entries"}, "layout": shards.LAYOUT, "counts": counts},
     }
-    _stage(spark, root, full, plan, new)
+    _settle(spark, root, plan)
     _apply(spark, root, plan)
     return actions
 
 
-def _stage(spark: SparkSession, root: str, rows: DataFrame, plan: dict, sizes: dict[str, tuple[str, int]]) -> None:
-    """Write the rows of the changed days, and then the plan; until that is there, nothing has happened."""
-    if plan["changed"]:
-        pieces = spark.createDataFrame([(d, -(-sizes[d][1] // FILE_RECORDS)) for d in plan["changed"]], "shard string, pieces long")
-        chosen = rows.join(F.broadcast(pieces) if len(plan["changed"]) <= 10_000 else pieces, "shard")
-        chosen.withColumn("_piece", F.pmod(F.xxhash64("sha", "date"), F.col("pieces"))).drop("pieces").write.mode("overwrite").parquet(f"{root}/{PENDING}/rows")
+def _settle(spark: SparkSession, root: str, plan: dict) -> None:
+    """Write the plan beside the rows; until that is there, nothing has happened."""
     _put_text(spark, f"{root}/{PENDING}/plan.tmp", json.dumps(plan, ensure_ascii=False))
     fs, jpath = _fs(spark, f"{root}/{PENDING}/plan.tmp")
     fs.rename(jpath, _fs(spark, f"{root}/{PENDING}/plan")[1])
@@ -268,7 +267,10 @@ def _apply(spark: SparkSession, root: str, plan: dict) -> None:
     """Carry out a plan from what was staged; doing it again from the start gives the same."""
     table, pending, changed = f"{root}/{shards.SHARD_DIR}", f"{root}/{PENDING}", plan["changed"]
     if changed:
-        rows = spark.read.parquet(f"{pending}/rows")
+        pieces = spark.createDataFrame([(d, -(-plan["digests"][d][1] // FILE_RECORDS)) for d in changed], "shard string, pieces long")
+        staged = spark.read.parquet(f"{pending}/rows").select(*OPEN_ENTRY.names, "shard")
+        rows = staged.join(F.broadcast(pieces) if len(changed) <= 10_000 else pieces, "shard")
+        rows = rows.withColumn("_piece", F.pmod(F.xxhash64("sha", "date"), F.col("pieces"))).drop("pieces")
         order = ["shard", *shards.canonical_order()]
         if plan["layout"] == PARTITIONS:
             out = rows.repartition("shard", "_piece").sortWithinPartitions(*order).drop("_piece")
@@ -334,7 +336,7 @@ def merge(spark: SparkSession, root: str, batch: DataFrame, manifest: dict, layo
     days = sorted(r[0] for r in placed.union(shards.with_day(fresh).select("shard")).distinct().collect())
     old = as_text(stored_entries(spark, root, days).drop("shard"))
     merged = shards.with_day(as_variant(latest_wins(old, fresh, "sha")))
-    new, known, layouts = _digests(merged), _known_digests(spark, root), _layouts(spark, root)
+    new, known, layouts = _staged(spark, root, merged), _known_digests(spark, root), _layouts(spark, root)
     stored = {d for names in layouts.values() for d in names}
     actions: dict[str, list[str]] = {"keep": [], "rewrite": [], "write": [], "delete": sorted((set(days) & stored) - set(new))}
     for day in sorted(new):
@@ -349,7 +351,7 @@ def merge(spark: SparkSession, root: str, batch: DataFrame, manifest: dict, layo
     moved = shards.with_day(fresh).select(_bucket(F.col("sha")).alias("bucket"), "sha", "shard")
     stay = index.join(fresh.select(F.col("sha").alias("_sha")), F.col("sha").eqNullSafe(F.col("_sha")), "left_anti").select("bucket", "sha", "shard")
     stay.unionByName(moved).write.mode("overwrite").parquet(f"{root}/{PENDING}/index")
-    _stage(spark, root, merged, plan, new)
+    _settle(spark, root, plan)
     _apply(spark, root, plan)
     return actions
 

@@ -220,3 +220,22 @@ def test_a_failed_write_leaves_the_files_as_they_were(spark, tmp_path):
         with pytest.raises(Exception, match="more than one partition"):
             dayfiles.write(apart, str(folder))
         assert {p.name: p.read_text() for p in folder.iterdir()} == before
+
+
+def test_rows_of_a_save_and_of_a_merge_are_made_once(spark, tmp_path, monkeypatch):
+    root, made = str(tmp_path / "s"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    entries = changelog.load(spark, monolith(tmp_path / "m")).withColumn("summary", counted("summary"))
+    for action in ("write", "keep"):
+        before = made.value
+        assert changelog.save(spark, root, entries, META)[action] == DAYS and made.value - before == len(ROWS)
+    before, wins = made.value, changelog.latest_wins
+    monkeypatch.setattr(changelog, "latest_wins", lambda *sides: wins(*sides).withColumn("summary", counted("summary")))
+    assert merged(spark, root, {**ODD, "kind": "edited"})["rewrite"] == ["2026-01-02"]
+    assert made.value - before == 1 + 2  # the batch, and the rows of its day
+    assert by_sha(plain(changelog.load(spark, root))) == by_sha([{**r, "kind": "edited"} if r is ODD else r for r in ROWS])
