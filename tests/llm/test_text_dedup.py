@@ -409,3 +409,15 @@ def test_passages_edited_on_both_sides_of_a_block_that_all_texts_hold(spark):
             rows.append((2 * k + m, " ".join([*prose(50300 + 2 * k + m, 40).split(), *a, *middle, *b, *prose(50500 + 2 * k + m, 40).split()])))
     got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {(2 * k + 1, 2 * k) for k in range(60)} <= {(r["doc_id"], r["other_id"]) for r in got}
+
+
+def test_texts_of_a_cell_meet_if_each_has_enough_of_the_other():
+    x = np.random.default_rng(3).permutation(1 << 16)[:900].astype(np.uint16)
+    own, thin, beyond = x[:60], np.stack([x[:60], x[60:120], x[120:180]], 1).ravel(), x[180:200]
+    scattered = np.concatenate([np.concatenate([[t], x[300 + 9 * k : 309 + 9 * k]]) for k, t in enumerate(own)])  # longer than the rows of a grid
+    held, long = np.concatenate([beyond, own]), np.concatenate([beyond, own, x[300:800]])
+    one, two = np.array([1, 2]), np.array([0, 0])
+    for other, want in ((thin, []), (scattered, []), (held, [(2, 1)]), (long, [(2, 1)])):
+        for near in ((other, own), (own, other)):
+            met = passages._cell(one, two, one, two, [t.tobytes() for t in near])
+            assert list(zip(met.column("doc").to_pylist(), met.column("other").to_pylist())) == want
