@@ -421,3 +421,33 @@ def test_texts_of_a_cell_meet_if_each_has_enough_of_the_other():
         for near in ((other, own), (own, other)):
             met = passages._cell(one, two, one, two, [t.tobytes() for t in near])
             assert list(zip(met.column("doc").to_pylist(), met.column("other").to_pylist())) == want
+
+
+def test_near_copies_edited_throughout_do_not_meet_in_a_cell():
+    """Texts that miss a little of each other everywhere, so that no range is similar, make no pairs; the sum of both sides counts."""
+    tokens = np.random.default_rng(4).permutation(1 << 16)[: 41 * 140].astype(np.uint16).reshape(41, 140)
+    near = []
+    for own in tokens[1:]:
+        text = tokens[0].copy()
+        for at in range(int(own[0]) % 24, 140, 24):
+            text[at : at + 5] = own[at : at + 5]  # a word changed in every 24, in other places of each text
+        near.append(text.tobytes())
+    each, zero = np.arange(40), np.zeros(40, np.int64)
+    assert passages._cell(each, each, each, zero, near).num_rows < 10  # of 780
+    near[7] = np.concatenate([np.frombuffer(near[3], np.uint16)[:60], tokens[8][60:]]).tobytes()
+    met = passages._cell(each, each, each, zero, near)
+    assert (7, 3) in set(zip(met.column("doc").to_pylist(), met.column("other").to_pylist()))
+
+
+def test_no_range_is_worth_more_than_is_counted(monkeypatch):
+    monkeypatch.setattr(passages, "MIN_TOKENS", 6)
+    rng, exact = np.random.default_rng(0), 0
+    for _ in range(600):
+        n = int(rng.integers(6, 24))
+        x, y = rng.integers(0, rng.integers(2, 40), n), rng.integers(0, 40, rng.integers(1, 30))
+        ranges = [set(x[s:e].tolist()) for s in range(n) for e in range(s + 6, n + 1)]
+        most = max(len(r & set(y.tolist())) - 6 * len(r - set(y.tolist())) for r in ranges)
+        got = passages.worth(np.isin(x, y)[None], *passages.repeats(x))[0]
+        assert got >= most
+        exact += got == most
+    assert exact > 500
